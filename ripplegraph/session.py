@@ -37,3 +37,17 @@ def join_dimension(df: DataFrame, dim: DataFrame, on: Column, how: str = "inner"
     """Join a small table: broadcast if its row count is within BROADCAST_ROWS, else shuffle both sides."""
     rows = dim.count() if rows is None else rows
     return df.join(F.broadcast(dim) if rows <= BROADCAST_ROWS else dim, on, how)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, for clusters where it isn't installed."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_ripplegraph_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="ripplegraph-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/ripplegraph", "zip", package.parent, package.name))
+    sc._ripplegraph_shipped = True
