@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import mixing, packing, sharding
+from ripplegraph.llm import fingerprints, licenses, line_dedup, mixing, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         mixing.op1_cube_mixing,
         packing.op2_length_buckets,
+        toxicity.op3_counterfactual_toxicity,
         sharding.op4_hash_tree_sharding,
+        fingerprints.op5_scaled_sketches,
+        quality.op6_risk_controlled_rules,
+        line_dedup.op8_levelled_line_runs,
+        licenses.op9_rare_token_licenses,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_levelled_line_runs": line_dedup.OP8_SQL}
