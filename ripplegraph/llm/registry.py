@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import fingerprints, licenses, line_dedup, mixing, packing, quality, sharding, toxicity
+from ripplegraph.llm import chat, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -17,8 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sharding.op4_hash_tree_sharding,
         fingerprints.op5_scaled_sketches,
         quality.op6_risk_controlled_rules,
+        ngram_join.op7_ngram_jaccard_join,
         line_dedup.op8_levelled_line_runs,
         licenses.op9_rare_token_licenses,
+        chat.op10_hmm_transcripts,
     )
 }
 

@@ -87,9 +87,9 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], pairi
         pair[j, i] -= c
     touched = np.flatnonzero(pair.any(axis=0)[:m])
     small = pair[np.ix_(touched, touched)]
-    v = np.ones(m) / np.sqrt(max(m, 1))
+    v = np.full(m, 1 / np.sqrt(max(m, 1)), x.dtype)
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = (x @ v) @ x
         v /= max(np.linalg.norm(v), 1e-12)
     curve = 0.25 * (np.linalg.norm(x @ v) ** 2 / n + 1) + ridge + (np.abs(small).sum(axis=1).max() if len(touched) else 0)
     # The bias sees every row: bound the joint curvature by the sum.
@@ -97,8 +97,9 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], pairi
     for t in range(1, steps + 1):
         k = (t - 1) / (t + 2)
         yw, yb = w + k * (w - last_w), b + k * (b - last_b)
-        g = (1 / (1 + np.exp(-(x @ yw + yb))) - y) / n
-        gw = x.T @ g + ridge * yw
+        # Products in the matrix's own precision: numpy would else copy the matrix for each.
+        g = (1 / (1 + np.exp(-((x @ yw.astype(x.dtype)).astype(float) + yb))) - y) / n
+        gw = (g.astype(x.dtype) @ x).astype(float) + ridge * yw
         if len(touched):
             gw[touched] += small @ yw[touched]
         last_w, last_b = w, b
