@@ -90,7 +90,7 @@ class LineRuns:
         self._remove(self.folder)
 
 
-def _marked(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def _marked(docs: DataFrame, batches: int, fanout: int) -> DataFrame:
     """docs with __lines, __drop (positions to drop, or null)."""
     spark = docs.sparkSession
     runs = LineRuns(spark, f"{checkpoint_dir(spark)}/line-runs-{uuid.uuid4().hex}", fanout)
@@ -110,32 +110,38 @@ def _kept(lines: Column, drop: Column) -> Column:
     return F.get(whole, F.lit(0))
 
 
-def drop_common_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """docs with n_lines, n_dropped and kept (the text without its dropped lines; own columns as they came).
+def _cleaned(docs: DataFrame, batches: int, fanout: int) -> DataFrame:
+    """docs with __n_lines, __n_dropped and __kept."""
+    marked = _marked(docs, batches, fanout)
+    kept = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(_kept(F.split("__text", "\n", -1), F.col("__drop")))
+    n_lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"))) + 1
+    marked = marked.withColumn("__kept", kept).withColumn("__n_lines", n_lines.cast("long"))
+    return marked.withColumn("__n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).drop("__text", "__drop")
+
+
+def drop_common_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept (the text without its dropped lines) of every row.
 
     A document is a row; of the rows that hold a key, all with the largest doc_id keep its lines. Null
     ids are below all others; if all are null, none loses lines. Null text counts as one empty line.
-    Repeated rows are treated alike. An empty table gives an empty result; extra columns stay.
+    Repeated rows are treated alike. An empty table gives an empty result; extra columns are not read.
     """
-    marked = _marked(docs, batches)
-    lines = F.split("__text", "\n", -1)
-    kept = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(_kept(lines, F.col("__drop")))
-    n_lines = F.length("__text") - F.length(F.replace("__text", F.lit("\n"))) + 1
-    marked = marked.withColumn("kept", kept).withColumn("n_lines", n_lines.cast("long"))
-    return marked.withColumn("n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long")).drop("__text", "__drop")
+    rows = _cleaned(docs.select("doc_id", "text"), batches, fanout)
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__kept").alias("kept"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the common lines taken out of their texts; n_chars follows, all other columns stay."""
     own = docs.columns
-    out = drop_common_lines(docs.select(*own)).withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text")))
+    changed = F.col("__n_dropped") > 0
+    out = _cleaned(docs, BATCHES, FANOUT).withColumn("text", F.when(changed, F.col("__kept")).otherwise(F.col("text")))
     if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*own)
 
 
 def op8_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = drop_common_lines(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

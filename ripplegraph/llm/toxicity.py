@@ -149,23 +149,23 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_w
     table_of = rows.select("y", "words").mapInPandas(bits, "y int, x binary").toPandas().sort_values(["x", "y"])
     x = np.unpackbits(np.frombuffer(b"".join(table_of["x"]), np.uint8).reshape(len(table_of), -1), axis=1)[:, :width].astype(np.float32)
     pairs = rows.select(F.explode(F.arrays_zip("a", "b")).alias("s")).groupBy("s.a", "s.b").count().collect()
-    pairs = sorted((number[a], number.get(b, -1), c) for a, b, c in pairs if a in number and (b == "" or b in number))
+    # A term that the sample doesn't have weighs nothing in the swapped sentence's score, like a removed one.
+    pairs = sorted((number[a], number.get(b, -1), c) for a, b, c in pairs if a in number)
     w, b = fit(x, table_of["y"].to_numpy(float), [(i, j, float(c)) for i, j, c in pairs], pairing)
     return Model(b, {word: float(v) for word, v in zip(vocab, w)})
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1) from every whole text; null and empty texts score the bias."""
-    fields = docs.schema
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs with a score (0 to 1) from every whole text; null and empty texts score the bias."""
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         keys = weights.keys()
-        z = np.array([sum(weights[w] for w in sorted(text_words(t) & keys)) for t in texts]) + bias
+        z = np.array([sum(weights[w] for w in sorted(text_words(t) & keys)) for t in texts], float) + bias
         return pd.Series(1 / (1 + np.exp(-z)))
 
-    return docs.select(*fields.names, of("text").alias("score"))
+    return docs.withColumn(out, of("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,12 +180,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier does not reject; columns as they came."""
-    own = docs.columns
     model = train(docs, table(spark, sf_dir, "labels"))
-    fresh = docs.select(*[F.col(f"`{c}`") for c in own])
-    scored = score(fresh.withColumnRenamed("score", "__own_score") if "score" in own else fresh, model)
-    kept = scored.where(F.col("score") < THRESHOLD).drop("score")
-    return (kept.withColumnRenamed("__own_score", "score") if "score" in own else kept).select(*own)
+    return score(docs, model, "__toxic_score").where(F.col("__toxic_score") < THRESHOLD).drop("__toxic_score")
 
 
 def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
