@@ -206,10 +206,17 @@ def parse(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"conv": pdf["conv"], "i": pdf["block"], "m": [block_matrix(s, model).ravel() for s in pdf["symbols"]]})
-
-    mats = materialize(seen.mapInPandas(matrices, "conv string, i long, m array<double>"))
-    ends = chain_states(mats).withColumnRenamed("i", "block")
+            mats = [block_matrix(s, model) for s in pdf["symbols"]]
+            yield pd.DataFrame({"conv": pdf["conv"], "i": pdf["block"], "m": [m.ravel() for m in mats], "alone": [int(m[START].argmax()) for m in mats]})
+
+    mats = materialize(seen.mapInPandas(matrices, "conv string, i long, m array<double>, alone int"))
+    # Most conversations are one block, which ends in its own best state; only the others are chained.
+    lasts = materialize(mats.groupBy("conv").agg(F.max("i").alias("last")))
+    mats = mats.join(lasts, "conv")
+    alone = mats.where("last = 0").select("conv", "i", F.lit(START).alias("enter"), F.col("alone").alias("leave"))
+    most = lasts.agg(F.max("last")).first()[0] or 0  # one number
+    ends = alone if most == 0 else alone.unionByName(chain_states(mats.where("last > 0").select("conv", "i", "m"), most))
+    ends = ends.withColumnRenamed("i", "block")
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
