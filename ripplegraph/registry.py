@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ripplegraph.operators import events, graph, market  # noqa: F401  each registers its queries
+from ripplegraph.functions import text  # noqa: F401  each module registers its queries
+from ripplegraph.operators import events, graph, market  # noqa: F401
 from ripplegraph.plans.catalog import ORACLE_SQL, QUERIES
+from ripplegraph.streaming import events as stream_events  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
