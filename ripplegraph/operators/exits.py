@@ -95,12 +95,19 @@ def hourly_bars(events: DataFrame) -> DataFrame:
 
 
 def asof_bars(actions: DataFrame, bars: DataFrame) -> DataFrame:
-    """The ticker's first bar at or after each action (ticker, act): both are laid in one order and the next bar is carried back."""
+    """The ticker's first bar at or after each action (ticker, act).
+
+    Bars begin at whole hours, so actions ask for the hour that they round up to; the distinct hours and the bars are
+    laid in one order and the next bar is carried back.
+    """
+    whole = F.date_trunc("hour", "act").cast("timestamp_ntz")
+    asked = actions.withColumn("at", F.when(F.col("act") == whole, whole).otherwise(whole + F.expr("interval 1 hour")))
     b = bars.select("ticker", F.col("bar").alias("at"), F.lit(1).alias("kind"), "bar", "b_idx", "open")
-    both = actions.withColumn("at", F.col("act")).withColumn("kind", F.lit(0)).unionByName(b, allowMissingColumns=True)
+    both = asked.select("ticker", "at", F.lit(0).alias("kind")).distinct().unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy("ticker").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     found = F.last(F.when(F.col("kind") == 1, F.struct("bar", "b_idx", "open")), ignorenulls=True).over(w)
-    return both.withColumn("b", found).where("kind = 0 and b is not null").select(*actions.columns, "b.bar", "b.b_idx", "b.open")
+    met = both.withColumn("b", found).where("kind = 0 and b is not null").select("ticker", "at", "b.*")
+    return asked.join(met, ["ticker", "at"]).drop("at")
 
 
 _BARS = """WITH bars AS (SELECT event_type AS ticker, date_trunc('hour', ts)::TIMESTAMP AS bar, arg_min(100 + value, struct_pack(t := ts, e := event_id)) AS open, arg_max(100 + value, struct_pack(t := ts, e := event_id)) AS close FROM events GROUP BY ALL),

@@ -17,14 +17,15 @@ COST = 0.001
 def next_session(signals: DataFrame, prices: DataFrame) -> DataFrame:
     """signals with ann_idx, ann_day: the first session of the ticker on or after pub (an as-of join forward).
 
-    Sessions and signals are interleaved by day and the next session is carried back, so no range join is made.
+    The distinct days asked for and the sessions are interleaved and the next session is carried back, so no range
+    join is made and a window holds days, however many signals a ticker has.
     """
     s = prices.select("ticker", F.col("day").alias("at"), F.lit(1).alias("kind"), "t_idx", F.col("day").alias("ann_day"))
-    q = signals.withColumn("at", F.col("pub")).withColumn("kind", F.lit(0))
+    q = signals.select("ticker", "pub", F.col("pub").alias("at"), F.lit(0).alias("kind")).distinct()
     both = q.unionByName(s, allowMissingColumns=True)
     w = Window.partitionBy("ticker").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("ann_idx", F.last("t_idx", ignorenulls=True).over(w)).withColumn("ann_day", F.last("ann_day", ignorenulls=True).over(w))
-    return found.where("kind = 0").drop("at", "kind", "t_idx")
+    return signals.join(found.where("kind = 0").select("ticker", "pub", "ann_idx", "ann_day"), ["ticker", "pub"])
 
 
 def outcomes(signals: DataFrame, prices: DataFrame, benchmark: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
