@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ripplegraph.functions import text  # noqa: F401  each module registers its queries
-from ripplegraph.operators import events, exits, graph, market, news, propagate, resolve, study  # noqa: F401
+from ripplegraph.operators import cohorts, events, exits, graph, hubs, market, news, propagate, resolve, study, upkeep  # noqa: F401
 from ripplegraph.plans.catalog import ORACLE_SQL, QUERIES
 from ripplegraph.streaming import events as stream_events  # noqa: F401
 
