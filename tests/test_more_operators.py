@@ -117,3 +117,12 @@ def test_betweenness_against_all_shortest_paths(spark):
     edges = spark.createDataFrame([(f"{s}>{t}", s, t, "supplies", 0.9, 1.0, False, False) for s, t in pairs], EDGE)
     got = {r.id: r.betweenness for r in path_scores(nodes, edges).collect()}
     assert got == pytest.approx(want)
+
+
+def test_refinement_takes_weak_rows_with_two_strong_neighbours(spark):
+    rows = [(1, "a", 0, "positive", 0.5), (1, "b", 1, "negative", 0.3), (1, "c", 1, "no_effect", 0.0), (1, "d", 1, "negative", 0.1), (1, "e", 1, "positive", 0.19), (1, "s", 1, "positive", 0.35), (2, "a", 0, "positive", 0.9), (2, "c", 1, "no_effect", 0.0)]
+    trace = spark.createDataFrame(rows, "event_id long, id string, hop int, direction string, magnitude double")
+    links = [("a", "c"), ("c", "b"), ("b", "c"), ("a", "d"), ("e", "d"), ("a", "b"), ("a", "s"), ("b", "s")]  # s is not weak, d has one strong neighbour
+    edges = spark.createDataFrame([(f"{s}>{t}", s, t, "supplies", 0.9, 1.0, False, False) for s, t in links], EDGE)
+    got = [(r.event_id, r.id, r.n, r.pos, r.neg) for r in propagate.refine_rows(trace, edges).collect()]
+    assert sorted(got) == [(1, "b", 2, 850000, 0), (1, "c", 2, 500000, 300000)]
