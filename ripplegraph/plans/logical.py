@@ -61,6 +61,20 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_type IN ('purchase', 'signup') THEN 'positive' WHEN event_type = 'error' THEN 'negative' ELSE 'no_effect' END AS direction,
                round(least(1.0, abs(value) / 100), 4) AS magnitude, cast(event_id % 3 AS int) AS hop, value
         FROM {events}""",
+    "headlines": """
+        SELECT event_id, ts, concat(event_type, '-', user_id % 4) AS feed, concat('cus-', user_id) AS seed, value AS sentiment,
+               concat('https://example.org/', user_id, '/', event_id % 7) AS url,
+               CASE event_type WHEN 'signup' THEN NULL WHEN 'purchase' THEN cast(99 AS double) ELSE value / 40 END AS prior,
+               CASE event_id % 10 WHEN 0 THEN concat('Customer ', user_id, ' agrees to acquire a rival for $', event_id % 50 + 1, ' million')
+                    WHEN 1 THEN concat('Should you buy customer ', user_id, ' now, before quarter ', event_id % 4, ' ends?')
+                    WHEN 2 THEN concat('Customer ', user_id, ' shares rise ', event_id % 9 + 1, '% after a quiet session')
+                    WHEN 3 THEN concat('Customer ', user_id, ' stock trades flat as revenue keeps growing')
+                    WHEN 4 THEN concat('Customer ', user_id, ' stock holds steady after recall of ', event_id % 90, ' units')
+                    WHEN 5 THEN concat('Revenue of customer ', user_id, ' rose again in region ', event_id % 5)
+                    WHEN 6 THEN concat('Shipments of customer ', user_id, ' delayed at port ', event_id % 6)
+                    WHEN 7 THEN concat('How to invest in customer ', user_id) WHEN 8 THEN NULL
+                    ELSE concat('Customer ', user_id, ' opens for the season in town ', event_id % 3) END AS headline
+        FROM {events}""",
     "daily": """
         SELECT ticker, day, 0.02 * (price / 100.0 - 53000) / 30000 AS r
         FROM (SELECT p_type AS ticker, cast(l_shipdate AS date) AS day, sum(cast(round(l_extendedprice * 100) AS bigint)) / count(*) AS price
