@@ -82,8 +82,8 @@ rp AS (SELECT a, e_idx, day, b, w, s * (car - (sum(car) OVER g - car) / (count(*
 ev AS (SELECT rp.* FROM rp JOIN lk ON lk.a = rp.a AND lk.b = rp.b)"""
 
 
-def build_events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, e_idx, day, b, window, ripple: each shock's linked tickers against the mean of the others on the same days.
+def ripples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(a, e_idx, day, b, window, ripple of every other ticker at each shock against the mean of the rest; the links a, b).
 
     Windows that are not complete give no row, nor do fewer than two controls.
     """
@@ -99,7 +99,13 @@ def build_events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = wide.unpivot(["a", "e_idx", "day", "s", "b"], list(WINDOWS), "window", "car").where("car is not null")
     g = Window.partitionBy("a", "e_idx", "window")
     long = long.withColumn("n", F.count("*").over(g)).where("n >= 3").withColumn("ripple", F.col("s") * (F.col("car") - (F.sum("car").over(g) - F.col("car")) / (F.col("n") - 1)))
-    return long.join(links, ["a", "b"]).select("a", "e_idx", "day", "b", "window", "ripple")
+    return long.select("a", "e_idx", "day", "b", "window", "ripple"), links
+
+
+def build_events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, e_idx, day, b, window, ripple of the tickers linked to the one that was shocked."""
+    every, links = ripples(spark, sf_dir)
+    return every.join(links, ["a", "b"]).select("a", "e_idx", "day", "b", "window", "ripple")
 
 
 @query(with_views("prices") + _EVENTS + " SELECT a, e_idx::INT AS e_idx, b, w AS \"window\", round(ripple, 5) + 0.0 AS ripple FROM ev")

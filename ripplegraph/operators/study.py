@@ -106,16 +106,20 @@ def clustered_mean_2way(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPS = 40
 
 
-def bootstrap(sums: DataFrame, reps: int = REPS, alpha: float = 0.05) -> DataFrame:
-    """low and high of the mean over resampled clusters (g = 0.., s, m): draws are hashes of (rep, place), so reruns agree.
+def bootstrap_means(sums: DataFrame, reps: int = REPS) -> DataFrame:
+    """rep, mean over resampled clusters (g = 0.., s, m): draws are hashes of (rep, place), so reruns agree.
 
     Every rep's draws are rows joined to the clusters by number; no rep is gathered in one task.
     """
     n = sums.count()
     drawn = sums.sparkSession.range(n).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", "rep", "id")), 1, 8), 16, 10).cast("long") % F.lit(max(n, 1))
-    means = drawn.withColumn("g", pick).join(sums, "g").groupBy("rep").agg((F.sum("s") / F.sum("m")).alias("mean"))
-    ranked = means.agg(F.sort_array(F.collect_list("mean")).alias("a"))  # `reps` numbers
+    return drawn.withColumn("g", pick).join(sums, "g").groupBy("rep").agg((F.sum("s") / F.sum("m")).alias("mean"))
+
+
+def bootstrap(sums: DataFrame, reps: int = REPS, alpha: float = 0.05) -> DataFrame:
+    """low and high of the mean over resampled clusters."""
+    ranked = bootstrap_means(sums, reps).agg(F.sort_array(F.collect_list("mean")).alias("a"))  # `reps` numbers
     at = lambda p: F.col("a")[min(int(p * reps), reps - 1)]
     return ranked.select(F.round(at(alpha / 2), 6).alias("ci_low"), F.round(at(1 - alpha / 2), 6).alias("ci_high"))
 
