@@ -63,7 +63,7 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     "headlines": """
         SELECT event_id, ts, concat(event_type, '-', user_id % 4) AS feed, concat('cus-', user_id) AS seed, value AS sentiment,
-               concat('https://example.org/', user_id, '/', event_id % 7) AS url,
+               concat('https://example.org/', user_id, '/', event_id % 97) AS url,
                CASE event_type WHEN 'signup' THEN NULL WHEN 'purchase' THEN cast(99 AS double) ELSE value / 40 END AS prior,
                CASE event_id % 10 WHEN 0 THEN concat('Customer ', user_id, ' agrees to acquire a rival for $', event_id % 50 + 1, ' million')
                     WHEN 1 THEN concat('Should you buy customer ', user_id, ' now, before quarter ', event_id % 4, ' ends?')
