@@ -1,6 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-A logistic model over the words that a text has. Identity terms in labelled sentences are swapped
+A logistic model over the words that a text has and the stems (word beginnings) of its longer words, so that forms of
+a word that training never saw still count. Identity terms in labelled sentences are swapped
 for others of their group, and the squared change of the sentence's score is penalised (counterfactual logit
 pairing; Garg and others, 2019), so that naming a group says little about toxicity by itself.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.session import materialize, table
 
-#: The documented bounds of training: labelled rows used (the first by hash of their id) and words of the model.
+#: The documented bounds of training: labelled rows used (the first by hash of their id) and words and stems of the model.
 MOST_ROWS, MOST_WORDS = 12_000, 1_500
 THRESHOLD = 0.3
 PAIRING, RIDGE = 2.0, 2e-4
@@ -38,6 +39,10 @@ IDENTITY = [
     ["mujeres", "hombres", "cristianos", "musulmanes", "judíos", "extranjeros", "inmigrantes"],
 ]
 _SWAP = {w: (g, i) for g, group in enumerate(IDENTITY) for i, w in enumerate(group)}
+#: Lengths of stems. Identity terms have none, so a swap changes the term's own weight alone.
+STEMS = (5, 6, 7, 8)
+#: Words whose features a task remembers.
+_REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -46,6 +51,15 @@ def text_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def word_features(word: str) -> list[str]:
+    """The word, and each stem that it goes on from, written stem+."""
+    return [word] if word in _SWAP else [word, *(word[:k] + "+" for k in STEMS if len(word) > k)]
+
+
+def text_features(text: str | None) -> set[str]:
+    return {f for w in text_words(text) for f in word_features(w)}
+
+
 def swaps(text: str | None) -> list[tuple[str, str]]:
     """(term, what stands for it in the swapped sentence) for each identity term of each sentence.
 
@@ -70,7 +84,7 @@ class Model:
     weights: dict[str, float]
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in text_words(text) & self.weights.keys())
+        z = self.bias + sum(self.weights[f] for f in text_features(text) & self.weights.keys())
         return float(1 / (1 + np.exp(-z)))
 
 
@@ -110,7 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: list[tuple[int, int, float]], pairi
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pairs = [swaps(t) for t in pdf["text"]]
-        yield pd.DataFrame({"y": pdf["y"], "words": [sorted(text_words(t)) for t in pdf["text"]], "a": [[p[0] for p in x] for x in pairs], "b": [[p[1] for p in x] for x in pairs]})
+        yield pd.DataFrame({"y": pdf["y"], "words": [sorted(text_features(t)) for t in pdf["text"]], "a": [[p[0] for p in x] for x in pairs], "b": [[p[1] for p in x] for x in pairs]})
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, pairing: float = PAIRING) -> Model:
@@ -160,10 +174,22 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        keys = weights.keys()
-        z = np.array([sum(weights[w] for w in sorted(text_words(t) & keys)) for t in texts], float) + bias
-        return pd.Series(1 / (1 + np.exp(-z)))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[str]] = {}  # word -> its features that the model has; most words have none
+        for texts in batches:
+            z = np.full(len(texts), bias)
+            for i, t in enumerate(texts):
+                found: set[str] = set()
+                for w in text_words(t):
+                    has = known.get(w)
+                    if has is None:
+                        if len(known) >= _REMEMBERED:
+                            known.clear()
+                        has = known[w] = [f for f in word_features(w) if f in weights]
+                    if has:
+                        found.update(has)
+                z[i] += sum(weights[f] for f in sorted(found))
+            yield pd.Series(1 / (1 + np.exp(-z)))
 
     return docs.withColumn(out, of("text"))
 
