@@ -201,11 +201,11 @@ def verify(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def join_ngrams(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_links (other texts with similarity >= the threshold), copies (rows with its text) and node of every row.
+    """doc_id, class_id (the least doc_id of its class), n_links (other texts with similarity >= the threshold), copies (rows with its text), node and keeper of every row.
 
     Texts without words (null, empty, white space) link to nothing: each row is its own class, node null.
     A text of fewer than five words has one shingle, of all its words. Null ids count as none: a class with
-    no other id has class_id null. Repeated rows are copies of each other. An empty table gives an
+    no other id has class_id null; keeper is the node of its text with the least id, then the least node. Repeated rows are copies of each other. An empty table gives an
     empty result; extra columns are not read.
     """
     bands, rows = choose_bands(THRESHOLD, recall)
@@ -225,25 +225,25 @@ def join_ngrams(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     roots = components(checked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = copies.join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = materialize(known)
-    least = known.groupBy("root").agg(F.min("id").alias("class_id"))
-    known = known.join(least, "root").select(F.col("node").alias("__n"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
+    least = known.groupBy("root").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "node"))["node"].alias("keeper"))
+    known = known.join(least, "root").select(F.col("node").alias("__n"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies", "keeper")
     out = found.select("doc_id", "node").join(known, F.col("node") == F.col("__n"), "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "node")
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "node", "keeper")
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the least doc_id; columns as they came.
+    """One document of each class, its keeper with the least doc_id; columns as they came.
 
-    Rows that repeat the kept id and text are one document. A class without ids keeps one row of its least text.
+    Rows that repeat the kept id and text are one document. A class without ids keeps one row of its least text, and
+    rows without words, each its own class, all stay.
     """
     own = docs.columns
     joined = join_ngrams(docs.select("doc_id", "text"))
-    kept = joined.where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.min("node").alias("__node")).select(F.col("doc_id").alias("__id"), "__node")
-    wordless = joined.where("node is null").select("doc_id").distinct().select(F.col("doc_id").alias("__id"), F.lit(None).cast("string").alias("__node"))
+    kept = joined.where((F.col("node") == F.col("keeper")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
     rows = docs.withColumn("__own", F.when(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.md5("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__node"))
-    matched = rows.join(kept.unionByName(wordless), on)
-    return matched.dropDuplicates(["__id", "__node"]).select(*own)
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node"))
+    matched = rows.join(kept, on).dropDuplicates(["__node"]).select(*own)
+    return matched.unionByName(rows.where("__own is null").select(*own))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

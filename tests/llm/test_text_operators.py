@@ -139,6 +139,15 @@ def test_join_stage_keeps_one_of_each_class(spark, odd_docs, odd_rows):
     assert set(ids) - {None} == classes and len(ids) == len(set(ids))
 
 
+def test_join_stage_keeps_every_class_without_an_id_of_its_own(spark):
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    near = word("n", 60)
+    rows = [(None, word("a", 30)), (None, word("b", 30)), (None, word("b", 30)), (7, word("c", 30)), (7, word("d", 30)), (None, near), (8, near + " more"), (9, near), (None, None), (None, " "), (3, ""), (3, "")]
+    kept = ngram_join.ngram_join_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    want = [(None, word("a", 30)), (None, word("b", 30)), (7, word("c", 30)), (7, word("d", 30)), (8, near + " more"), (None, None), (None, " "), (3, ""), (3, "")]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 # Line dedup
 
 
