@@ -199,7 +199,7 @@ def chain_states(mats: DataFrame, most: int | None = None, fan: int = CHAIN) ->
 
 
 def parse(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """conv, turn (recovered, from 0), role, n_lines, text (markers stripped) and source_role (of the turn's first line)."""
+    """conv, turn (recovered, from 0), role, n_lines, text (opening markers stripped) and source_role (of the turn's first line)."""
     item = F.struct("k", "n", "symbol", "line", "source_role")
     blocks = materialize(lines.groupBy("conv", "block").agg(F.sort_array(F.collect_list(item)).alias("items")))
     seen = blocks.select("conv", "block", F.col("items.symbol").alias("symbols"))
@@ -234,8 +234,10 @@ def parse(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     rows = blocks.join(decoded, ["conv", "block"]).select("conv", "block", "earlier", F.posexplode(F.arrays_zip("items", "path", "begins")).alias("at", "x"))
     inside = Window.partitionBy("conv", "block").orderBy("at")
     turn = (F.col("earlier") + F.sum("x.begins").over(inside) - 1).cast("long")
-    rows = rows.select("conv", turn.alias("turn"), "x.path", "x.items.k", "x.items.n", "x.items.line", "x.items.source_role")
-    rows = rows.withColumn("line", F.regexp_replace("line", F.lit(MARK % ANY), F.lit("")))
+    rows = rows.select("conv", turn.alias("turn"), "x.path", "x.begins", "x.items.k", "x.items.n", "x.items.symbol", "x.items.line", "x.items.source_role")
+    # Only a marker that opens the turn is one; the same words elsewhere are content.
+    opens = (F.col("begins") == 1) & (F.floor(F.col("symbol") / (2 * LENGTHS)) == F.floor(F.col("path") / 2))
+    rows = rows.withColumn("line", F.when(opens, F.regexp_replace("line", F.lit(MARK % ANY), F.lit(""))).otherwise(F.col("line")))
     turns = rows.groupBy("conv", "turn").agg(F.sort_array(F.collect_list(F.struct("k", "n", "path", "line", "source_role"))).alias("l"))
     first = F.col("l")[0]
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.floor(first["path"] / 2) + 1).cast("int"))

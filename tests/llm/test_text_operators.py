@@ -247,6 +247,16 @@ def test_chat_on_odd_rows(spark):
     assert chat.format_conversations(messages.limit(0)).count() == 0
 
 
+def test_only_opening_markers_are_stripped(spark):
+    move = np.full((chat.STATES + 1, chat.STATES + 1), -np.inf)
+    move[chat.START, 0] = move[0, 1] = move[1, 1] = 0.0  # one turn of the user
+    model = {"move": move, "emit": np.vstack([np.zeros((chat.STATES, chat.SYMBOLS)), np.full(chat.SYMBOLS, -np.inf)])}
+    body = "hello\nNote: see below\nAnswer\nAnswer: 42\n[system] x\n# Model\na\nend"
+    rows = [("1", 0, "user", "User: " + body), ("2", 0, "user", "Note: " + body)]
+    lines = chat.lines_of(spark.createDataFrame(rows, "conv string, k long, source_role string, text string"))
+    assert {r.conv: r.text for r in chat.parse(lines, model).collect()} == {"1": body, "2": "Note: " + body}
+
+
 # Pipeline
 
 
