@@ -130,7 +130,7 @@ def coshock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select(F.col("ticker").alias("a"), F.col("t_idx").cast("int").alias("e_idx"), "day").join(recent, "day").where("a <> b").select("a", "e_idx", "b").distinct()
 
 
-PERMS = 20
+PERMS = 500
 
 
 def relabel(pairs: DataFrame, pool: DataFrame, perms: int = PERMS) -> DataFrame:

@@ -103,7 +103,7 @@ def clustered_mean_2way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.round(F.lit(mean), 6).alias("mean"), F.round(F.lit((both if both > 0 else max(v1, v2)) ** 0.5), 6).alias("se"))
 
 
-REPS = 40
+REPS = 1000
 
 
 def bootstrap_means(sums: DataFrame, reps: int = REPS) -> DataFrame:

@@ -126,3 +126,12 @@ def test_refinement_takes_weak_rows_with_two_strong_neighbours(spark):
     edges = spark.createDataFrame([(f"{s}>{t}", s, t, "supplies", 0.9, 1.0, False, False) for s, t in links], EDGE)
     got = [(r.event_id, r.id, r.n, r.pos, r.neg) for r in propagate.refine_rows(trace, edges).collect()]
     assert sorted(got) == [(1, "b", 2, 850000, 0), (1, "c", 2, 500000, 300000)]
+
+
+def test_resamples_and_permutations_are_as_many_as_the_reference_has(spark):
+    from ripplegraph.operators import cohorts, study
+
+    sums = spark.createDataFrame([(0, 1.0, 1), (1, 2.0, 1)], "g long, s double, m long")
+    assert study.bootstrap_means(sums).count() == 1000
+    pool = spark.createDataFrame([("x", i, c) for i, c in enumerate("cd")], "sector string, i long, c string")
+    assert cohorts.relabel(spark.createDataFrame([("a", "b", "x")], "a string, b string, sector string"), pool).select("perm").distinct().count() == 500
