@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension is broadcast; beyond it the join shuffles (and AQE splits skew).
 BROADCAST_ROWS = 50_000
+#: At most so many keys can each hold the HOT_KEYS-th part of all rows; these are broadcast by join_counted.
+HOT_KEYS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is configured (tests)."""
+    """The shared folder that the session names. Without one, a temporary folder in local mode; on a cluster that fails, as other machines would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ripplegraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="ripplegraph-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that two readers share one computation."""
     checkpoint_dir(df.sparkSession)
@@ -39,6 +53,24 @@ def join_dimension(df: DataFrame, dim: DataFrame, on: Column, how: str = "inner"
     return df.join(F.broadcast(dim) if rows <= BROADCAST_ROWS else dim, on, how)
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str, total: int | None = None) -> DataFrame:
+    """rows joined to `keyed`, which has one row for each key with the number `n` of the rows that the key has; n is dropped.
+
+    A key with at least the HOT_KEYS-th part of all rows meets them by broadcast, so its rows are not brought together;
+    such keys are HOT_KEYS at most. Every other key has fewer rows than that and is shuffled. Both inputs
+    are read twice: give materialised ones. `total` is the sum of n, if it is known.
+    """
+    if total is None:
+        total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_KEYS >= F.lit(total)
+    few = F.broadcast(keyed.where(hot).drop(n))
+    met = rows.join(few, key)
+    if total <= HOT_KEYS:  # every key is hot
+        return met
+    others = rows.join(F.broadcast(keyed.where(hot).select(*key)), key, "left_anti")
+    return met.unionByName(others.join(keyed.where(~hot).drop(n), key))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session, for clusters where it isn't installed."""
     import shutil
