@@ -4,8 +4,9 @@
 2. A text's MinHash signature over its five-word shingles is cut into bands; band and row counts are chosen
    for a target recall at the threshold. Band hashes are shuffled, and each text of a bucket is tied to the
    bucket's least text: a star, never all pairs.
-3. Connected texts (usually a handful) form a group. Inside a group, blocks of bounded size are compared with each
-   other on the full shingle sets, so links that banding saw only through a third text are found too.
+3. Connected texts (usually a handful) form a group. A large group is cut into classes by the number of shingles, of
+   which only neighbours can hold links, and the classes into blocks of bounded size. Blocks are compared on the
+   full shingle sets, so links that banding saw only through a third text are found too.
    A task holds two blocks; no pair of a block leaves it, only each text's number of links and a
    spanning forest of the verified links.
 4. The components of the verified links are the classes.
@@ -19,16 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import textbytes as tb
-from ripplegraph.session import materialize, table
+from ripplegraph.session import join_counted, materialize, table
 
 WIDTH, THRESHOLD = 5, 0.8
 RECALL, MOST_HASHES = 0.9995, 128
-#: Texts of a block; a task compares two.
-BLOCK = 128
+#: Most texts of a block, and shingles that it holds at about; a task compares two. Each text of a group of m meets about m / BLOCK blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -84,8 +85,8 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 40) -> DataFrame:
     """node, root (its component's least node) for every node of the edges: alternating large and small stars (Kiveris and others, 2014).
 
-    Each round is two aggregations and joins on the nodes, checkpointed; minima combine before the
-    shuffle and AQE splits the rows of a star's centre. Rounds grow as the logarithm of the components.
+    Each round is two aggregations, whose minima combine before the shuffle, and two joins, in which the centre of a large star
+    meets its rows by broadcast (join_counted), so none brings them together. Rounds grow as the logarithm of the components.
     """
     spark = edges.sparkSession
     edges = materialize(edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct())
@@ -93,12 +94,12 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u is tied to the least of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.where("v > u"), materialize(least), ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours are tied to the least of them.
         large = materialize(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_counted(large, least, ["u"], "n").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -168,10 +169,10 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """One pair of blocks of a group: each text's links in it, and a spanning forest (links 0, with the other's node)."""
-    first, second = pdf["first"].iloc[0], pdf["second"].iloc[0]
+    top = pdf.iloc[0]
     pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
     link = linked([np.frombuffer(s, np.uint64) for s in pdf["grams"]])
-    if first != second:  # pairs inside a block are counted where it meets itself
+    if (top["s1"], top["b1"]) != (top["s2"], top["b2"]):  # pairs inside a block are counted where it meets itself
         side = pdf["block"].to_numpy()
         link &= side[:, None] != side[None, :]
     node = pdf["node"].tolist()
@@ -180,24 +181,43 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "links", "other"]).astype({"links": "int64"})
 
 
-def verify(texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """node, links, other from (node, root, text): block by block inside each root's group."""
+def verify(texts: DataFrame, block: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """node, links, other from (node, root, text): block by block inside each root's group.
+
+    Sets whose sizes differ by more than the factor 1 / threshold can't be linked, so with size classes of that width a text
+    meets the blocks of its own class and of the two beside it. A group that fits one block is not cut.
+    """
+    block, width = block or BLOCK, -math.log(threshold) + 1e-9
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = pa.array([s.tobytes() for s in shingle_sets(batch.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), grams], ["node", "root", "grams"])
-
-    sizes = texts.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    texts = texts.join(sizes.withColumnRenamed("root", "__r"), F.col("root") == F.col("__r")).drop("__r")
-    placed = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # Small groups share a task through a hash, so a task sees few and full groups.
-    made = placed.select("node", F.concat_ws(":", "root", F.col("block").cast("string"), F.col("parts").cast("string")).alias("root"), "text").mapInArrow(sets, "node string, root string, grams binary")
-    split = F.split("root", ":")
-    made = made.select("node", split[0].alias("root"), split[1].cast("int").alias("block"), split[2].cast("int").alias("parts"), "grams")
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("first"), F.greatest(o, F.col("block")).alias("second")))
-    met = made.select("node", "root", "block", "grams", F.inline(meets))
-    return met.groupBy("root", "first", "second").applyInPandas(_compare, "node string, links long, other string")
+            found = shingle_sets(batch.column(2))
+            size = pa.array([int(math.log(max(len(s), 1)) / width) for s in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array([s.tobytes() for s in found], pa.binary())], ["node", "root", "size", "grams"])
+
+    made = materialize(texts.select("node", "root", "text").mapInArrow(sets, "node string, root string, size int, grams binary"))
+    # A row for each root and size class: at most a hundred or so for each group, whatever its texts.
+    counts = made.groupBy("root", "size").agg(F.count("*").alias("n"))
+    group, by_size = Window.partitionBy("root"), Window.partitionBy("root").orderBy("size")
+    each = F.least(F.lit(block), F.greatest(F.floor(BLOCK_SHINGLES / F.exp(width * (F.col("size") + 1))), F.lit(16)))
+    counts = counts.withColumn("whole", F.sum(F.col("n") / each).over(group) <= 1).withColumn("parts", F.when(F.col("whole"), 1).otherwise(F.ceil(F.col("n") / each)).cast("int"))
+    beside = lambda move, d: F.when((move("size").over(by_size) - F.col("size") == d) & ~F.col("whole"), move("parts").over(by_size)).otherwise(0)
+    counts = counts.withColumn("below", beside(F.lag, -1)).withColumn("above", beside(F.lead, 1)).withColumn("share", F.col("n"))
+    placed = join_counted(made, materialize(counts), ["root", "size"], "share")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("mine")
+    placed = placed.select("node", "root", F.when(F.col("whole"), 0).otherwise(F.col("size")).alias("size"), own, "parts", "below", "above", "grams")
+    # (class and block) of the lower and the upper of the two blocks that meet.
+    blocks = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda s1, b1, s2, b2: F.struct(s1.alias("s1"), b1.alias("b1"), s2.alias("s2"), b2.alias("b2"))
+    size, mine = F.col("size"), F.col("mine")
+    meets = F.concat(
+        F.transform(blocks(F.col("parts")), lambda o: cell(size, F.least(o, mine), size, F.greatest(o, mine))),
+        F.transform(blocks(F.col("below")), lambda o: cell(size - 1, o, size, mine)),
+        F.transform(blocks(F.col("above")), lambda o: cell(size, mine, size + 1, o)),
+    )
+    side = F.concat_ws(":", "size", "mine").alias("block")
+    met = placed.select("node", "root", side, "grams", F.inline(meets))
+    return met.groupBy("root", "s1", "b1", "s2", "b2").applyInPandas(_compare, "node string, links long, other string")
 
 
 def join_ngrams(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -213,8 +233,8 @@ def join_ngrams(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     copies = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     # Equal texts have equal bands: any row of a text speaks for it.
     spoken = found.where("node is not null").select("node", F.explode("bands").alias("band"))
-    buckets = spoken.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
-    stars = spoken.join(buckets, "band").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    buckets = materialize(spoken.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most").select("band", "least", "n"))
+    stars = join_counted(spoken, buckets, ["band"], "n").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = materialize(components(stars))
     # One row speaks for a text, so copies don't meet in one task: the join is on the least id, the text's hash a check.
     reps = groups.join(copies, "node").select("node", "root", "id")
