@@ -14,9 +14,10 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ripplegraph.llm.ranks import copies
 from ripplegraph.session import join_dimension, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,7 +92,7 @@ def landing(p: list[float], size: list[float]) -> list[float]:
 
 
 def _settle_block(pdf: pd.DataFrame, last: bool, seed: int, turn: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "__h", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
+    pdf = pdf.sort_values(["size", "__h", "__h2", "__copy"], ascending=[False, True, True, True], kind="stable")
     source = pdf["source"].iloc[0]
     rng = random.Random(f"{seed}/{turn}/{source!r}/{pdf['__block'].iloc[0]}")
     size = pdf["size"].astype(float).tolist()
@@ -103,16 +104,24 @@ def _settler(last: bool, seed: int, turn: int):
     return lambda pdf: _settle_block(pdf, last, seed, turn).drop(columns=["__block", "__parts"])
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken and __h (a hash of the text) for every row of docs.
+def row_hash(docs: DataFrame, columns: list[str]) -> list[Column]:
+    """128 bits over the columns of a row (__h, __h2), nulls told apart from empty values and from their neighbours."""
+    nulls = F.concat(*[F.isnull(c).cast("int").cast("string") for c in columns])
+    return [F.xxhash64(nulls, *columns).alias("__h"), F.xxhash64(F.lit(1), nulls, *columns).alias("__h2")]
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, key: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken, __h and __h2 (a hash of the `key` columns) for every row of docs.
 
     Null source: a source of its own, last in order. Null or wordless text: size 0, never taken.
-    Repeated rows are drawn each for itself. Equal sizes: any pair of them keeps both totals, and ties
-    in order fall to the text's hash, so reruns agree. An empty table gives an empty result; extra
+    Rows that agree in the key (doc_id, source and text) are drawn each for itself, told apart by their number. Equal sizes: any
+    pair of them keeps both totals, and ties in order fall to the hash, so reruns agree. An empty table gives an empty result; extra
     columns are not read.
     """
+    key = key or ["doc_id", "source", "text"]
     # Ids travel as text: pandas would turn integers beside nulls into floats.
-    rows = materialize(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("__h")))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", word_count().alias("size"), *row_hash(docs, key))
+    rows = materialize(copies(rows, "__copy"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("__docs"))
     targets = materialize(source_targets(sizes, weights, share, most))
     dim = targets.select(F.col("source").alias("__s"), "source_size", "target", "__docs")
@@ -123,14 +132,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     fraction = F.greatest(F.col("__times") - F.col("__whole"), F.lit(0.0))
     rows = rows.withColumn("__p", F.when(fraction < _TINY, 0.0).otherwise(fraction))
     rows = rows.withColumn("__parts", F.greatest(F.ceil(F.col("__docs") / BLOCK), F.lit(1)))
-    open_rows = rows.where(F.col("__p") > 0).select("doc_id", "source", "size", "__h", "source_size", "target", "__whole", "__p", "__parts")
-    done = rows.where(F.col("__p") == 0).select("doc_id", "source", "size", "__h", "source_size", "target", "__whole", "__p")
+    open_rows = rows.where(F.col("__p") > 0).select("doc_id", "source", "size", "__h", "__h2", "__copy", "source_size", "target", "__whole", "__p", "__parts")
+    done = rows.where(F.col("__p") == 0).select("doc_id", "source", "size", "__h", "__h2", "__copy", "source_size", "target", "__whole", "__p")
     most_docs = targets.agg(F.max("__docs")).first()[0] or 0  # one number
-    turn, schema = 0, "doc_id string, source string, size long, __h long, source_size long, target double, __whole long, __p double"
+    turn, schema = 0, "doc_id string, source string, size long, __h long, __h2 long, __copy long, source_size long, target double, __whole long, __p double"
     while True:
         blocks = -(-most_docs // BLOCK)
         last = blocks <= 1
-        dealt = open_rows.withColumn("__block", F.pmod(F.xxhash64("__h", F.lit(turn)), F.col("__parts")))
+        dealt = open_rows.withColumn("__block", F.pmod(F.xxhash64("__h", "__copy", F.lit(turn)), F.col("__parts")))
 
         settled = dealt.groupBy("source", "__block").applyInPandas(_settler(last, seed, turn), schema)
         if last:
@@ -146,19 +155,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         open_rows = join_dimension(open_rows, parts, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
         turn += 1
     done = done.withColumn("copies", (F.col("__whole") + F.col("__p")).cast("long"))
-    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "__h")
+    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "__h", "__h2")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: each row as often as the mix takes it; columns as they came."""
-    counted = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__hh"), "copies")
-    # Rows that agree in id and text are drawn each for itself; what they took together is emitted once for their number.
-    counted = counted.groupBy("__id", "__hh").agg(F.sum("copies").alias("__copies"))
+    """The mixed corpus: each row as often as the mix takes it; columns as they came.
+
+    Nulls, empty texts, repeated rows and empty tables as in mix. Rows that agree in all their columns are drawn each for itself, and
+    what they took together is written for one of them.
+    """
     own = docs.columns
-    docs = docs.withColumn("__hh0", F.xxhash64("doc_id", "text"))
-    first = docs.dropDuplicates(["__hh0"])
-    on = (F.col("__hh0") == F.col("__hh")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return first.join(counted, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*own)
+    taken = mix(docs, key=own).where("copies > 0").groupBy("__h", "__h2").agg(F.sum("copies").alias("__copies"))
+    rows = docs.select("*", *row_hash(docs, own)).dropDuplicates(["__h", "__h2"]).join(taken, ["__h", "__h2"])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*own)
 
 
 def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
