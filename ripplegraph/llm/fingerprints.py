@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.llm import textbytes as tb
-from ripplegraph.session import join_dimension, shuffle_partitions, table
+from ripplegraph.session import join_dimension, table
 
 #: Share of all shingle hashes that a sketch keeps, and words of a shingle.
 FRACTION = 0.25
@@ -72,35 +75,78 @@ def sketches(texts: list[str], fraction: float = FRACTION) -> list[Sketch]:
     return out
 
 
+#: Bounds looked up at once; parts are found in two steps, so there may be FAN * FAN of them.
+FAN = 1024
+#: A text counts once in the quantiles for each so many bytes.
+_UNIT = 1 << 16
+
+
+def part_bytes(spark: SparkSession) -> int:
+    """Bytes of text of a part: what the session lets its scans read in a task."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def ranges(docs: DataFrame, parts: int) -> list[int]:
-    """Bounds that cut doc_id into about equal parts: `parts` numbers at most, from a mergeable quantile summary."""
+    """Bounds that cut the ids into parts of about equal bytes: `parts` - 1 numbers, from a mergeable quantile summary. An id that fills several parts is there as often."""
     if parts < 2:
         return []
-    row = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()
-    return sorted(set(row.q or []))
+    weighed = docs.select("id", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / _UNIT).cast("int"))))
+    row = weighed.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()
+    return list(row.q or [])
+
 
+def part_of(bounds: list[int], id_: Column, h: Column) -> Column:
+    """The number of bounds below the id, and inside an id that several bounds share a part by the hash of the text.
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
+    Parts rise with (id, h). Bounds are looked up in two steps, first among every FAN-th.
+    """
+    distinct = sorted(set(bounds))
+    if not distinct:
+        return F.lit(0)
+    times = {b: bounds.count(b) for b in distinct} if len(distinct) < len(bounds) else {}
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), F.lit(kind))  # noqa: E731 one constant, not an expression for each number
+    heads = distinct[::FAN]
+    groups = [distinct[i : i + FAN] for i in range(0, len(distinct), FAN)]
+    head = F.greatest(F.size(F.filter(literal(heads, "array<bigint>"), lambda b: b < id_)), F.lit(1))
+    inside = F.size(F.filter(F.element_at(literal(groups, "array<array<bigint>>"), head), lambda b: b < id_))
+    below = (head - 1) * FAN + inside
+    heavy = {b: n for b, n in times.items() if n > 1}
+    if not heavy:
+        return below
+    # An id with n bounds has n parts of its own; all later parts move up by as many as came before.
+    extra = list(itertools.accumulate((times[b] - 1 for b in distinct), initial=0))
+    at = F.element_at(literal(extra, "array<bigint>"), below + 1)
+    n = F.coalesce(F.try_element_at(literal({str(b): n for b, n in heavy.items()}, "map<string,bigint>"), id_.cast("string")), F.lit(1))
+    unit = F.shiftright(h, 10).cast("double") * F.lit(2.0**-53)  # of 63 bits, the upper 53
+    return (below + at + F.floor(unit * n)).cast("int")
+
+
+def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text and part, sorted inside parts of rising doc_id; the row that follows a part ends it, marked __after = 1.
 
-    One shuffle: the first row of each part, one of equal id and text where rows repeat, also goes to the part before it, and the first of all to the last.
-    Null ids come first.
+    One shuffle of the texts, of a part to a task: the first row of each part, one of equal id and text where rows repeat, also goes to
+    the part before it, and the first of all to the last. Null ids come first. Rows of one id are dealt by the hash of their
+    text where they are more than a part, so only rows that agree in both stay together.
     """
-    bounds = ranges(docs, parts)
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))), F.lit(0))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    heads = docs.groupBy(part.alias("part")).agg(F.min(F.col("doc_id")).alias("id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    # One row per part; each learns the part before it.
-    heads = sorted(((r.part, None if r.nulls else r.id) for r in heads.collect()), key=lambda r: r[0])
-    before = [(heads[i][1], heads[i][0], heads[i - 1][0]) for i in range(len(heads))]
     spark = docs.sparkSession
-    table_of = spark.createDataFrame(before or [(None, 0, 0)], "id long, of int, to int")
-    firsts = join_dimension(rows.withColumn("part", part), table_of, (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), rows=len(before))
-    firsts = firsts.groupBy("to").agg(F.min_by(F.struct("doc_id", "text"), order).alias("r")).select("r.doc_id", "r.text", F.col("to").alias("part"), F.lit(1).alias("__after"))
-    rows = rows.select("doc_id", "text", part.alias("part"), F.lit(0).alias("__after")).unionByName(firsts)
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "__after", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # Null ids stand at the least long.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+    sized = rows.select("id", F.octet_length("text").alias("size"))
+    if parts is None:
+        parts = max(-(-(sized.agg(F.sum("size")).first()[0] or 0) // part_bytes(spark)), spark.sparkContext.defaultParallelism)
+    bounds = ranges(sized, parts)
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)  # not negative
+    rows = rows.withColumn("h", h).withColumn("part", part_of(bounds, F.col("id"), F.col("h")))
+    heads = rows.groupBy("part").agg(F.min(F.struct("id", "h")).alias("first")).select("part", "first.id", "first.h").collect()  # a row a part
+    heads = sorted(heads, key=lambda r: r.part)
+    before = [(heads[i].id, heads[i].h, heads[i].part, heads[i - 1].part) for i in range(len(heads))]
+    table_of = spark.createDataFrame(before or [(0, 0, -1, -1)], "i long, x long, of int, to int")
+    on = (F.col("part") == F.col("of")) & (F.col("id") == F.col("i")) & (F.col("h") == F.col("x"))
+    firsts = join_dimension(rows, table_of, on, rows=len(before)).groupBy("to").agg(F.first(F.struct("doc_id", "text", "id", "h")).alias("r"))
+    firsts = firsts.select("r.doc_id", "r.text", "r.id", "r.h", F.col("to").alias("part"), F.lit(1).alias("__after"))
+    every = rows.select("doc_id", "text", "id", "h", "part", F.lit(0).alias("__after")).unionByName(firsts)
+    return every.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "__after", "id", "h").drop("id", "h")
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -153,7 +199,6 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
     than five words has one shingle. A single row is its own next one. Repeated rows follow each other.
     An empty table gives an empty result; extra columns are not read.
     """
-    parts = parts or 2 * shuffle_partitions(docs.sparkSession)
     return with_next(docs, parts).mapInArrow(_follow, _SCHEMA)
 
 
