@@ -1,9 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a document when a statistic exceeds a cutoff. Cutoffs come from labelled holdouts: for
-each stratum (language), rule and cutoff the false rejections among the good documents are counted, the exact
-(Clopper-Pearson) upper bound of their rate is taken at a confidence shared by all tests (Bonferroni), and
-of the cutoffs whose bound is within the limit the one that rejects most bad documents is used, or none.
+A rule rejects a document when a statistic exceeds a cutoff; a document is rejected if any rule rejects it. The cutoffs of all
+rules form one ladder, fixed beforehand, from mild to strict. For each stratum (language) the labelled holdout
+says how many good documents each step would reject, and steps are tested in order with the exact binomial
+bound until the first that can't be certified (fixed-sequence testing, so the steps share no confidence);
+the strata share it equally (Bonferroni). With chance 1 - delta no stratum loses more than the limit of its good
+documents to the rules together.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 from ripplegraph.llm import textbytes as tb
 from ripplegraph.session import join_dimension, materialize, table
 
-#: Most false rejections of a rule in a stratum, and the chance that any bound fails.
+#: Most of a stratum's good documents that the rules together may reject, and the chance that this fails in any stratum.
 LIMIT, DELTA = 0.01, 0.05
-#: The statistics, each rejecting above a cutoff, and the cutoffs tried.
+#: The statistics, each rejecting above a cutoff, and their cutoffs from mild to strict; a shorter list stays at its last.
 RULES = {
     "symbol_share": "n_symbols / greatest(n_words, 1)",
     "duplicate_line_share": "n_dup_lines / greatest(n_lines, 1)",
@@ -31,12 +33,13 @@ RULES = {
     "loud_share": "n_loud / greatest(n_words, 1)",
 }
 GRID = {
-    "symbol_share": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 1.2, 2.0],
-    "duplicate_line_share": [0.05, 0.1, 0.2, 0.3, 0.5, 0.7],
-    "repeat_share": [0.05, 0.1, 0.15, 0.2, 0.25, 0.3],
-    "word_length": [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0],
-    "loud_share": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8],
+    "symbol_share": [2.0, 1.2, 0.8, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02],
+    "duplicate_line_share": [0.7, 0.5, 0.3, 0.2, 0.1, 0.05],
+    "repeat_share": [0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
+    "word_length": [20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.0, 6.0],
+    "loud_share": [0.8, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02],
 }
+STEPS = max(len(g) for g in GRID.values())
 _SYMBOLS = tb.lookup(b"#*$%&|<>")
 _LINE = tb.lookup(b"\n", inside=False)
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_loud long"
@@ -125,64 +128,62 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(counts: pd.DataFrame, limit: float = LIMIT, delta: float = DELTA) -> pd.DataFrame:
-    """From stratum, rule, cutoff, good, good_above, bad_above: a cutoff (or none) for each stratum and rule.
+def cutoff(rule: str, step: int) -> float:
+    return GRID[rule][min(step, len(GRID[rule]) - 1)]
 
-    All stratum, rule and cutoff triples share delta equally, so with chance 1 - delta no chosen cutoff's
-    true false rejection rate is above the limit, however the choice among those within it is made.
-    """
-    share = delta / max(len(counts), 1)
+
+def choose_steps(counts: pd.DataFrame, limit: float = LIMIT, delta: float = DELTA) -> pd.DataFrame:
+    """From stratum, step, good, good_above: the strictest certified step of each stratum, if any, and the bound of its false rejections."""
+    share = delta / max(counts["stratum"].nunique(dropna=False), 1)
     rows = []
-    for (stratum, rule), g in counts.groupby(["stratum", "rule"], dropna=False):
+    for stratum, g in counts.groupby("stratum", dropna=False):
         best = None
-        for r in g.sort_values("cutoff", ascending=False).itertuples():
+        for r in g.sort_values("step").itertuples():
             # The bound is within the limit exactly if so few false rejections would be unlikely at the limit.
-            if r.good and binomial_tail(int(r.good_above), int(r.good), limit) <= share and r.bad_above > r.good_above and (best is None or r.bad_above > best.bad_above):
-                best = r
+            if not r.good or binomial_tail(int(r.good_above), int(r.good), limit) > share:
+                break
+            best = r
         if best is not None:
-            rows.append((stratum, rule, float(best.cutoff), upper_bound(int(best.good_above), int(best.good), share)))
-    return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "bound"])
+            rows.append((stratum, int(best.step), upper_bound(int(best.good_above), int(best.good), share)))
+    return pd.DataFrame(rows, columns=["stratum", "step", "bound"])
+
+
+def rejected(step: int | None = None):
+    """Does any rule reject at the step, or at the one in the column __step?"""
+    out = F.lit(False)
+    for rule, expression in RULES.items():
+        limit = F.lit(cutoff(rule, step)) if step is not None else F.element_at(F.array(*[F.lit(cutoff(rule, i)) for i in range(STEPS)]), F.col("__step") + 1)
+        out = out | (F.expr(expression) > limit)
+    return out
 
 
 def holdout_counts(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum, rule, cutoff, good, good_above, bad_above over the labelled rows; one aggregation, a row per stratum out of it."""
+    """stratum, good, step, good_above, bad_above over the labelled rows; one aggregation, a row per stratum out of it."""
     labels = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__good"))
     rows = rows.join(labels, F.col("doc_id") == F.col("__id"))
-    names, sums = [], []
-    for rule, expression in RULES.items():
-        for cutoff in GRID[rule]:
-            above = F.expr(expression) > F.lit(cutoff)
-            for good in (1, 0):
-                sums.append(F.count_if(above & (F.col("__good") == good)))
-            names.append((rule, cutoff))
-    parts = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), sums[2 * i].alias("good_above"), sums[2 * i + 1].alias("bad_above")) for i, (r, c) in enumerate(names)]
-    stats = rows.groupBy(F.col("__stratum").alias("stratum")).agg(F.count_if(F.col("__good") == 1).alias("good"), F.array(*parts).alias("t"))
+    above = lambda i, good: F.count_if(rejected(i) & (F.col("__good") == good))
+    steps = [F.struct(F.lit(i).alias("step"), above(i, 1).alias("good_above"), above(i, 0).alias("bad_above")) for i in range(STEPS)]
+    stats = rows.groupBy(F.col("__stratum").alias("stratum")).agg(F.count_if(F.col("__good") == 1).alias("good"), F.array(*steps).alias("t"))
     return stats.select("stratum", "good", F.inline("t"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, kept of every row.
+    """doc_id, n_words, the base counts, base_failed, kept and rule_failed of every row.
 
     Null text: no words, so base_failed. Null stratum: a stratum of its own. Of contradicting labels of an
     id the lower counts; labels other than 0 and 1 and ids without a row are not used. Repeated rows
-    count each. Without labels, or with too few of a stratum, no cutoff is certified and base_failed alone
+    count each. Without labels, or with too few of a stratum, no step is certified and base_failed alone
     decides. An empty table gives an empty result; extra columns are not read.
     """
     rows = materialize(measure(docs, stratum))
-    strata = holdout_counts(rows, labels)
-    # A row for each stratum, rule and cutoff; languages, not documents.
-    chosen = choose_cutoffs(strata.toPandas(), limit, delta)
-    spark = docs.sparkSession
-    table_rows = [(s if isinstance(s, str) else None, g["rule"].tolist(), g["cutoff"].tolist()) for s, g in chosen.groupby("stratum", dropna=False)]
-    cutoffs = spark.createDataFrame(table_rows, "__s string, __rules array<string>, __cutoffs array<double>")
-    cutoffs = cutoffs.select("__s", F.map_from_arrays("__rules", "__cutoffs").alias("__cut"))
-    rows = join_dimension(rows, cutoffs, F.col("__stratum").eqNullSafe(F.col("__s")), "left", rows=len(table_rows))
+    # A row for each stratum and step; languages, not documents.
+    chosen = choose_steps(holdout_counts(rows, labels).toPandas(), limit, delta)
+    table_rows = [(r.stratum if isinstance(r.stratum, str) else None, int(r.step)) for r in chosen.itertuples()]
+    steps = docs.sparkSession.createDataFrame(table_rows, "__s string, __step int")
+    rows = join_dimension(rows, steps, F.col("__stratum").eqNullSafe(F.col("__s")), "left", rows=len(table_rows))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    reject = F.lit(False)
-    for rule, expression in RULES.items():
-        reject = reject | F.coalesce(F.expr(expression) > F.try_element_at(F.col("__cut"), F.lit(rule)), F.lit(False))
-    rows = rows.withColumn("base_failed", base)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~reject).alias("kept"), reject.alias("rule_failed"))
+    rows = rows.withColumn("base_failed", base).withColumn("rule_failed", F.when(F.col("__step").isNull(), False).otherwise(rejected()))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rule_failed")).alias("kept"), "rule_failed")
 
 
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

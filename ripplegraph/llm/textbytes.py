@@ -2,7 +2,8 @@
 
 Python tasks see a batch of texts as one byte array with offsets, so tokenising, hashing and
 shingling cost a few numpy passes per batch and nothing per word. Hashes are polynomials over the
-bytes modulo 2**64 followed by a bit mix; they depend on the bytes of a word alone.
+bytes modulo the prime 2**61 - 1 followed by a bit mix; they depend on the bytes of a word alone. (Modulo 2**64
+there are texts, such as the Thue-Morse sequence and its mirror, that collide at every base.)
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled on its own.
 CHUNK = 1 << 20
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -28,19 +28,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def constants(n: int, seed: int) -> np.ndarray:
     """n reproducible 64-bit constants."""
-    return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(_BASE))
+    return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BYTE = constants(256, 1)
 _PLACE = constants(16, 2) | np.uint64(1)
+_P = (1 << 61) - 1
+_BYTE = (constants(256, 1) >> np.uint64(32)).astype(np.uint64)
+_LOW31, _LOW30, _PRIME = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(_P)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for a and b below it."""
+    ah, al, bh, bl = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = ah * bl + al * bh  # below 2**62
+    # 2**62 = 2 and mid * 2**31 = (mid >> 30) * 2**61 + (mid & low) * 2**31
+    return _mod(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + _mod(al * bl))
 
 
 def _pow(n: int, base: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        table = np.full(max(n, CHUNK + 1), base & _MASK, dtype=np.uint64)
-        table[0] = 1
-        _powers[base] = have = np.cumprod(table, dtype=np.uint64)
+        out = np.ones(1, np.uint64)
+        step = base % _P
+        while len(out) < max(n, CHUNK + 1):  # doubling: the second half is the first, times a power
+            out = np.r_[out, _times(out, np.full(len(out), step, np.uint64))]
+            step = step * step % _P
+        _powers[base] = have = out
         if len(have) > 16 * CHUNK:  # one very long text; don't keep its table
             _powers.pop(base)
     return have[:n]
@@ -76,16 +96,33 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Running polynomial of the bytes, one longer than the data."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _pow(len(data), _BASE), dtype=np.uint64, out=out[1:])
-    return out
-
-
-def span_hash(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = _pow(len(running), pow(_BASE, -1, 1 << 64))
-    return mix64((running[end] - running[start]) * inverse[start] + (end - start).astype(np.uint64))
+def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial of the bytes, one longer than the data: sums of the terms' lower 31 bits and of the bits above."""
+    power = _pow(len(data), _BASE)
+    byte = _BYTE[data]  # of 32 bits, so its product with a power's half stays in 63
+    high = power >> np.uint64(31)
+    high *= byte
+    term = power & _LOW31
+    term *= byte
+    # high * 2**31 = (high >> 30) * 2**61 + (high & low) * 2**31; the sum stays below 2**64 and needs no reduction here
+    term += high >> np.uint64(30)
+    high &= _LOW30
+    high <<= np.uint64(31)
+    term += high
+    low, upper = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(term & _LOW31, dtype=np.uint64, out=low[1:])
+    term >>= np.uint64(31)
+    np.cumsum(term, dtype=np.uint64, out=upper[1:])
+    return low, upper
+
+
+def span_hash(running: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    low, upper = running
+    inverse = _pow(len(low), pow(_BASE, -1, _P))
+    low, upper = low[end] - low[start], _mod(upper[end] - upper[start])
+    # upper * 2**31, as in _times
+    total = _mod((upper >> np.uint64(30)) + ((upper & _LOW30) << np.uint64(31)) + _mod(low))
+    return mix64(_times(total, inverse[start]) + ((end - start).astype(np.uint64) << np.uint64(40)))
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
