@@ -26,7 +26,9 @@ STATES, START = 2 * len(ROLES), 2 * len(ROLES)
 BLOCK, CHAIN = 64, 2048
 #: Speaker names by role, our own choice of what chat logs use.
 NAMES = {"user": "user|human|prompter|question|customer|q", "assistant": "assistant|ai|bot|model|answer|agent|a", "system": "system|instructions|context|note"}
-MARK = r"(?i)^\s*(?:#+\s*|\*\*|\[|<\|)?(?:%s)(?:\|>|\]|\*\*)?(?::|\s*$|(?<=\|>)|(?<=\]))\s*(?:\*\*)?\s*"
+MARK = r"(?i)^\s*(?:#+\s*|\*\*|\[|<\|)?(?:%s)(?:\|>|\]|\*\*)?(?::|\s*$|(?<=\|>)|(?<=\]))"
+#: What goes with an opening marker: closing stars and one blank; further white space is the message's own.
+AFTER = r"(?:\*\*)?[ \t]?"
 ANY = "|".join(NAMES.values())
 _LENGTHS = [1, 40, 120, 400]
 LENGTHS, SYMBOLS = len(_LENGTHS) + 1, (len(ROLES) + 1) * (len(_LENGTHS) + 1) * 2
@@ -94,7 +96,7 @@ def lines_of(transcripts: DataFrame, block: int = BLOCK) -> DataFrame:
 def learn(lines: DataFrame) -> dict[str, np.ndarray]:
     """Log start, transition and emission tables, counted with add-one smoothing on lines whose role is known; three bounded counts.
 
-    Transitions across the edge of a block are few and not counted.
+    Transitions inside a block come from its lines in order, those between blocks from one row for each.
     """
     role = F.lit(None).cast("int")
     for i, r in enumerate(ROLES):
@@ -102,6 +104,10 @@ def learn(lines: DataFrame) -> dict[str, np.ndarray]:
     own = lines.withColumn("state", 2 * role + F.when(F.col("n") == 0, 0).otherwise(1)).where("state is not null")
     own = own.withColumn("next", F.lead("state").over(Window.partitionBy("conv", "block").orderBy("k", "n")))
     rows = own.groupBy("state", "next", "symbol", ((F.col("k") == 0) & (F.col("n") == 0)).alias("first")).count().collect()
+    place = F.struct("k", "n")
+    ends = own.groupBy("conv", "block").agg(F.min_by("state", place).alias("head"), F.max_by("state", place).alias("tail"))
+    after = ends.select("conv", (F.col("block") - 1).alias("block"), F.col("head").alias("next"))
+    between = ends.join(after, ["conv", "block"]).groupBy("tail", "next").count().collect()
     start, move = np.ones(STATES), np.full((STATES, STATES), 0.1)
     kind, length, question = np.ones((STATES, len(ROLES) + 1)), np.ones((STATES, LENGTHS)), np.ones((STATES, 2))
     for r in rows:
@@ -113,6 +119,8 @@ def learn(lines: DataFrame) -> dict[str, np.ndarray]:
         kind[r["state"], seen // (2 * LENGTHS)] += r["count"]
         length[r["state"], seen // 2 % LENGTHS] += r["count"]
         question[r["state"], seen % 2] += r["count"]
+    for r in between:
+        move[r["tail"], r["next"]] += r["count"]
     share = lambda t: np.log(t / t.sum(axis=-1, keepdims=True))
     emit = (share(kind)[:, :, None, None] + share(length)[:, None, :, None] + share(question)[:, None, None, :]).reshape(STATES, -1)
     full = np.full((STATES + 1, STATES + 1), -np.inf)
@@ -209,6 +217,8 @@ def parse(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             mats = [block_matrix(s, model) for s in pdf["symbols"]]
             yield pd.DataFrame({"conv": pdf["conv"], "i": pdf["block"], "m": [m.ravel() for m in mats], "alone": [int(m[START].argmax()) for m in mats]})
 
+    # Dealt by number of blocks, not by bytes: a block costs the same whatever the bytes of its symbols.
+    tasks = shuffle_partitions(lines.sparkSession)
     mats = materialize(seen.mapInPandas(matrices, "conv string, i long, m array<double>, alone int"))
     # Most conversations are one block, which ends in its own best state; only the others are chained.
     lasts = materialize(mats.groupBy("conv").agg(F.max("i").alias("last")))
@@ -227,21 +237,28 @@ def parse(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 begins.append([int(b == START or s % 2 == 0 or s // 2 != b // 2) for s, b in zip(p, before)])
             yield pd.DataFrame({"conv": pdf["conv"], "block": pdf["block"], "path": path, "begins": begins})
 
-    decoded = seen.join(ends, ["conv", "block"]).mapInPandas(states, "conv string, block long, path array<int>, begins array<int>")
+    decoded = seen.join(ends, ["conv", "block"]).repartition(tasks, "conv", "block").mapInPandas(states, "conv string, block long, path array<int>, begins array<int>")
     decoded = materialize(decoded.withColumn("opened", F.aggregate("begins", F.lit(0), lambda a, b: a + b)))
-    earlier = F.coalesce(F.sum("opened").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    decoded = decoded.withColumn("earlier", earlier)
+    # Turns opened before a block, summed over spans of blocks first, so no window holds a long conversation's blocks.
+    before = lambda *by: F.coalesce(F.sum("opened").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slim = decoded.select("conv", "block", "opened", F.floor(F.col("block") / CHAIN).alias("span"))
+    spans = slim.groupBy("conv", "span").agg(F.sum("opened").alias("opened")).select("conv", "span", before("conv", "span").alias("base"))
+    earlier = slim.withColumn("inner", before("conv", "span", "block")).join(spans, ["conv", "span"]).select("conv", "block", (F.col("base") + F.col("inner")).alias("earlier"))
+    decoded = decoded.join(earlier, ["conv", "block"])
     rows = blocks.join(decoded, ["conv", "block"]).select("conv", "block", "earlier", F.posexplode(F.arrays_zip("items", "path", "begins")).alias("at", "x"))
     inside = Window.partitionBy("conv", "block").orderBy("at")
     turn = (F.col("earlier") + F.sum("x.begins").over(inside) - 1).cast("long")
     rows = rows.select("conv", turn.alias("turn"), "x.path", "x.begins", "x.items.k", "x.items.n", "x.items.symbol", "x.items.line", "x.items.source_role")
     # Only a marker that opens the turn is one; the same words elsewhere are content.
     opens = (F.col("begins") == 1) & (F.floor(F.col("symbol") / (2 * LENGTHS)) == F.floor(F.col("path") / 2))
-    rows = rows.withColumn("line", F.when(opens, F.regexp_replace("line", F.lit(MARK % ANY), F.lit(""))).otherwise(F.col("line")))
-    turns = rows.groupBy("conv", "turn").agg(F.sort_array(F.collect_list(F.struct("k", "n", "path", "line", "source_role"))).alias("l"))
+    rows = rows.withColumn("line", F.when(opens, F.regexp_replace("line", F.lit(MARK % ANY + AFTER), F.lit(""))).otherwise(F.col("line")))
+    rows = rows.withColumn("bare", opens & (F.col("line") == ""))
+    turns = rows.groupBy("conv", "turn").agg(F.sort_array(F.collect_list(F.struct("k", "n", "path", "line", "source_role", "bare"))).alias("l"))
     first = F.col("l")[0]
+    # A line that held a marker alone is no line of the message.
+    text = F.array_join(F.transform(F.filter("l", lambda x: ~x["bare"]), lambda x: x["line"]), "\n")
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.floor(first["path"] / 2) + 1).cast("int"))
-    return turns.select("conv", "turn", role.alias("role"), F.size("l").cast("long").alias("n_lines"), F.trim(F.array_join(F.col("l.line"), "\n")).alias("text"), first["source_role"].alias("source_role"))
+    return turns.select("conv", "turn", role.alias("role"), F.size("l").cast("long").alias("n_lines"), text.alias("text"), first["source_role"].alias("source_role"))
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:
