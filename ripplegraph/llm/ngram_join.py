@@ -29,7 +29,7 @@ from ripplegraph.session import join_counted, materialize, table
 WIDTH, THRESHOLD = 5, 0.8
 RECALL, MOST_HASHES = 0.9995, 128
 #: Most texts of a block, and shingles that it holds at about; a task compares two. Each text of a group of m meets about m / BLOCK blocks.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -169,10 +169,9 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """One pair of blocks of a group: each text's links in it, and a spanning forest (links 0, with the other's node)."""
-    top = pdf.iloc[0]
     pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
     link = linked([np.frombuffer(s, np.uint64) for s in pdf["grams"]])
-    if (top["s1"], top["b1"]) != (top["s2"], top["b2"]):  # pairs inside a block are counted where it meets itself
+    if pdf["across"].iloc[0]:  # pairs inside a block are counted where it meets itself
         side = pdf["block"].to_numpy()
         link &= side[:, None] != side[None, :]
     node = pdf["node"].tolist()
@@ -217,7 +216,10 @@ def verify(texts: DataFrame, block: int | None = None, threshold: float = THRESH
     )
     side = F.concat_ws(":", "size", "mine").alias("block")
     met = placed.select("node", "root", side, "grams", F.inline(meets))
-    return met.groupBy("root", "s1", "b1", "s2", "b2").applyInPandas(_compare, "node string, links long, other string")
+    # One column for the whole key, as each column costs a conversion for each small group.
+    across = ((F.col("s1") != F.col("s2")) | (F.col("b1") != F.col("b2"))).alias("across")
+    met = met.select(F.concat_ws(":", "root", "s1", "b1", "s2", "b2").alias("cell"), "node", "block", "grams", across)
+    return met.groupBy("cell").applyInPandas(_compare, "node string, links long, other string")
 
 
 def join_ngrams(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -255,7 +257,7 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class, its keeper with the least doc_id; columns as they came.
 
     Rows that repeat the kept id and text are one document. A class without ids keeps one row of its least text, and
-    rows without words, each its own class, all stay.
+    rows without words (null, empty or blank texts), each its own class, all stay. An empty table gives an empty result.
     """
     own = docs.columns
     joined = join_ngrams(docs.select("doc_id", "text"))
