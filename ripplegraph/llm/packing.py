@@ -105,6 +105,7 @@ def bucket_of(length: int, bounds: list[int]) -> int:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bucket, batch and slot of each document: the columns of pack, which says what becomes of nulls, empty texts, repeated rows and empty tables."""
     return pack(docs)
 
 

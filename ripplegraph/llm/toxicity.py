@@ -205,7 +205,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier does not reject; columns as they came."""
+    """The documents that the classifier does not reject; columns as they came.
+
+    Null ids, null or empty texts, repeated rows and empty tables as in classify: rows are kept or dropped by their text alone. Without
+    usable labels in sf_dir every row has the same score, and with none of label 1 all stay.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, "__toxic_score").where(F.col("__toxic_score") < THRESHOLD).drop("__toxic_score")
 

@@ -47,6 +47,26 @@ def test_swapping_identity_terms_reduces_bias(spark):
     assert fair.score("you awfulword") > toxicity.THRESHOLD
 
 
+def test_fit_is_at_the_minimum():
+    """The loss written out has no slope at the weights found, and no nearby point is lower."""
+    rng = np.random.default_rng(1)
+    x, pairs = (rng.random((60, 7)) < 0.4).astype(float), [(0, 1, 9.0), (2, -1, 4.0), (3, 4, 2.0)]
+    y = (x[:, 0] + x[:, 5] + rng.random(60) > 1.2).astype(float)
+    w, b = toxicity.fit(x, y, pairs, pairing=2.0, ridge=0.01, steps=4000)
+
+    def loss(w, b):
+        z = x @ w + b
+        v = np.r_[w, 0.0]  # index -1
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))) + 0.005 * w @ w + 2.0 * sum(n * (v[i] - v[j]) ** 2 for i, j, n in pairs) / len(x)
+
+    eps, at = 1e-5, loss(w, b)
+    for i in range(7):
+        d = np.eye(7)[i] * eps
+        assert abs(loss(w + d, b) - loss(w - d, b)) / (2 * eps) < 1e-5
+    assert abs(loss(w, b + eps) - loss(w, b - eps)) / (2 * eps) < 1e-5
+    assert all(loss(w + rng.normal(0, 0.1, 7), b + rng.normal(0, 0.1)) >= at for _ in range(200))
+
+
 def test_swaps():
     got = toxicity.swaps("A gay man. Nothing here! straight and gay")
     assert ("gay", "straight") in got and ("man", "woman") in got
@@ -131,12 +151,13 @@ def test_components_of_long_chains(spark):
     assert {got[f"{i:03}"] for i in range(31)} == {"000"} and {got[f"{i:03}"] for i in range(31, 61)} == {"031"} and got["b"] == "a"
 
 
-def test_join_stage_keeps_one_of_each_class(spark, odd_docs, odd_rows):
+def test_join_stage_keeps_one_of_each_class(spark, odd_docs, odd_rows, no_docs):
     kept = ngram_join.ngram_join_stage(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns
     classes = {c for _, c, _ in plain_join(odd_rows) if c is not None}
     ids = [r.doc_id for r in kept.collect()]
     assert set(ids) - {None} == classes and len(ids) == len(set(ids))
+    assert ngram_join.ngram_join_stage(spark, no_docs, "").count() == 0
 
 
 def test_join_stage_keeps_every_class_without_an_id_of_its_own(spark):
@@ -250,6 +271,43 @@ def test_roles_are_recovered(spark):
     assert all(r.rendered.startswith(f"<|{r.role}|>\n") for r in rows)
 
 
+def test_rendered_turns_hold_the_messages(spark):
+    """Conversations of one role pattern that are recovered turn for turn give every message back as it was."""
+    talk = [(c, k, role, f"{role} says {c} {k}, note: x\n  indented\nand {k * 7}\n" + "long " * (k % 5)) for c in range(40) for k, role in enumerate(["system", "user", "assistant", "user", "assistant"])]
+    messages = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    got = defaultdict(list)
+    for r in chat.format_conversations(messages).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.rendered))
+    whole = 0
+    for c in range(40):
+        own = [(role, f"<|{role}|>\n{text}\n<|end|>") for i, _, role, text in talk if i == c]
+        if [x[0] for x in got[c]] == [x[0] for x in own]:
+            whole += 1
+            assert got[c] == own
+    assert whole >= 10  # one message in eight has no marker
+
+
+def test_roles_of_conversations_that_the_model_has_not_seen(spark):
+    messages = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    lines = chat.lines_of(chat.write_transcripts(messages)).cache()
+    model = chat.learn(lines.where("crc32(conv) % 2 = 0"))
+    rows = chat.parse(lines.where("crc32(conv) % 2 = 1"), model).collect()
+    assert len(rows) > 1000 and sum(r.role == r.source_role for r in rows) / len(rows) >= 0.95
+
+
+def test_transitions_between_blocks_are_counted(spark):
+    rows = [("c", k, r, "x") for k, r in enumerate(["user", "assistant"] * 4)]
+    df = spark.createDataFrame(rows, "conv string, k long, source_role string, text string")
+    whole, cut = (chat.learn(chat.lines_of(df, block)) for block in (100, 2))
+    assert (whole["move"] == cut["move"]).all() and (whole["emit"] == cut["emit"]).all()
+
+
+def test_chat_on_a_very_long_message(spark):
+    rows = [(1, 0, "user", "word " * 200_000), (1, 1, "assistant", "\n".join(f"line {i}" for i in range(20_000)))]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r.n_lines for r in out) == 20_001
+
+
 def test_chat_on_odd_rows(spark):
     rows = [(None, 0, "user", "hello"), (1, 0, None, None), (1, 0, None, None), (1, None, "tool", "x\ny"), (2, 0, "user", ""), (3, 0, "user", "why?\n" * 500), (3, 1, "assistant", "so"), (3, 1, "assistant", "so")]
     messages = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, line string, k int")
@@ -292,6 +350,34 @@ def test_pipeline_stages(spark):
     assert out.count() > 0
 
 
+def tables_of(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_on_odd_rows(spark, odd_docs, odd_rows, tmp_path):
+    """Nulls, repeated rows and clashing columns go through every stage; the packed words are those that the mix took."""
+    sf = tables_of(spark, tmp_path / "odd", odd_docs, [(i, int(i % 2), 1) for i in range(40)])
+    out = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = out, stage(spark, out, sf)
+        out.write.parquet(f"{sf}/{name}")
+        out = spark.read.parquet(f"{sf}/{name}")
+        if name != "packing":
+            assert out.columns == odd_docs.columns, name
+        if name in ("toxicity", "ngram_join"):
+            assert out.exceptAll(before).count() == 0, name
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r.doc_id, size(r.text)) for r in before.collect()) == Counter((r.doc_id, r.n_words) for r in out.collect())
+    assert corpus_pipeline.run(spark, sf).columns == out.columns
+
+
+def test_pipeline_on_empty_tables(spark, no_docs, tmp_path):
+    sf = tables_of(spark, tmp_path / "none", no_docs, [])
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
