@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a dimension is broadcast; beyond it the join shuffles (and AQE splits skew).
 BROADCAST_ROWS = 50_000
 #: At most so many keys can each hold the HOT_KEYS-th part of all rows; these are broadcast by join_counted.
-HOT_KEYS = 20_000
+HOT_KEYS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
