@@ -53,20 +53,20 @@ def join_dimension(df: DataFrame, dim: DataFrame, on: Column, how: str = "inner"
     return df.join(F.broadcast(dim) if rows <= BROADCAST_ROWS else dim, on, how)
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str, total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str) -> DataFrame:
     """rows joined to `keyed`, which has one row for each key with the number `n` of the rows that the key has; n is dropped.
 
-    A key with at least the HOT_KEYS-th part of all rows meets them by broadcast, so its rows are not brought together;
-    such keys are HOT_KEYS at most. Every other key has fewer rows than that and is shuffled. Both inputs
-    are read twice: give materialised ones. `total` is the sum of n, if it is known.
+    A key with at least the HOT_KEYS-th part of all rows meets them by broadcast, so its rows are not brought together; such keys are
+    HOT_KEYS at most. Every other key has fewer rows than that and is shuffled. Where `keyed` is no longer than HOT_KEYS it is
+    broadcast whole, and where no key fills a task's share of the rows the join is a plain one. Both inputs may be read twice: give materialised ones.
     """
-    if total is None:
-        total = keyed.agg(F.sum(n)).first()[0] or 0
+    keys, total, most = keyed.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if keys <= HOT_KEYS:
+        return rows.join(F.broadcast(keyed.drop(n)), key)
+    if most * shuffle_partitions(rows.sparkSession) <= total:
+        return rows.join(keyed.drop(n), key)
     hot = F.col(n) * HOT_KEYS >= F.lit(total)
-    few = F.broadcast(keyed.where(hot).drop(n))
-    met = rows.join(few, key)
-    if total <= HOT_KEYS:  # every key is hot
-        return met
+    met = rows.join(F.broadcast(keyed.where(hot).drop(n)), key)
     others = rows.join(F.broadcast(keyed.where(hot).select(*key)), key, "left_anti")
     return met.unionByName(others.join(keyed.where(~hot).drop(n), key))
 
