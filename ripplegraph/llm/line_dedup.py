@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ class LineRuns:
         own = lines.groupBy(*_KEY, "doc_id").agg(F.count("*").alias("places"))
         own = own.groupBy(*_KEY).agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("latest"), F.sum("places").alias("places"))
         if self._runs():
-            own = own.persist()
+            own = own.persist(StorageLevel.DISK_ONLY)
             fresh = self._write(self.unseen(own))
             # Updates wait beside the newest run; sums and maxima are the same whichever run they are merged with.
             updates = own.join(self.spark.table(fresh).select(*_KEY).hint("merge"), _KEY, "left_anti")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled on its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -60,7 +60,7 @@ def _pow(n: int, base: int) -> np.ndarray:
         while len(out) < max(n, CHUNK + 1):  # doubling: the second half is the first, times a power
             out = np.r_[out, _times(out, np.full(len(out), step, np.uint64))]
             step = step * step % _P
-        _powers[base] = have = out
+        _powers[base] = have = out[: max(n, CHUNK + 1)].copy()
         if len(have) > 16 * CHUNK:  # one very long text; don't keep its table
             _powers.pop(base)
     return have[:n]
