@@ -40,16 +40,13 @@ class Graph:
         ids = at.select(F.explode(F.array("source", "target")).alias("id")).unionByName(self.node(id).select("id")).distinct()
         return self._view("nodes").join(ids, "id", "left_semi").withColumn("center", F.col("id") == id), at
 
-    def subgraph(self, seeds: list[str], hops: int = 2, types: list[str] | None = None, node_cap: int | None = 3000, **layers: bool) -> tuple[DataFrame, DataFrame]:
-        """(id, depth) within at most three hops, and the edges between them."""
-        edges = self._edges(types, **layers)
-        found = graph.bfs(edges, self._view("nodes").where(F.col("id").isin(seeds)), min(hops, 3), node_cap)
-        near = found.select("id")
-        inner = edges.join(near.withColumnRenamed("id", "source"), "source", "left_semi").join(near.withColumnRenamed("id", "target"), "target", "left_semi")
-        return found, inner
+    def subgraph(self, seeds: list[str], hops: int = 2, types: list[str] | None = None, node_cap: int = 3000, **layers: bool) -> tuple[DataFrame, DataFrame, bool]:
+        """(id, depth) within at most three hops, the edges of the expanded nodes, and whether the cap cut the walk short."""
+        return graph.capped_subgraph(self._edges(types, **layers), self._view("nodes").where(F.col("id").isin(seeds)), min(hops, 3), node_cap)
 
     def search(self, text: str, limit: int = 20) -> DataFrame:
-        return graph.search(self._view("aliases"), text, limit).join(self._view("nodes").select(F.col("id").alias("node_id"), "type", "name"), "node_id").orderBy(F.desc("score"), "node_id")
+        found = graph.search(self._view("aliases"), text, limit, fuzzy=True)
+        return found.join(self._view("nodes").select(F.col("id").alias("node_id"), "type", "name"), "node_id").orderBy(F.desc("score"), "node_id")
 
     def resolve(self, asked: DataFrame) -> DataFrame:
         return graph.resolve_ids(asked, self._view("nodes"), self._view("aliases"))

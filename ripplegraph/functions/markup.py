@@ -16,10 +16,28 @@ ITEMS, STUB = ("1.01", "8.01"), 200
 WIKI_CHARS = 3000
 
 
+#: What is taken out of a page's markup, innermost first: (pattern, what stays of it, times). Templates and tables may stand in each other.
+WIKI_MARKUP = (
+    (r"(?s)<!--.*?-->", "", 1),
+    (r"(?is)<ref[^>/]*/>", "", 1),
+    (r"(?is)<ref[^>]*>.*?</ref>", "", 1),
+    (r"(?s)\{\{[^{}]*\}\}", "", 4),
+    (r"(?s)\{\|[^{}]*\|\}", "", 2),
+    (r"(?i)\[\[(?:file|image|category):[^\[\]]*\]\]", "", 1),
+    (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1", 1),
+    (r"\[\[([^\[\]]*)\]\]", "$1", 1),
+    (r"\[https?://[^ \]]*[ ]?([^\]]*)\]", "$1", 1),
+    (r"</?[A-Za-z][^<>]*>", "", 1),
+    (r"'{2,5}", "", 1),
+    (r"\s+", " ", 1),
+)
+
+
 def strip_wiki(text: Column) -> Column:
-    """Templates, links (their label stays), tags and quote marks out; white space single."""
-    for pattern, to in ((r"\{\{[^}]+\}\}", ""), (r"\[\[([^|\]]*\|)?([^\]]+)\]\]", "$2"), (r"<[^>]+>", ""), ("''+", ""), (r"[ \t\r\n\f]+", " ")):
-        text = F.regexp_replace(text, pattern, to)
+    """The prose of a page's markup: comments, references, templates, tables and pictures go, links keep their label, white space is single."""
+    for pattern, to, times in WIKI_MARKUP:
+        for _ in range(times):
+            text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 
 
@@ -37,16 +55,21 @@ def wiki_sections(text: Column, titles: tuple[str, ...] = SECTIONS) -> Column:
     return F.substring(strip_wiki(chosen), 1, WIKI_CHARS)
 
 
-_WIKI = r"""regexp_replace(text, '\n([A-Za-z]+)', chr(10) || '== \1 ==' || chr(10) || '{{cite|1}} [[page|\1]] <b>x</b> ', 'g')"""
-_STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\{\{[^}]+\}\}', '', 'g'), '\[\[([^|\]]*\|)?([^\]]+)\]\]', '\2', 'g'), '<[^>]+>', '', 'g'), '''''+', '', 'g'), '[ \t\r\n\f]+', ' ', 'g'))"
+_WIKI = r"""regexp_replace(text, '\n([A-Za-z]+)', chr(10) || '== \1 ==' || chr(10) || '{{cite|{{deep|1}}}} [[page|\1]] <b>x</b><ref name="r">a note</ref> [[File:p.png|thumb]] ', 'g')"""
+def _strip_sql(x: str) -> str:
+    """The same in DuckDB; its flags stand in the pattern too, a group is written \1."""
+    for pattern, to, times in WIKI_MARKUP:
+        for _ in range(times):
+            x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
+    return f"trim({x})"
 
 
 @query(rf"""WITH w AS (SELECT doc_id, string_split(regexp_replace(chr(10) || {_WIKI}, '\n={{2,}} *([^\n=]+?) *={{2,}}', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM documents),
 n AS (SELECT doc_id, p[1] AS lead, list_filter(p[2:], lambda s: regexp_matches(lower(string_split(s, chr(2))[1]), 'th|ch')) AS named FROM w),
 c AS (SELECT doc_id, CASE WHEN len(named) > 0 THEN array_to_string(list_transform(named, lambda s: s[strpos(s, chr(2)) + 1:]), chr(10)) ELSE lead END AS x FROM n),
-s AS (SELECT doc_id, {_STRIP.replace('{x}', 'x')} AS y FROM c) SELECT doc_id, length(y[:3000]) AS n_chars, md5(y[:3000]) AS text_md5 FROM s""")
+s AS (SELECT doc_id, {_strip_sql('x')} AS y FROM c) SELECT doc_id, length(y[:3000]) AS n_chars, md5(y[:3000]) AS text_md5 FROM s""")
 def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.regexp_replace("text", r"\n([A-Za-z]+)", "\n== $1 ==\n{{cite|1}} [[page|$1]] <b>x</b> ")
+    page = F.regexp_replace("text", r"\n([A-Za-z]+)", "\n== $1 ==\n{{cite|{{deep|1}}}} [[page|$1]] <b>x</b><ref name=\"r\">a note</ref> [[File:p.png|thumb]] ")
     rows = table(spark, sf_dir, "documents").select("doc_id", wiki_sections(page, ("th", "ch")).alias("y"))
     return rows.select("doc_id", F.length("y").cast("long").alias("n_chars"), F.md5("y").alias("text_md5"))
 
@@ -98,9 +121,28 @@ def context_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loose_json(text: Column) -> Column:
-    """What stands between the first and the last brace or bracket, of the fenced part if there is one; null if that isn't JSON."""
+    """The first balanced block of braces or brackets that is JSON, of the fenced part if there is one; null if there is none.
+
+    Depth is a running count over the characters that aren't inside a string; the block ends where it comes back to 0.
+    """
     fenced = F.regexp_extract(text, r"(?s)```[a-z]*\s*(.*?)```", 1)
-    block = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)(\{.*\}|\[.*\])", 1)
+    body = F.when(fenced != "", fenced).otherwise(text)
+    start = F.regexp_instr(body, F.lit(r"[{\[]"))
+    rest = F.when(start > 0, body.substr(start, F.length(body)))
+    # Strings lose their brackets and escapes, length kept, so that only structure is counted.
+    bare = F.regexp_replace(rest, r'\\.', "__")
+    marks = F.split(bare, "")
+    state = lambda d, q, at: F.struct(d.alias("d"), q.alias("q"), at.alias("at"))
+
+    def step(s: Column, c: Column) -> Column:
+        quoted = F.when(c == '"', ~s["q"]).otherwise(s["q"])
+        move = F.when(s["q"], 0).when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        open_ = s["d"] + move
+        done = s["at"] < 0
+        return F.when(done, state(open_, quoted, F.when(open_ == 0, -s["at"]).otherwise(s["at"] - 1))).otherwise(s)
+
+    end = F.aggregate(F.filter(marks, lambda c: c != ""), state(F.lit(0), F.lit(False), F.lit(-1)), step)["at"]
+    block = F.when(end > 0, rest.substr(F.lit(1), end))
     return F.when(F.get_json_object(block, "$").isNotNull(), block)
 
 
@@ -108,7 +150,7 @@ def loose_json(text: Column) -> Column:
 def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of several shapes: fenced, with words around them, bare, and cut short."""
     k = F.col("event_id") % 4
-    answer = F.when(k == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone {x}"))).when(k == 1, F.concat(F.lit("It is "), "props", F.lit(" as asked."))).when(k == 2, F.col("props")).otherwise(F.expr("substring(props, 1, length(props) - 1)"))
+    answer = F.when(k == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone {x}"))).when(k == 1, F.concat(F.lit("It is "), "props", F.lit(" and not {\"k\": 0}."))).when(k == 2, F.col("props")).otherwise(F.expr("substring(props, 1, length(props) - 1)"))
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(loose_json(answer), "$.k").cast("long").alias("k"))
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.market import _FRAME, _MODEL, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean, market_model, shocks
+from ripplegraph.operators.market import SHOCK, _FRAME, _MODEL, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean, market_model, shocks
+from ripplegraph.operators.study import controls
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
 from ripplegraph.session import join_dimension, materialize, table
 
-WINDOWS = {"pre": (-5, -1), "d0": (0, 0), "w5": (1, 5), "w20": (1, 20)}
+WINDOWS = {"pre": (-5, -1), "d0": (0, 0), "w5": (1, 5), "w20": (1, 20), "w60": (1, 60)}
+#: Sizes of control groups.
+CONTROLS = (3, 5, 10)
 _MODELS = with_views("prices") + _MODEL
 
 
@@ -18,15 +21,16 @@ def _at(ticker: str = "ticker") -> Window:
     return Window.partitionBy(ticker).orderBy("t_idx")
 
 
-@query(with_views("prices") + """, r AS (SELECT *, close / lag(close) OVER w - 1 AS ret, lead(close) OVER w / lag(close) OVER w - 1 AS two FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY t_idx)),
-b AS (SELECT *, coalesce(abs(ret) > 0.005 AND abs(two) < 0.001, false) AS bad FROM r)
+@query(with_views("prices") + """, q AS (SELECT ticker, day, t_idx, CASE WHEN t_idx % 97 = 5 THEN 2.5 WHEN t_idx % 89 = 7 THEN 0.3 ELSE 1 END * close AS close FROM prices), r AS (SELECT *, close / lag(close) OVER w - 1 AS ret, lead(close) OVER w / lag(close) OVER w - 1 AS two FROM q WINDOW w AS (PARTITION BY ticker ORDER BY t_idx)),
+b AS (SELECT *, coalesce(abs(ret) > 0.5 AND abs(two) < 0.05, false) AS bad FROM r)
 SELECT ticker, day, bad OR coalesce(lag(bad) OVER (PARTITION BY ticker ORDER BY t_idx), false) AS dropped FROM b""")
 def bad_print_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A large move undone the next day marks both days. The limits suit the table's small returns."""
+    """A move of more than a half that the next day undoes to within 5 % marks both days; wrong prints are put into the prices for it."""
     w = _at()
-    close = F.col("close")
+    k = F.col("t_idx")
+    close = F.when(k % 97 == 5, 2.5).when(k % 89 == 7, 0.3).otherwise(1.0) * F.col("close")
     rows = view(spark, sf_dir, "prices").select("ticker", "day", "t_idx", (close / F.lag("close").over(w) - 1).alias("ret"), (F.lead("close").over(w) / F.lag("close").over(w) - 1).alias("two"))
-    rows = rows.withColumn("bad", F.coalesce((F.abs("ret") > 0.005) & (F.abs("two") < 0.001), F.lit(False)))
+    rows = rows.withColumn("bad", F.coalesce((F.abs("ret") > 0.5) & (F.abs("two") < 0.05), F.lit(False)))
     return rows.select("ticker", "day", (F.col("bad") | F.coalesce(F.lag("bad").over(w), F.lit(False))).alias("dropped"))
 
 
@@ -38,7 +42,7 @@ def rolling_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("t_idx >= 270 and n >= 200").select("ticker", "day", F.round("s", 8).alias("sigma"), "n")
 
 
-def frozen_path(model: DataFrame, frame: DataFrame, events: DataFrame, low: int = -5, high: int = 20) -> DataFrame:
+def frozen_path(model: DataFrame, frame: DataFrame, events: DataFrame, low: int = -5, high: int = 60) -> DataFrame:
     """ticker, e_idx, k, ar: abnormal returns around each event (ticker, e_idx) by the coefficients of the event's own row."""
     at = events.join(model.select("ticker", F.col("t_idx").alias("e_idx"), "alpha", "beta"), ["ticker", "e_idx"])
     days = at.withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("t_idx", F.col("e_idx") + F.col("k"))
@@ -46,9 +50,9 @@ def frozen_path(model: DataFrame, frame: DataFrame, events: DataFrame, low: int
     return met.select("ticker", "e_idx", "k", (F.col("y") - F.col("alpha") - F.col("beta") * F.col("x")).alias("ar"))
 
 
-_SHOCKS = _MODEL + """, sh AS (SELECT ticker, day, t_idx, ar, ar / sigma AS z, alpha, beta FROM z WHERE abs(ar / sigma) >= 1.5
+_SHOCKS = _MODEL + """, sh AS (SELECT ticker, day, t_idx, ar, ar / sigma AS z, alpha, beta FROM z WHERE abs(ar / sigma) >= 3.0
  ), sk AS (SELECT * FROM sh QUALIFY lag(t_idx) OVER (PARTITION BY ticker ORDER BY t_idx) IS NULL OR t_idx - lag(t_idx) OVER (PARTITION BY ticker ORDER BY t_idx) > 10)"""
-_PATH = _SHOCKS + """, ph AS (SELECT s.ticker, s.t_idx AS e_idx, f.t_idx - s.t_idx AS k, f.y - s.alpha - s.beta * f.x AS ar FROM sk s JOIN f ON f.ticker = s.ticker AND f.t_idx BETWEEN s.t_idx - 5 AND s.t_idx + 20)"""
+_PATH = _SHOCKS + """, ph AS (SELECT s.ticker, s.t_idx AS e_idx, f.t_idx - s.t_idx AS k, f.y - s.alpha - s.beta * f.x AS ar FROM sk s JOIN f ON f.ticker = s.ticker AND f.t_idx BETWEEN s.t_idx - 5 AND s.t_idx + 60)"""
 
 
 def _shocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,58 +78,98 @@ def cumulative_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("k").cast("int").alias("k"), "n", (F.round("m", 6) + 0.0).alias("mean_ar"), (F.round(F.sum("m").over(Window.orderBy("k")), 6) + 0.0).alias("car"))
 
 
-_EVENTS = _PATH + """, lk AS (SELECT DISTINCT a.p_type AS a, b.p_type AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type <> b.p_type WHERE a.p_size % 5 = 0 AND b.p_size % 5 = 0),
+_EVENTS = _PATH + """, ld AS (SELECT p_brand AS t, min_by(p_type, p_partkey) AS kind, count(*) AS size FROM part GROUP BY p_brand), lr AS (SELECT *, row_number() OVER (ORDER BY size, t) AS r FROM ld),
+lk AS (SELECT a.t AS a, b.t AS b FROM ld a JOIN ld b ON a.kind = b.kind AND a.t <> b.t),
+ct AS (SELECT lk.a, lk.b, c.t AS c, row_number() OVER (PARTITION BY lk.a, lk.b ORDER BY abs(b.size - c.size), abs(b.r - c.r), c.t) AS rank FROM lk JOIN lr b ON b.t = lk.b JOIN lr c ON c.t <> lk.a AND c.t <> lk.b
+ WHERE NOT EXISTS (SELECT 1 FROM lk k WHERE k.a = lk.a AND k.b = c.t) QUALIFY rank <= 10 AND count(*) OVER (PARTITION BY lk.a, lk.b) >= 2),
 fz AS (SELECT s.ticker AS a, s.t_idx AS e_idx, s.day, sign(s.ar) AS s, m.ticker AS b, m.t_idx AS b_idx, m.alpha, m.beta FROM sk s JOIN z m ON m.day = s.day AND m.ticker <> s.ticker),
-cr AS (SELECT a, e_idx, fz.day, s, b, w, sum(f.y - alpha - beta * f.x) AS car, count(*) AS n, min(hi) - min(lo) + 1 AS want FROM fz CROSS JOIN (VALUES ('pre', -5, -1), ('d0', 0, 0), ('w5', 1, 5), ('w20', 1, 20)) v(w, lo, hi)
- JOIN f ON f.ticker = b AND f.t_idx BETWEEN b_idx + lo AND b_idx + hi GROUP BY a, e_idx, fz.day, s, b, w),
-rp AS (SELECT a, e_idx, day, b, w, s * (car - (sum(car) OVER g - car) / (count(*) OVER g - 1)) AS ripple FROM cr WHERE n = want WINDOW g AS (PARTITION BY a, e_idx, w) QUALIFY count(*) OVER g >= 3),
-ev AS (SELECT rp.* FROM rp JOIN lk ON lk.a = rp.a AND lk.b = rp.b)"""
+cr AS (SELECT a, e_idx, fz.day, s, b, w, sum(f.y - alpha - beta * f.x) AS car FROM fz CROSS JOIN (VALUES ('pre', -5, -1), ('d0', 0, 0), ('w5', 1, 5), ('w20', 1, 20), ('w60', 1, 60)) v(w, lo, hi)
+ JOIN f ON f.ticker = b AND f.t_idx BETWEEN b_idx + lo AND b_idx + hi GROUP BY a, e_idx, fz.day, s, b, w HAVING count(*) = min(hi) - min(lo) + 1),
+ev AS (SELECT r.a, r.e_idx, r.day, r.b, r.w, v.k, r.s * (r.car - avg(x.car)) AS ripple, count(*) AS controls FROM cr r JOIN ct ON ct.a = r.a AND ct.b = r.b JOIN cr x ON x.a = r.a AND x.e_idx = r.e_idx AND x.w = r.w AND x.b = ct.c
+ CROSS JOIN (VALUES (3), (5), (10)) v(k) WHERE ct.rank <= v.k GROUP BY r.a, r.e_idx, r.day, r.b, r.w, v.k, r.s, r.car HAVING count(*) >= 2)"""
 
 
-def ripples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(a, e_idx, day, b, window, ripple of every other ticker at each shock against the mean of the rest; the links a, b).
+def lead_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, kind (type of its first part) and size (its parts) of each brand."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("id")).agg(F.min_by("p_type", "p_partkey").alias("kind"), F.count("*").alias("size"))
+
+
+def linked_pairs(firms: DataFrame) -> DataFrame:
+    """a, b: brands of one kind; few of a kind, as a brand has one."""
+    return firms.select(F.col("id").alias("a"), "kind").join(firms.select(F.col("id").alias("b"), "kind"), "kind").where("a <> b").select("a", "b")
+
+
+def event_cars(shock: DataFrame, needed: DataFrame, model: DataFrame, frame: DataFrame) -> DataFrame:
+    """a, e_idx, day, s, t, window, car of the tickers t needed with a, at each shock of a, by the coefficients of the shock's day.
 
-    Windows that are not complete give no row, nor do fewer than two controls.
+    A cumulated return is a difference of two running sums of y and of x, so each window costs two look-ups whatever its length.
+    Windows that are not complete give no row.
     """
+    upto = Window.partitionBy("ticker").orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0)
+    sums = materialize(frame.select(F.col("ticker").alias("t"), "t_idx", F.sum("y").over(upto).alias("sy"), F.sum("x").over(upto).alias("sx"), "y", "x"))
+    at = shock.join(needed, "a").join(model.select("day", F.col("ticker").alias("t"), F.col("t_idx").alias("at"), "alpha", "beta"), ["day", "t"])
+    spans = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for w, (lo, hi) in WINDOWS.items()])
+    rows = at.select("*", F.inline(spans)).withColumn("i0", F.col("at") + F.col("lo")).withColumn("i1", F.col("at") + F.col("hi"))
+    low = sums.select("t", F.col("t_idx").alias("i0"), (F.col("sy") - F.col("y")).alias("y0"), (F.col("sx") - F.col("x")).alias("x0"))
+    high = sums.select("t", F.col("t_idx").alias("i1"), F.col("sy").alias("y1"), F.col("sx").alias("x1"))
+    rows = rows.join(low, ["t", "i0"]).join(high, ["t", "i1"])
+    car = F.col("y1") - F.col("y0") - (F.col("hi") - F.col("lo") + 1) * F.col("alpha") - F.col("beta") * (F.col("x1") - F.col("x0"))
+    return rows.select("a", "e_idx", "day", "s", "t", "window", car.alias("car"))
+
+
+def _study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(shocks, model, frame, firms, links)."""
     frame, model, hit = _shocks(spark, sf_dir)
-    part = table(spark, sf_dir, "part").where("p_size % 5 = 0").select("p_brand", "p_type").distinct()
-    links = part.withColumnRenamed("p_type", "a").join(part.withColumnRenamed("p_type", "b"), "p_brand").where("a <> b").select("a", "b").distinct()
-    shock = hit.select(F.col("ticker").alias("a"), F.col("t_idx").alias("e_idx"), "day", F.signum("ar").alias("s"))
-    other = model.select("day", F.col("ticker").alias("b"), F.col("t_idx").alias("b_idx"), "alpha", "beta")
-    met = shock.join(other, "day").where("a <> b").withColumn("k", F.explode(F.sequence(F.lit(-5), F.lit(20)))).withColumn("t_idx", F.col("b_idx") + F.col("k"))
-    met = met.join(frame.select(F.col("ticker").alias("b"), "t_idx", "y", "x"), ["b", "t_idx"]).withColumn("ar", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
-    car = lambda lo, hi: F.when(F.count_if(F.col("k").between(lo, hi)) == hi - lo + 1, F.sum(F.when(F.col("k").between(lo, hi), F.col("ar"))))
-    wide = met.groupBy("a", "e_idx", "day", "s", "b").agg(*[car(*WINDOWS[w]).alias(w) for w in WINDOWS])
-    long = wide.unpivot(["a", "e_idx", "day", "s", "b"], list(WINDOWS), "window", "car").where("car is not null")
+    firms = materialize(lead_parts(spark, sf_dir))
+    return hit.select(F.col("ticker").alias("a"), F.col("t_idx").alias("e_idx"), "day", F.signum("ar").alias("s")), model, frame, firms, linked_pairs(firms)
+
+
+def ripples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(a, e_idx, day, b, window, ripple of every other ticker at each shock against the mean of the rest; the links a, b): what placebos draw from."""
+    shock, model, frame, firms, links = _study(spark, sf_dir)
+    ids = firms.select("id")
+    others = shock.select("a").distinct().join(ids, F.col("a") != F.col("id")).select("a", F.col("id").alias("t"))  # tickers by tickers, no rows of the tables
+    long = event_cars(shock, others, model, frame).withColumnRenamed("t", "b")
     g = Window.partitionBy("a", "e_idx", "window")
     long = long.withColumn("n", F.count("*").over(g)).where("n >= 3").withColumn("ripple", F.col("s") * (F.col("car") - (F.sum("car").over(g) - F.col("car")) / (F.col("n") - 1)))
     return long.select("a", "e_idx", "day", "b", "window", "ripple"), links
 
 
-def build_events_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, e_idx, day, b, window, ripple of the tickers linked to the one that was shocked."""
-    every, links = ripples(spark, sf_dir)
-    return every.join(links, ["a", "b"]).select("a", "e_idx", "day", "b", "window", "ripple")
+def build_events_rows(spark: SparkSession, sf_dir: str, study: tuple | None = None) -> DataFrame:
+    """a, e_idx, day, b, window, k, ripple, controls of the tickers linked to the one that was shocked, against their k nearest controls.
 
-
-@query(with_views("prices") + _EVENTS + " SELECT a, e_idx::INT AS e_idx, b, w AS \"window\", round(ripple, 5) + 0.0 AS ripple FROM ev")
+    Controls are tied to neither, rank by nearness of size, and the first k of them count as far as their window is complete, two at least.
+    """
+    shock, model, frame, firms, links = study or _study(spark, sf_dir)
+    ranked = materialize(controls(links.toDF("a_id", "b_id"), firms.select("id", F.lit("all").alias("sector"), "size"), links.toDF("x_id", "y_id"), most=max(CONTROLS)))
+    ranked = ranked.toDF("a", "b", "rank", "c")
+    needed = ranked.select("a", F.col("b").alias("t")).unionByName(ranked.select("a", F.col("c").alias("t"))).distinct()
+    cars = materialize(event_cars(shock, needed, model, frame))
+    own = cars.withColumnRenamed("t", "b").join(ranked, ["a", "b"])
+    met = own.join(cars.select("a", "e_idx", "window", F.col("t").alias("c"), F.col("car").alias("other")), ["a", "e_idx", "window", "c"])
+    sizes = F.filter(F.array(*[F.lit(k) for k in CONTROLS]), lambda k: F.col("rank") <= k)
+    met = met.withColumn("k", F.explode(sizes)).groupBy("a", "e_idx", "day", "b", "window", "k", "s", "car").agg(F.avg("other").alias("m"), F.count("*").alias("controls"))
+    return met.where("controls >= 2").withColumn("ripple", F.col("s") * (F.col("car") - F.col("m"))).select("a", "e_idx", "day", "b", "window", "k", "ripple", "controls")
+
+
+@query(with_views("prices") + _EVENTS + " SELECT a, e_idx::INT AS e_idx, b, w AS \"window\", k, controls, round(ripple, 5) + 0.0 AS ripple FROM ev")
 def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_events_rows(spark, sf_dir).select("a", F.col("e_idx").cast("int").alias("e_idx"), "b", "window", (F.round("ripple", 5) + 0.0).alias("ripple"))
+    return build_events_rows(spark, sf_dir).select("a", F.col("e_idx").cast("int").alias("e_idx"), "b", "window", "k", "controls", (F.round("ripple", 5) + 0.0).alias("ripple"))
 
 
-@query(with_views("prices") + _EVENTS + """, wk AS (SELECT w, strftime(day, '%G-%V') AS week, sum(ripple) AS s, count(*) AS m FROM ev GROUP BY ALL), t AS (SELECT w, sum(s) / sum(m) AS mean, sum(m)::BIGINT AS n, count(*) AS g FROM wk GROUP BY w)
-SELECT t.w AS "window", n, t.g AS n_clusters, round(mean, 5) + 0.0 AS mean, round(sqrt(t.g / (t.g - 1) * sum(pow(s - m * mean, 2))) / n, 5) AS se FROM wk JOIN t USING (w) GROUP BY t.w, n, t.g, mean HAVING t.g >= 2""")
+@query(with_views("prices") + _EVENTS + """, wk AS (SELECT w, k, strftime(day, '%G-%V') AS week, sum(ripple) AS s, count(*) AS m FROM ev GROUP BY ALL), t AS (SELECT w, k, sum(s) / sum(m) AS mean, sum(m)::BIGINT AS n, count(*) AS g FROM wk GROUP BY w, k)
+SELECT t.w AS "window", t.k, n, t.g AS n_clusters, round(mean, 5) + 0.0 AS mean, round(sqrt(t.g / (t.g - 1) * sum(pow(s - m * mean, 2))) / n, 5) AS se FROM wk JOIN t USING (w, k) GROUP BY t.w, t.k, n, t.g, mean HAVING t.g >= 2""")
 def role_window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells by window, clustered by the ISO week of the event."""
+    """Cells by window and size of the control group, clustered by the ISO week of the event."""
     rows = build_events_rows(spark, sf_dir).withColumn("week", F.concat_ws("-", F.expr("extract(yearofweek from day)"), F.weekofyear("day")))
-    return clustered_mean(rows, "ripple", "week", "window").select("window", "n", "n_clusters", (F.round("mean", 5) + 0.0).alias("mean"), F.round("se", 5).alias("se"))
+    return clustered_mean(rows, "ripple", "week", "window", "k").select("window", "k", "n", "n_clusters", (F.round("mean", 5) + 0.0).alias("mean"), F.round("se", 5).alias("se"))
 
 
 @query(with_views("prices") + _SHOCKS + " SELECT DISTINCT s.ticker AS a, s.t_idx::INT AS e_idx, o.ticker AS b FROM sk s JOIN z m ON m.day = s.day JOIN sh o ON o.ticker = m.ticker AND o.ticker <> s.ticker AND o.t_idx BETWEEN m.t_idx - 10 AND m.t_idx")
 def coshock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which other tickers had a large move in the ten rows up to a shock? The latest move is carried forward, not range joined."""
     _, model, hit = _shocks(spark, sf_dir)
-    last = F.max(F.when(F.abs(F.col("ar") / F.col("sigma")) >= 1.5, F.col("t_idx"))).over(_at().rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max(F.when(F.abs(F.col("ar") / F.col("sigma")) >= SHOCK, F.col("t_idx"))).over(_at().rowsBetween(Window.unboundedPreceding, 0))
     recent = model.select(F.col("ticker").alias("b"), "day", (F.col("t_idx") - last <= 10).alias("near")).where("near")
     return hit.select(F.col("ticker").alias("a"), F.col("t_idx").cast("int").alias("e_idx"), "day").join(recent, "day").where("a <> b").select("a", "e_idx", "b").distinct()
 

@@ -7,31 +7,39 @@ from pyspark.sql import functions as F
 
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
-from ripplegraph.session import table
+from ripplegraph.session import join_dimension, table
 
 TODAY = "2024-01-30"
 WINDOW, HALF_LIFE, HOP_WEIGHT, TOP = 7, 3.0, 0.5, 5
 MIXED, FLOOR, LEAST = 0.6, 0.15, 0.05
 
 
-def aggregate(impacts: DataFrame, today: str = TODAY, window: int = WINDOW) -> DataFrame:
+def aggregate(impacts: DataFrame, today: str = TODAY, window: int = WINDOW, multiplier: DataFrame | None = None) -> DataFrame:
     """The live verdict of each node: recency- and hop-weighted impacts, one vote per seed, day and direction.
 
     Votes of the same (node, seed, day, direction) count as the strongest, netted and squashed; opposing
-    mass makes a verdict mixed and damps it; verdicts that no directional vote moved, or below the floor, go.
+    mass makes a verdict mixed and damps it; verdicts that no directional vote moved, or below the floor, go. A table of
+    multipliers by hop and direction (a row for each class) scales the votes of the classes that it has.
     """
     day = F.to_date("ts")
     age = F.datediff(F.lit(today).cast("date"), day)
     sign = F.when(F.col("direction") == "positive", 1).when(F.col("direction") == "negative", -1).otherwise(0)
     weight = F.pow(F.lit(0.5), F.col("age") / HALF_LIFE) * F.least(F.lit(1.0), F.abs("magnitude")) * F.pow(F.lit(HOP_WEIGHT), F.col("hop"))
     rows = impacts.withColumn("day", day).withColumn("age", age).where(F.col("age").between(0, window))
+    if multiplier is not None:
+        m = multiplier.select(F.col("hop").alias("__hop"), F.col("direction").alias("__direction"), "multiplier")
+        rows = join_dimension(rows, m, (F.col("hop") == F.col("__hop")) & (F.col("direction") == F.col("__direction")), "left")
+        weight = weight * F.coalesce("multiplier", F.lit(1.0))
     rows = rows.withColumn("sign", sign).withColumn("contrib", F.when(F.col("sign") != 0, weight).otherwise(0.0))
     votes = rows.groupBy("node_id", "seed", "day", "sign").agg(
         F.count("*").alias("n"), F.max_by(F.struct("contrib", "hop", "event_id"), F.struct("contrib", -F.col("event_id"))).alias("best")
     )
     mass = lambda s: F.sum(F.when(F.col("sign") == s, F.col("best.contrib")).otherwise(0.0))
     moved = (F.col("sign") != 0) & (F.col("best.contrib") > 0)
-    top = F.slice(F.sort_array(F.collect_list(F.when(moved, F.struct(F.round("best.contrib", 4).alias("w"), (-F.col("best.event_id")).alias("e")))), asc=False), 1, TOP)
+    # A node's votes are numbered and only the first TOP collected, so a node with many is no long list.
+    order = Window.partitionBy("node_id").orderBy(F.when(moved, 0).otherwise(1), F.desc(F.round("best.contrib", 4)), "best.event_id")
+    votes = votes.withColumn("place", F.row_number().over(order))
+    top = F.sort_array(F.collect_list(F.when(moved & (F.col("place") <= TOP), F.struct("place", F.col("best.event_id").alias("e")))))
     nodes = votes.groupBy("node_id").agg(
         mass(1).alias("pos"), mass(-1).alias("neg"), F.sum("n").alias("event_count"), F.count_if(moved).alias("driver_count"),
         F.count_if(moved & (F.col("best.hop") == 0)).alias("direct_count"), top.alias("top"),
@@ -43,7 +51,7 @@ def aggregate(impacts: DataFrame, today: str = TODAY, window: int = WINDOW) -> D
     nodes = nodes.withColumn("mag", damped).withColumn("mag", F.when(F.col("mixed") & (F.col("mag") > 0) & (F.col("mag") < FLOOR), FLOOR).otherwise(F.col("mag")))
     nodes = nodes.where((F.col("driver_count") > 0) & (F.col("mixed") | (F.col("mag") > LEAST)))
     direction = F.when(F.col("signed") > 0, "positive").when(F.col("signed") < 0, "negative").otherwise("no_effect")
-    return nodes.select("node_id", direction.alias("direction"), F.round("mag", 3).alias("magnitude"), F.col("mixed").cast("int").alias("mixed_signals"), "event_count", "driver_count", "direct_count", F.array_join(F.transform("top", lambda x: (-x["e"]).cast("string")), ",").alias("top_events"))
+    return nodes.select("node_id", direction.alias("direction"), F.round("mag", 3).alias("magnitude"), F.col("mixed").cast("int").alias("mixed_signals"), "event_count", "driver_count", "direct_count", F.array_join(F.transform("top", lambda x: x["e"].cast("string")), ",").alias("top_events"))
 
 
 @query(with_views("impacts") + """, r AS (SELECT *, CAST(ts AS DATE) AS day, date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') AS age,
@@ -122,9 +130,9 @@ def story_dedupe(rows: DataFrame, key: list[str], days: int = 7) -> DataFrame:
 
 @query(with_views("impacts") + """
 SELECT event_id, node_id, seed, ts FROM impacts QUALIFY lag(ts) OVER (PARTITION BY node_id, seed ORDER BY ts, event_id) IS NULL
- OR epoch(ts) - epoch(lag(ts) OVER (PARTITION BY node_id, seed ORDER BY ts, event_id)) > 2 * 86400""")
+ OR epoch(ts) - epoch(lag(ts) OVER (PARTITION BY node_id, seed ORDER BY ts, event_id)) > 7 * 86400""")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return story_dedupe(view(spark, sf_dir, "impacts"), ["node_id", "seed"], 2).select("event_id", "node_id", "seed", "ts")
+    return story_dedupe(view(spark, sf_dir, "impacts"), ["node_id", "seed"]).select("event_id", "node_id", "seed", "ts")
 
 
 @query(with_views("impacts") + """, d AS (SELECT node_id, count(*) AS n FROM impacts GROUP BY node_id), c AS (SELECT node_id, n / max(n) OVER () AS cen FROM d)

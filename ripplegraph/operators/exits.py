@@ -130,13 +130,13 @@ def asof_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _INTRA = _BARS + """, io AS (SELECT en.event_id, en.ticker, en.up, h, x.close / en.open - 1 - (y.close / m.open - 1) AS abn FROM en JOIN nb m ON m.ticker = 'error' AND m.bar = en.bar
- CROSS JOIN (VALUES (0), (1), (5), (20)) v(h) JOIN nb x ON x.ticker = en.ticker AND x.b_idx = en.b_idx + h JOIN nb y ON y.ticker = 'error' AND y.bar = x.bar)"""
+ CROSS JOIN (VALUES (0), (1), (5), (20), (60)) v(h) JOIN nb x ON x.ticker = en.ticker AND x.b_idx = en.b_idx + h JOIN nb y ON y.ticker = 'error' AND y.bar = x.bar)"""
 
 
 def _intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, bars = _entries(spark, sf_dir)
     bench = bars.where("ticker = 'error'")
-    rows = entries.join(bench.select("bar", F.col("open").alias("m0")), "bar").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (0, 1, 5, 20)])))
+    rows = entries.join(bench.select("bar", F.col("open").alias("m0")), "bar").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (0, 1, 5, 20, 60)])))
     leave = bars.select("ticker", F.col("b_idx").alias("exit_idx"), F.col("bar").alias("exit_bar"), F.col("close").alias("p1"))
     rows = rows.withColumn("exit_idx", F.col("b_idx") + F.col("horizon")).join(leave, ["ticker", "exit_idx"])
     rows = rows.join(bench.select(F.col("bar").alias("exit_bar"), F.col("close").alias("m1")), "exit_bar")

@@ -62,6 +62,33 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int, node_cap: int | None = No
     return seen if node_cap is None else seen.orderBy("depth", "id").limit(node_cap)
 
 
+def capped_subgraph(edges: DataFrame, seeds: DataFrame, hops: int, node_cap: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(id, depth; the edges of every expanded node; truncated): nodes are expanded in the order in which they were met, a node's neighbours by id.
+
+    Where the cap is reached, the node being expanded is the last one: its edges stay, also those to nodes that the cap keeps out. A level is one
+    join of the frontier with the edges; at most `node_cap` nodes are ever numbered.
+    """
+    w = Window.orderBy("p", "id")
+    seen = materialize(seeds.select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ord")))
+    frontier, kept, total = seen, None, seen.count()
+    for depth in range(1, hops + 1):
+        at = touching(edges, frontier.select("id")).join(frontier.select(F.col("id").alias("node"), F.col("ord").alias("p")), "node")
+        at = materialize(at)
+        other = F.when(F.col("source") == F.col("node"), F.col("target")).otherwise(F.col("source"))
+        fresh = at.select(other.alias("id"), "p").groupBy("id").agg(F.min("p").alias("p")).join(seen, "id", "left_anti")
+        room = node_cap - total
+        first = materialize(fresh.orderBy("p", "id").limit(room + 1))  # bounded by the cap
+        over = first.orderBy(F.desc("p"), F.desc("id")).first() if first.count() > room else None
+        if over is not None:
+            at = at.where(F.col("p") <= over["p"])
+        kept = at if kept is None else kept.unionByName(at)
+        frontier = materialize(first.orderBy("p", "id").limit(room).select("id", F.lit(depth).alias("depth"), (F.row_number().over(w) + total).cast("long").alias("ord")))
+        seen, total = seen.unionByName(frontier), total + min(first.count(), room)
+        if over is not None or frontier.isEmpty():
+            return seen.select("id", "depth"), kept.select(*edges.columns).dropDuplicates(["id"]), over is not None
+    return seen.select("id", "depth"), (edges.limit(0) if kept is None else kept.select(*edges.columns).dropDuplicates(["id"])), False
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """id, n_out, n_in, degree; an undirected edge counts as out on both ends."""
     ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
@@ -107,9 +134,17 @@ def match_score(alias: Column, wanted: str) -> Column:
     return F.when(a == w, 100).when(F.startswith(a, F.lit(w)), 95).when(every, 88).when(F.contains(a, F.lit(w)), 45)
 
 
-def search(aliases: DataFrame, wanted: str, limit: int) -> DataFrame:
-    """The best score of each node over its aliases; the top by score and id."""
-    scored = aliases.select("node_id", match_score(F.col("alias"), wanted).alias("score")).where("score is not null")
+def search(aliases: DataFrame, wanted: str, limit: int, fuzzy: bool = False) -> DataFrame:
+    """The best score of each node over its aliases; the top by score and id. With `fuzzy`, aliases that no rule scores count by their likeness as sets of words."""
+    score = match_score(F.col("alias"), wanted)
+    if fuzzy:
+        from ripplegraph.operators.resolve import token_set_ratio  # that module uses this one
+
+        like = token_set_ratio(F.lower("alias"), F.lit(wanted.lower().strip()))
+        rules = aliases.select("node_id", "alias", score.alias("score"))
+        aliases = rules.where("score is not null").select("node_id", "score").unionByName(rules.where("score is null").select("node_id", F.floor(like).cast("int").alias("score")))
+        score = F.col("score")
+    scored = aliases.select("node_id", score.alias("score")).where("score is not null")
     return scored.groupBy("node_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "node_id").limit(limit)
 
 
@@ -228,11 +263,13 @@ def dedupe_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(view(spark, sf_dir, "candidates"), undirected=True)
 
 
-@query(with_views("candidates") + """, g AS (SELECT source, snippet, list_sort(list(DISTINCT target)) AS targets FROM candidates GROUP BY source, snippet HAVING count(DISTINCT target) >= 1)
-SELECT source, snippet, len(targets)::BIGINT AS n_targets, targets[1] AS first_target FROM g WHERE len(targets) >= 2""")
+@query(with_views("candidates") + """, y AS (SELECT source, substr(snippet, length(snippet) - 9, 4) AS snippet, target FROM candidates), g AS (SELECT source, snippet, list_sort(list(DISTINCT target)) AS targets FROM y GROUP BY source, snippet)
+SELECT source, snippet, len(targets)::BIGINT AS n_targets, targets[1] AS first_target FROM g WHERE len(targets) >= 3""")
 def comention_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = view(spark, sf_dir, "candidates").groupBy("source", "snippet").agg(F.array_sort(F.collect_set("target")).alias("targets"))
-    return g.where(F.size("targets") >= 2).select("source", "snippet", F.size("targets").cast("long").alias("n_targets"), F.col("targets")[0].alias("first_target"))
+    """Targets that one source names together, here in the orders of a year; three make a group."""
+    year = F.substr("snippet", F.length("snippet") - 9, F.lit(4))
+    g = view(spark, sf_dir, "candidates").groupBy("source", year.alias("snippet")).agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    return g.where(F.size("targets") >= 3).select("source", "snippet", F.size("targets").cast("long").alias("n_targets"), F.col("targets")[0].alias("first_target"))
 
 
 @query(with_views("edges") + """

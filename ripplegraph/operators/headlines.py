@@ -11,57 +11,114 @@ from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
 from ripplegraph.session import table
 
-#: Our own short lexicons over lower-cased headlines; parameters of the functions below.
-TRIGGERS = {
-    "money": r"[$€£]\s?[0-9]|\b[0-9]+(\.[0-9]+)?\s?(million|billion|trillion|bn|mn)\b",
-    "words": r"\b(acqui|merge|takeover|buyout|contract|recall|lawsuit|settle|sanction|tariff|approv|bankrupt|layoff|resign|appoint|strike|outage|breach)[a-z]*",
-    "earnings": r"\b(profit|revenue|sales|earnings|output)\b[^.]{0,25}\b(rise|rose|fall|fell|jump|drop|grew|grow|doubl)[a-z]*",
-    "event": r"\b(trial|debut|shortage|explosion|listing|shipment|deliver|backlog)[a-z]*",
+#: Tokens of a headline: numbers with what stands on them (a currency before, a per cent sign after), and words.
+TOKEN = r"[$€£]?[0-9]+(?:[.,][0-9]+)*%?|[a-z]+"
+#: Word lists by role, our own choice; a token has a role if it is in the list as it stands.
+ROLES = {
+    "unit": ("thousand", "million", "billion", "trillion", "mn", "bn", "tn"),
+    "deal": ("acquire", "acquires", "acquired", "merger", "merge", "merges", "takeover", "buyout", "stake", "bid", "divest", "divests", "spinoff"),
+    "law": ("lawsuit", "sues", "sued", "probe", "probes", "fined", "ruling", "verdict", "sanctions", "tariff", "tariffs", "patent", "antitrust"),
+    "plant": ("recall", "recalls", "outage", "shortage", "strike", "halts", "delayed", "shutdown", "explosion", "shipments", "backlog", "rollout"),
+    "staff": ("resigns", "appoints", "layoffs", "ousted", "hires"),
+    "figure": ("revenue", "profit", "profits", "sales", "earnings", "output", "margin", "orders"),
+    "move": ("rise", "rises", "rose", "climbs", "gains", "jumps", "grew", "grows", "growing", "doubles", "falls", "fell", "drops", "slips", "sinks", "shrinks"),
+    "share": ("share", "shares", "stock", "stocks"),
+    "calm": ("flat", "steady", "unchanged", "mixed", "little"),
+    "reason": ("as", "after", "amid", "despite", "on", "before"),
+    "opener": ("should", "how", "why", "what", "where"),
+    "reader": ("you", "buy", "sell", "hold", "invest", "know", "watch", "expect"),
 }
-#: The triggers that no commentary template overrides.
-STRONG = ("money", "words", "event")
-SOFT = r"should you (buy|sell|hold)|price target|\b(shares?|stock)\b[^.]{0,30}\b(rise|rose|fall|fell|jump|drop|gain|slip)[a-z]*[^.]{0,15}[0-9]+(\.[0-9]+)?\s?%|\bhow to [a-z]+|record date|what to (know|watch|expect)"
-HARD = r"\b(stock|shares?)\b[^.]{0,20}\b(trad|hold|remain|clos)[a-z]*[^.]{0,12}\b(steady|flat|unchanged|mixed)\s+(as|amid|on|after|despite)\b"
+#: Roles that make a headline material by themselves.
+ACTS = ("deal", "law", "plant", "staff")
+#: Tokens between which two roles count as said of each other, by rule.
+NEAR = {"amount": 1, "results": 4, "quote": 5, "calm": 4, "reason": 1, "advice": 3}
 #: A prior that is kept unjudged (a filing), and the prior under which a headline goes unjudged.
 AUTOKEEP, DROP = 99.0, 1.5
 
 
-def triggers(headline: Column, patterns: dict[str, str] = TRIGGERS) -> dict[str, Column]:
-    """A boolean for each kind of material trigger; a missing headline has none."""
-    text = F.lower(F.coalesce(headline, F.lit("")))
-    return {k: F.regexp_like(text, F.lit(p)) for k, p in patterns.items()}
+def tokens(headline: Column) -> Column:
+    """The tokens in order; a missing headline has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(headline, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def is_non_news(headline: Column, soft: str = SOFT, hard: str = HARD) -> Column:
-    """Hard templates unless a strong trigger stands; soft ones unless any trigger does."""
-    text, has = F.lower(F.coalesce(headline, F.lit(""))), triggers(headline)
-    strong = F.lit(False)
-    for k in STRONG:
-        strong = strong | has[k]
-    return (F.regexp_like(text, F.lit(hard)) & ~strong) | (~strong & ~has["earnings"] & F.regexp_like(text, F.lit(soft)))
+def places(words: Column, role: str) -> Column:
+    """The positions at which a token has the role; numbers are the roles number, price and percent."""
+    shape = {"number": "^[0-9]", "price": "^[$€£]", "percent": "%$"}
+    has = (lambda t: F.regexp_like(t, F.lit(shape[role]))) if role in shape else (lambda t: t.isin(*ROLES[role]))
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: has(F.get(words, i)))
 
 
-_HAS = ", t AS (SELECT *, lower(coalesce(headline, '')) AS h FROM headlines), g AS (SELECT *, " + ", ".join(f"regexp_matches(h, '{p}') AS {k}" for k, p in TRIGGERS.items()) + " FROM t), nn AS (SELECT *, money OR words OR event AS strong, (regexp_matches(h, '" + HARD + "') AND NOT (money OR words OR event)) OR (NOT (money OR words OR event OR earnings) AND regexp_matches(h, '" + SOFT + "')) AS nonnews FROM g)"
+def follows(words: Column, first: str, then: str, within: int) -> Column:
+    """Does a token of one role come at most `within` tokens after one of another?"""
+    last = places(words, then)
+    return F.exists(places(words, first), lambda i: F.exists(last, lambda j: (j > i) & (j - i <= within)))
 
 
-@query(with_views("headlines") + _HAS + " SELECT event_id, money, words, earnings, event, strong OR earnings AS material FROM nn")
+def findings(words: Column) -> dict[str, Column]:
+    """What a headline tells: an amount of money, an act, results, or that it is a quote, a calm market or advice."""
+    some = F.size(words) > 0
+    has = lambda *roles: F.exists(words, lambda t: t.isin(*[w for r in roles for w in ROLES[r]]))
+    quote = follows(words, "share", "move", NEAR["quote"]) & (F.size(places(words, "percent")) > 0)
+    calm = follows(words, "share", "calm", NEAR["calm"]) & follows(words, "calm", "reason", NEAR["reason"])
+    advice = F.get(words, F.lit(0)).isin(*ROLES["opener"]) & F.exists(F.slice(words, 2, NEAR["advice"]), lambda t: t.isin(*ROLES["reader"]))
+    found = {
+        "money": (F.size(places(words, "price")) > 0) | follows(words, "number", "unit", NEAR["amount"]),
+        "act": has(*ACTS),
+        "results": follows(words, "figure", "move", NEAR["results"]),
+        "quote": quote,
+        "calm": calm,
+        "advice": advice,
+    }
+    return {k: F.when(some, c).otherwise(False) for k, c in found.items()}
+
+
+def classify(rows: DataFrame) -> DataFrame:
+    """rows with findings, material and nonnews: a quiet market is no news unless money or an act is told, quotes and advice unless anything is."""
+    rows = rows.withColumn("__words", tokens(F.col("headline")))
+    rows = rows.select("*", *[c.alias(k) for k, c in findings(F.col("__words")).items()]).drop("__words")
+    strong = F.col("money") | F.col("act")
+    rows = rows.withColumn("material", strong | F.col("results"))
+    return rows.withColumn("nonnews", (F.col("calm") & ~strong) | ((F.col("quote") | F.col("advice")) & ~F.col("material")))
+
+
+def _list(role: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in ROLES[role]) + "]"
+
+
+def _at(role: str) -> str:
+    shape = {"number": "^[0-9]", "price": "^[$€£]", "percent": "%$"}
+    test = f"regexp_matches(w[i], '{shape[role]}')" if role in shape else f"list_contains({_list(role)}, w[i])"
+    return f"list_filter(range(1, len(w) + 1), lambda i: {test})"
+
+
+def _follows(first: str, then: str, within: int) -> str:
+    return f"len(list_filter({_at(first)}, lambda a: len(list_filter({_at(then)}, lambda b: b > a AND b - a <= {within})) > 0)) > 0"
+
+
+_HAS = f""", t AS (SELECT *, regexp_extract_all(lower(coalesce(headline, '')), '{TOKEN}') AS w FROM headlines),
+g AS (SELECT *, len({_at("price")}) > 0 OR {_follows("number", "unit", NEAR["amount"])} AS money, len(list_filter(w, lambda x: {" OR ".join(f"list_contains({_list(r)}, x)" for r in ACTS)})) > 0 AS act,
+ {_follows("figure", "move", NEAR["results"])} AS results, {_follows("share", "move", NEAR["quote"])} AND len({_at("percent")}) > 0 AS quote,
+ {_follows("share", "calm", NEAR["calm"])} AND {_follows("calm", "reason", NEAR["reason"])} AS calm,
+ coalesce(list_contains({_list("opener")}, w[1]), false) AND len(list_filter(w[2:{1 + NEAR["advice"]}], lambda x: list_contains({_list("reader")}, x))) > 0 AS advice FROM t),
+nn AS (SELECT *, money OR act OR results AS material, (calm AND NOT (money OR act)) OR ((quote OR advice) AND NOT (money OR act OR results)) AS nonnews FROM g)"""
+
+
+@query(with_views("headlines") + _HAS + " SELECT event_id, money, act, results, material FROM nn")
 def materiality_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has = triggers(F.col("headline"))
-    rows = view(spark, sf_dir, "headlines").select("event_id", *[c.alias(k) for k, c in has.items()])
-    return rows.withColumn("material", F.col("money") | F.col("words") | F.col("event") | F.col("earnings"))
+    return classify(view(spark, sf_dir, "headlines")).select("event_id", "money", "act", "results", "material")
 
 
-@query(with_views("headlines") + _HAS + " SELECT event_id, nonnews FROM nn")
+@query(with_views("headlines") + _HAS + " SELECT event_id, quote, calm, advice, nonnews FROM nn")
 def nonnews_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "headlines").select("event_id", is_non_news(F.col("headline")).alias("nonnews"))
+    return classify(view(spark, sf_dir, "headlines")).select("event_id", "quote", "calm", "advice", "nonnews")
 
 
 @query(with_views("headlines") + _HAS + " SELECT event_id, CASE WHEN nonnews THEN 'non_news' WHEN prior = 99 THEN 'keep' WHEN prior < 1.5 THEN 'drop' ELSE 'judge' END AS band FROM nn")
 def materiality_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-news goes first, then filings are kept, then low priors go; the rest, those without a prior too, await a verdict."""
     prior = F.col("prior")
-    band = F.when(is_non_news(F.col("headline")), "non_news").when(prior == AUTOKEEP, "keep").when(prior < DROP, "drop").otherwise("judge")
-    return view(spark, sf_dir, "headlines").select("event_id", band.alias("band"))
+    band = F.when(F.col("nonnews"), "non_news").when(prior == AUTOKEEP, "keep").when(prior < DROP, "drop").otherwise("judge")
+    return classify(view(spark, sf_dir, "headlines")).select("event_id", band.alias("band"))
 
 
 def three_layers(batch: DataFrame, stored: DataFrame, days: int = 7) -> DataFrame:

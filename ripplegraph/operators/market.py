@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
 
-HORIZONS = (1, 5, 20)
+HORIZONS = (1, 5, 20, 60)
 COST = 0.001
 
 
@@ -52,7 +54,7 @@ _OUTCOMES = """, a AS (SELECT s.*, p.t_idx AS ann_idx, p.day AS ann_day FROM sig
 e AS (SELECT *, ann_idx + CASE WHEN ann_day = pub THEN 1 ELSE 0 END AS entry_idx FROM a),
 q AS (SELECT p.*, b.open AS b_open, b.close AS b_close FROM prices p JOIN benchmark b USING (day)),
 outcomes AS (SELECT event_id, e.ticker, hop, direction, magnitude, pub, n.day AS entry_day, x.day AS exit_day, h AS horizon, (x.close / n.open - 1) - (x.b_close / n.b_open - 1) AS abn_ret
- FROM e JOIN q n ON n.ticker = e.ticker AND n.t_idx = entry_idx CROSS JOIN (VALUES (1), (5), (20)) v(h) JOIN q x ON x.ticker = e.ticker AND x.t_idx = entry_idx + h),
+ FROM e JOIN q n ON n.ticker = e.ticker AND n.t_idx = entry_idx CROSS JOIN (VALUES (1), (5), (20), (60)) v(h) JOIN q x ON x.ticker = e.ticker AND x.t_idx = entry_idx + h),
 o AS (SELECT *, (CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END > 1e-9)::INT AS hit, CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END - 0.001 AS net FROM outcomes)"""
 
 
@@ -82,20 +84,20 @@ def stat_block(rows: DataFrame, *by: str) -> DataFrame:
     low, high = wilson(F.sum("hit"), F.count("*"))
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(low, 6).alias("ci_low"), F.round(high, 6).alias("ci_high"),
-        F.round(F.avg("abn_ret"), 5).alias("mean_abn"), F.round(F.median("abn_ret"), 5).alias("median_abn"), F.round(F.avg((F.col("net") > 0).cast("int")), 6).alias("net_hit_rate"),
+        (F.round(F.avg("abn_ret"), 5) + 0.0).alias("mean_abn"), (F.round(F.median("abn_ret"), 5) + 0.0).alias("median_abn"), F.round(F.avg((F.col("net") > 0).cast("int")), 6).alias("net_hit_rate"),
     )
 
 
 _BLOCK = """count(*) AS n, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS hit_rate,
  round((avg(hit) + 3.8416 / (2 * count(*)) - 1.96 * sqrt(avg(hit) * (1 - avg(hit)) / count(*) + 3.8416 / (4.0 * count(*) * count(*)))) / (1 + 3.8416 / count(*)), 6) AS ci_low,
  round((avg(hit) + 3.8416 / (2 * count(*)) + 1.96 * sqrt(avg(hit) * (1 - avg(hit)) / count(*) + 3.8416 / (4.0 * count(*) * count(*)))) / (1 + 3.8416 / count(*)), 6) AS ci_high,
- round(avg(abn_ret), 5) AS mean_abn, round(median(abn_ret), 5) AS median_abn, round(avg((net > 0)::INT), 6) AS net_hit_rate"""
+ round(avg(abn_ret), 5) + 0.0 AS mean_abn, round(median(abn_ret), 5) + 0.0 AS median_abn, round(avg((net > 0)::INT), 6) AS net_hit_rate"""
 _BAND = "CASE WHEN magnitude < 0.15 THEN 'low' WHEN magnitude < 0.35 THEN 'mid' WHEN magnitude < 0.6 THEN 'high' ELSE 'extreme' END"
 
 
-@query(with_views(*_OUT) + _OUTCOMES + f" SELECT hop, direction, {_BAND} AS band, horizon, {_BLOCK} FROM o GROUP BY ALL")
+@query(lambda: with_views(*_OUT) + _OUTCOMES + _CLEAN + f" SELECT hop, direction, {_BAND} AS band, horizon, clean, {_BLOCK} FROM oc GROUP BY ALL")
 def reliability_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stat_block(_outcomes(spark, sf_dir).withColumn("band", F.expr(_BAND)), "hop", "direction", "band", "horizon")
+    return stat_block(_clean(spark, sf_dir).withColumn("band", F.expr(_BAND)), "hop", "direction", "band", "horizon", "clean")
 
 
 @query(with_views(*_OUT) + _OUTCOMES + f" SELECT hop, direction, horizon, {_BLOCK} FROM o GROUP BY GROUPING SETS ((hop, horizon), (direction, horizon), (horizon), ())")
@@ -129,17 +131,33 @@ def reliability_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("hop", "direction", "horizon", "n", F.round(F.when(sure, raw).otherwise(1.0), 5).alias("multiplier"))
 
 
-@query(with_views(*_OUT) + _OUTCOMES + """, n AS (SELECT DISTINCT ticker, pub FROM signals WHERE hop = 0)
-SELECT o.event_id, o.horizon, NOT EXISTS (SELECT 1 FROM n WHERE n.ticker = o.ticker AND n.pub > o.entry_day AND n.pub <= o.exit_day) AS clean FROM o WHERE horizon = 1""")
-def clean_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is there no own direct news after entry, up to exit? Days of news before each date are counted once, so the interval is a difference of two counts."""
-    rows = _outcomes(spark, sf_dir).where("horizon = 1").select("event_id", "ticker", "horizon", "entry_day", "exit_day")
-    news = view(spark, sf_dir, "signals").where("hop = 0").select("ticker", F.col("pub").alias("d")).distinct().withColumn("k", F.lit(1))
-    asked = rows.select("ticker", F.explode(F.array("entry_day", "exit_day")).alias("d")).distinct().withColumn("k", F.lit(0))
+def news_free(rows: DataFrame, news: DataFrame) -> DataFrame:
+    """rows (ticker, hop, pub, exit_day) with clean: has the ticker no direct news from its announcement to its exit?
+
+    Both days count; a direct signal (hop 0) is news itself, so for it the announcing day doesn't. Days of news up to each date are counted
+    once, so the interval is a difference of two counts and no range join is made.
+    """
+    days = news.select("ticker", F.col("pub").alias("d")).distinct().withColumn("k", F.lit(1))
+    asked = rows.select("ticker", F.explode(F.array("pub", "exit_day")).alias("d")).distinct().withColumn("k", F.lit(0))
     w = Window.partitionBy("ticker").orderBy("d")  # range frame: all rows up to the date
-    upto = news.unionByName(asked).withColumn("c", F.sum("k").over(w)).where("k = 0").select("ticker", "d", "c")
-    out = rows.join(upto.toDF("ticker", "entry_day", "c0"), ["ticker", "entry_day"]).join(upto.toDF("ticker", "exit_day", "c1"), ["ticker", "exit_day"])
-    return out.select("event_id", "horizon", (F.col("c1") == F.col("c0")).alias("clean"))
+    upto = days.unionByName(asked).withColumn("c", F.sum("k").over(w)).withColumn("own", F.max("k").over(Window.partitionBy("ticker", "d")))
+    upto = upto.where("k = 0").select("ticker", "d", "c", "own")
+    met = rows.join(upto.toDF("ticker", "pub", "c0", "own0"), ["ticker", "pub"]).join(upto.toDF("ticker", "exit_day", "c1", "own1"), ["ticker", "exit_day"])
+    before = F.when(F.col("hop") == 0, F.col("c0")).otherwise(F.col("c0") - F.col("own0"))
+    return met.withColumn("clean", F.col("c1") == before).drop("c0", "c1", "own0", "own1")
+
+
+_CLEAN = """, n AS (SELECT DISTINCT ticker, pub FROM signals WHERE hop = 0),
+oc AS (SELECT o.*, NOT EXISTS (SELECT 1 FROM n WHERE n.ticker = o.ticker AND n.pub <= o.exit_day AND (n.pub > o.pub OR (n.pub = o.pub AND o.hop <> 0))) AS clean FROM o)"""
+
+
+@query(with_views(*_OUT) + _OUTCOMES + _CLEAN + " SELECT event_id, horizon, clean FROM oc")
+def clean_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean(spark, sf_dir).select("event_id", "horizon", "clean")
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news_free(_outcomes(spark, sf_dir), view(spark, sf_dir, "signals").where("hop = 0"))
 
 
 def _t_window(a: int, b: int):
@@ -162,30 +180,35 @@ def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FRAME = ", m AS (SELECT day, avg(r) AS x FROM prices GROUP BY day), f AS (SELECT ticker, day, t_idx, r AS y, x FROM prices JOIN m USING (day))"
 _EST = "OVER (PARTITION BY ticker ORDER BY t_idx ROWS BETWEEN 270 PRECEDING AND 21 PRECEDING)"
-_MODEL = _FRAME + f""", c AS (SELECT *, count(*) {_EST} AS n, regr_slope(y, x) {_EST} AS beta, regr_intercept(y, x) {_EST} AS alpha, stddev_samp(y - x) {_EST} AS sigma FROM f),
-z AS (SELECT ticker, day, t_idx, n, beta, alpha, sigma, y - alpha - beta * x AS ar FROM c WHERE t_idx >= 270 AND n >= 200)"""
+_MODEL = _FRAME + f""", c AS (SELECT *, count(*) {_EST} AS n, regr_slope(y, x) {_EST} AS beta, regr_intercept(y, x) {_EST} AS alpha, regr_syy(y, x) {_EST} AS syy, regr_sxy(y, x) {_EST} AS sxy FROM f),
+z AS (SELECT ticker, day, t_idx, n, beta, alpha, sqrt(greatest(syy - beta * sxy, 0) / (n - 2)) AS sigma, y - alpha - beta * x AS ar FROM c WHERE t_idx >= 270 AND n >= 200)"""
 
 
 def market_model(frame: DataFrame) -> DataFrame:
-    """Rolling market model frozen at each row: beta, alpha over rows [-270, -21], at least 200 of them, and the row's abnormal return."""
+    """Rolling market model frozen at each row: beta, alpha and the residuals' sigma over rows [-270, -21], at least 200 of them, and the row's abnormal return."""
     w = _t_window(-270, -21)
-    m = frame.select("*", F.count("y").over(w).alias("n"), F.regr_slope("y", "x").over(w).alias("beta"), F.regr_intercept("y", "x").over(w).alias("alpha"), F.stddev_samp(F.col("y") - F.col("x")).over(w).alias("sigma"))
+    m = frame.select("*", F.count("y").over(w).alias("n"), F.regr_slope("y", "x").over(w).alias("beta"), F.regr_intercept("y", "x").over(w).alias("alpha"), F.regr_syy("y", "x").over(w).alias("syy"), F.regr_sxy("y", "x").over(w).alias("sxy"))
+    m = m.withColumn("sigma", F.sqrt(F.greatest(F.col("syy") - F.col("beta") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2))).drop("syy", "sxy")
     return m.where("t_idx >= 270 and n >= 200").withColumn("ar", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
 
 
-@query(with_views("prices") + _MODEL + " SELECT ticker, day, n, round(beta, 4) AS beta, round(alpha, 6) AS alpha, round(ar, 6) AS ar FROM z")
+@query(with_views("prices") + _MODEL + " SELECT ticker, day, n, round(beta, 4) + 0.0 AS beta, round(alpha, 6) + 0.0 AS alpha, round(ar, 6) + 0.0 AS ar FROM z")
 def rolling_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market_model(_frame(spark, sf_dir)).select("ticker", "day", "n", F.round("beta", 4).alias("beta"), F.round("alpha", 6).alias("alpha"), F.round("ar", 6).alias("ar"))
+    return market_model(_frame(spark, sf_dir)).select("ticker", "day", "n", (F.round("beta", 4) + 0.0).alias("beta"), (F.round("alpha", 6) + 0.0).alias("alpha"), (F.round("ar", 6) + 0.0).alias("ar"))
+
 
+#: Least |ar / sigma| of a shock, and rows before it without another.
+SHOCK, QUIET = 3.0, 10
 
-def shocks(model: DataFrame, least: float = 1.5, quiet: int = 10) -> DataFrame:
+
+def shocks(model: DataFrame, least: float = SHOCK, quiet: int = QUIET) -> DataFrame:
     """Rows with |ar / sigma| >= least, kept only if no other such row came in the `quiet` rows before."""
     hit = model.withColumn("z", F.col("ar") / F.col("sigma")).where(F.abs("z") >= least)
     gap = F.col("t_idx") - F.lag("t_idx").over(Window.partitionBy("ticker").orderBy("t_idx"))
     return hit.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") > quiet))
 
 
-@query(with_views("prices") + _MODEL + """, s AS (SELECT ticker, day, t_idx, ar / sigma AS z FROM z WHERE abs(ar / sigma) >= 1.5)
+@query(with_views("prices") + _MODEL + """, s AS (SELECT ticker, day, t_idx, ar / sigma AS z FROM z WHERE abs(ar / sigma) >= 3.0)
 SELECT ticker, day, round(z, 2) AS z FROM s QUALIFY lag(t_idx) OVER (PARTITION BY ticker ORDER BY t_idx) IS NULL OR t_idx - lag(t_idx) OVER (PARTITION BY ticker ORDER BY t_idx) > 10""")
 def shock_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shocks(market_model(_frame(spark, sf_dir))).select("ticker", "day", F.round("z", 2).alias("z"))
@@ -200,12 +223,17 @@ def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("t_idx >= 80 and n >= 20").select("ticker", "day", F.round("m", 7).alias("mean_abs"), "n")
 
 
-@query(with_views("prices") + _MODEL + """, k AS (SELECT ticker, day, t_idx, sum(ar) OVER (PARTITION BY ticker ORDER BY t_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS car, count(*) OVER (PARTITION BY ticker ORDER BY t_idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS c FROM z)
-SELECT ticker, day, round(car, 5) AS car_w5 FROM k WHERE c = 5""")
+@query(with_views("prices") + _MODEL + """, v(w, lo, hi) AS (VALUES ('w5', 1, 5), ('w20', 1, 20), ('w60', 1, 60)), k AS (SELECT z.ticker, z.day, w, sum(f.y - alpha - beta * f.x) AS car, count(*) AS c, min(hi) AS hi FROM z CROSS JOIN v JOIN f ON f.ticker = z.ticker AND f.t_idx BETWEEN z.t_idx + lo AND z.t_idx + hi GROUP BY z.ticker, z.day, w)
+SELECT ticker, day, w AS "window", round(car, 5) + 0.0 AS car FROM k WHERE c = hi""")
 def car_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _t_window(1, 5)
-    m = market_model(_frame(spark, sf_dir)).select("ticker", "day", F.sum("ar").over(w).alias("car"), F.count("ar").over(w).alias("c"))
-    return m.where("c = 5").select("ticker", "day", F.round("car", 5).alias("car_w5"))
+    """Cumulative abnormal returns after each row by that row's own coefficients: sums of y and x over the next rows, whose window is one pass."""
+    frame = _frame(spark, sf_dir)
+    ahead = lambda n: _t_window(1, n)
+    spans = {"w5": 5, "w20": 20, "w60": 60}
+    sums = frame.select("ticker", "t_idx", *[F.struct(F.sum("y").over(ahead(n)).alias("y"), F.sum("x").over(ahead(n)).alias("x"), F.count("y").over(ahead(n)).alias("n")).alias(w) for w, n in spans.items()])
+    m = market_model(frame).select("ticker", "day", "t_idx", "alpha", "beta").join(sums, ["ticker", "t_idx"])
+    cars = F.array(*[F.struct(F.lit(w).alias("window"), F.when(F.col(w)["n"] == n, F.col(w)["y"] - n * F.col("alpha") - F.col("beta") * F.col(w)["x"]).alias("car")) for w, n in spans.items()])
+    return m.select("ticker", "day", F.inline(cars)).where("car is not null").withColumn("car", F.round("car", 5) + 0.0)
 
 
 def clustered_mean(rows: DataFrame, value: str, cluster: str, *by: str) -> DataFrame:
@@ -232,23 +260,22 @@ def holm(rows: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     return rows.withColumn("passed", passed).withColumn("rejected", F.min("passed").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("passed")
 
 
-@query(with_views(*_OUT) + _OUTCOMES + """, t AS (SELECT 'h' || horizon || '-' || direction AS test, round(2 * exp(-abs(avg(abn_ret)) * 1000), 4) AS p FROM o GROUP BY horizon, direction),
-k AS (SELECT *, (p <= 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1))::INT AS passed FROM t)
-SELECT test, p, min(passed) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM k""")
+@query()
 def holm_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = F.concat(F.lit("h"), "horizon", F.lit("-"), "direction")
-    p = F.round(2 * F.exp(-F.abs(F.avg("abn_ret")) * 1000), 4)
-    return holm(_outcomes(spark, sf_dir).groupBy(test.alias("test")).agg(p.alias("p")), "p")
+    """Tests of the mean abnormal return by horizon and direction, clustered by day: t, its two-sided p by Student's t, and Holm's verdict."""
+    cells = clustered_mean(_outcomes(spark, sf_dir), "abn_ret", "pub", "horizon", "direction")
+    rows = cells.select(F.concat(F.lit("h"), "horizon", F.lit("-"), "direction").alias("test"), (F.col("mean") / F.col("se")).alias("t"), (F.col("n_clusters") - 1).alias("df"))
+    return holm(rows.withColumn("p", t_p("t", "df")), "p").select("test", F.round("t", 4).alias("t"), "df", F.round("p", 6).alias("p"), "rejected")
 
 
-@query(with_views(*_OUT) + _OUTCOMES + """, t AS (SELECT event_id, year(pub) AS y, rank() OVER (PARTITION BY year(pub) ORDER BY magnitude) + (count(*) OVER (PARTITION BY year(pub), magnitude) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY year(pub)) AS n FROM o WHERE horizon = 5)
-SELECT event_id, y, ceil(3 * (k / n))::INT AS tercile FROM t""")
+@query(with_views(*_OUT) + _OUTCOMES + """, t AS (SELECT event_id, year(pub) AS y, horizon, rank() OVER (PARTITION BY horizon, year(pub) ORDER BY magnitude) + (count(*) OVER (PARTITION BY horizon, year(pub), magnitude) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY horizon, year(pub)) AS n FROM o)
+SELECT event_id, horizon, y, ceil(3 * (k / n))::INT AS tercile FROM t""")
 def terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _outcomes(spark, sf_dir).where("horizon = 5").select("event_id", F.year("pub").alias("y"), "magnitude")
-    counts = rows.groupBy("y", "magnitude").agg(F.count("*").alias("m"))
-    w, whole = Window.partitionBy("y").orderBy("magnitude").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("y")
-    ranks = counts.select("y", "magnitude", ((F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2) / F.sum("m").over(whole)).alias("p"))
-    return rows.join(ranks, ["y", "magnitude"]).select("event_id", "y", F.ceil(3 * F.col("p")).cast("int").alias("tercile"))
+    rows = _outcomes(spark, sf_dir).select("event_id", "horizon", F.year("pub").alias("y"), "magnitude")
+    counts = rows.groupBy("horizon", "y", "magnitude").agg(F.count("*").alias("m"))
+    w, whole = Window.partitionBy("horizon", "y").orderBy("magnitude").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("horizon", "y")
+    ranks = counts.select("horizon", "y", "magnitude", ((F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2) / F.sum("m").over(whole)).alias("p"))
+    return rows.join(ranks, ["horizon", "y", "magnitude"]).select("event_id", "horizon", "y", F.ceil(3 * F.col("p")).cast("int").alias("tercile"))
 
 
 def t_tail(t: float, df: float) -> float:
@@ -276,6 +303,12 @@ def t_tail(t: float, df: float) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
+@F.pandas_udf(DoubleType())
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of t; a row for each test."""
+    return pd.Series([math.nan if a is None or b is None else t_tail(float(a), float(b)) for a, b in zip(t, df)])
+
+
 @query(with_views("prices") + """, asked AS (SELECT DISTINCT ticker FROM prices)
 SELECT ticker, min(day) AS first_day, max(day) AS last_day, count(*) AS n_days, min(day) FILTER (open IS NULL OR t_idx % 97 = 96) AS missing_open_from FROM prices GROUP BY ticker""")
 def cache_gap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,26 +52,36 @@ def weight_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def controls(pairs: DataFrame, firms: DataFrame, linked: DataFrame, most: int = 10, least: int = 2) -> DataFrame:
-    """a_id, b_id, rank, c_id: firms of B's sector, neither A nor B nor tied to A, nearest to B in size, then by id; pairs with fewer than `least` go."""
-    b = firms.select(F.col("id").alias("b_id"), "sector", F.col("size").alias("size_b"))
-    c = firms.select(F.col("id").alias("c_id"), "sector", F.col("size").alias("size_c"))
+    """a_id, b_id, rank, c_id: firms of B's sector, neither A nor B nor tied to A, nearest to B in size, then in the order by size; pairs with fewer than `least` go.
+
+    Firms are numbered by size in their sector. Of the firms nearest to B on a side only A's ties, A and B can be left out, so the
+    `most` controls lie within most + ties + 2 numbers of B: a pair meets those few, not its sector.
+    """
+    numbered = firms.select("id", "sector", "size", F.row_number().over(Window.partitionBy("sector").orderBy("size", "id")).alias("r"))
+    numbered = materialize(numbered)
+    b = numbered.select(F.col("id").alias("b_id"), "sector", F.col("size").alias("size_b"), F.col("r").alias("r_b"))
+    c = numbered.select(F.col("id").alias("c_id"), "sector", F.col("size").alias("size_c"), "r")
     ties = linked.select(F.col("x_id").alias("a_id"), F.col("y_id").alias("c_id")).unionByName(linked.select(F.col("y_id").alias("a_id"), F.col("x_id").alias("c_id"))).distinct()
-    met = pairs.join(b, "b_id").join(c, "sector").where("c_id <> a_id and c_id <> b_id").join(ties, ["a_id", "c_id"], "left_anti")
-    near = Window.partitionBy("a_id", "b_id").orderBy(F.abs(F.col("size_b") - F.col("size_c")), "c_id")
-    ranked = met.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= most)
+    ties = materialize(ties.join(numbered.select(F.col("id").alias("c_id")), "c_id", "left_semi"))
+    count = ties.groupBy("a_id").agg(F.count("*").alias("ties"))
+    reach = (F.coalesce("ties", F.lit(0)) + most + 2).cast("int")
+    near = pairs.join(b, "b_id").join(count, "a_id", "left").withColumn("r", F.explode(F.sequence(F.col("r_b") - reach, F.col("r_b") + reach)))
+    met = near.join(c, ["sector", "r"]).where("c_id <> a_id and c_id <> b_id").join(ties, ["a_id", "c_id"], "left_anti")
+    order = Window.partitionBy("a_id", "b_id").orderBy(F.abs(F.col("size_b") - F.col("size_c")), F.abs(F.col("r_b") - F.col("r")), "c_id")
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return ranked.withColumn("n", F.count("*").over(Window.partitionBy("a_id", "b_id"))).where(F.col("n") >= least).select("a_id", "b_id", "rank", "c_id")
 
 
-@query(with_views("edges") + """, f AS (SELECT 'sup-' || s_suppkey AS id, s_nationkey % 5 AS sector, s_acctbal AS size FROM supplier WHERE s_suppkey % 4 = 0),
+@query(with_views("edges") + """, f AS (SELECT 'sup-' || s_suppkey AS id, s_nationkey % 5 AS sector, s_acctbal AS size FROM supplier), fr AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY size, id) AS n FROM f),
 p AS (SELECT source AS a_id, target AS b_id FROM edges WHERE type = 'competes_with'), t AS (SELECT source a, target c FROM edges UNION SELECT target, source FROM edges),
-r AS (SELECT a_id, b_id, c.id AS c_id, row_number() OVER (PARTITION BY a_id, b_id ORDER BY abs(b.size - c.size), c.id) AS rank FROM p JOIN f b ON b.id = b_id JOIN f c ON c.sector = b.sector
+r AS (SELECT a_id, b_id, c.id AS c_id, row_number() OVER (PARTITION BY a_id, b_id ORDER BY abs(b.size - c.size), abs(b.n - c.n), c.id) AS rank FROM p JOIN fr b ON b.id = b_id JOIN fr c ON c.sector = b.sector
  WHERE c.id <> a_id AND c.id <> b_id AND NOT EXISTS (SELECT 1 FROM t WHERE t.a = a_id AND t.c = c.id))
-SELECT a_id, b_id, rank, c_id FROM r WHERE rank <= 3 QUALIFY count(*) OVER (PARTITION BY a_id, b_id) >= 2""")
+SELECT a_id, b_id, rank, c_id FROM r WHERE rank <= 10 QUALIFY count(*) OVER (PARTITION BY a_id, b_id) >= 2""")
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firms = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(F.concat(F.lit("sup-"), "s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("sector"), F.col("s_acctbal").alias("size"))
-    e = view(spark, sf_dir, "edges")
+    firms = table(spark, sf_dir, "supplier").select(F.concat(F.lit("sup-"), "s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("sector"), F.col("s_acctbal").alias("size"))
+    e = materialize(view(spark, sf_dir, "edges").select("source", "target", "type"))
     pairs = e.where("type = 'competes_with'").select(F.col("source").alias("a_id"), F.col("target").alias("b_id"))
-    return controls(pairs, firms, e.select(F.col("source").alias("x_id"), F.col("target").alias("y_id")), most=3)
+    return controls(pairs, firms, e.select(F.col("source").alias("x_id"), F.col("target").alias("y_id")))
 
 
 def period(day: Column) -> Column:

@@ -64,9 +64,11 @@ def factor_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("ticker", "day", "n", (F.round(F.col("slopes")[0], 4) + 0.0).alias("b_market"), (F.round(F.col("slopes")[1], 4) + 0.0).alias("b_before"), (F.round("ar", 6) + 0.0).alias("ar"))
 
 
-_PLACEBO = _EVENTS + f""", kv AS (SELECT a || ':' || e_idx || ':' || w AS a, b, w, ripple, a AS src FROM rp), real AS (SELECT kv.* FROM kv JOIN lk ON lk.a = src AND lk.b = kv.b),
-pool AS (SELECT a, b AS c, ripple, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY a) AS n FROM kv),
-pb AS (SELECT perm, w, avg(p.ripple) AS mean FROM real r CROSS JOIN range({PERMS}) q(perm) JOIN pool p ON p.a = r.a AND p.i = ('0x' || substr(md5(perm || '-' || r.a || '-' || r.b), 1, 8))::BIGINT % p.n WHERE c <> r.b GROUP BY ALL),
+_PLACEBO = _EVENTS + f""", rp AS (SELECT a, e_idx, day, b, w, s * (car - (sum(car) OVER g - car) / (count(*) OVER g - 1)) AS ripple FROM cr WINDOW g AS (PARTITION BY a, e_idx, w) QUALIFY count(*) OVER g >= 3),
+kv AS (SELECT a || ':' || e_idx AS a, b, w, ripple, a AS src FROM rp), real AS (SELECT kv.* FROM kv JOIN lk ON lk.a = src AND lk.b = kv.b),
+pool AS (SELECT a, b AS c, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY a) AS n FROM (SELECT DISTINCT a, b FROM kv)),
+dr AS (SELECT perm, r.a, r.b, c FROM (SELECT DISTINCT a, b FROM real) r CROSS JOIN range({PERMS}) q(perm) JOIN pool p ON p.a = r.a AND p.i = ('0x' || substr(md5(perm || '-' || r.a || '-' || r.b), 1, 8))::BIGINT % p.n WHERE c <> r.b),
+pb AS (SELECT perm, w, avg(ripple) AS mean FROM dr JOIN kv ON kv.a = dr.a AND kv.b = dr.c GROUP BY ALL),
 rm AS (SELECT w, avg(ripple) AS real_mean FROM real GROUP BY w)"""
 
 
@@ -75,12 +77,12 @@ rm AS (SELECT w, avg(ripple) AS real_mean FROM real GROUP BY w)"""
 def placebo_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means under relabelled partners by window: their quantiles, and the share as far from 0 as the real mean."""
     every, links = ripples(spark, sf_dir)
-    keyed = materialize(every.withColumn("sector", F.concat_ws(":", "a", "e_idx", "window")))
+    keyed = materialize(every.withColumn("sector", F.concat_ws(":", "a", "e_idx")))
     real = keyed.join(links, ["a", "b"]).select("sector", "b", "window", "ripple")
-    # The pool of an event and window is the tickers of that day, so a window of a few rows.
+    # The pool of an event is the tickers of that day, so a window of a few rows; a partner is drawn once for all windows.
     place = (F.row_number().over(Window.partitionBy("sector").orderBy("b")) - 1).cast("long")
-    pool = keyed.select("sector", F.col("b").alias("c"), place.alias("i"))
-    drawn = relabel(real.select(F.col("sector").alias("a"), "b", "sector"), pool)
+    pool = keyed.select("sector", "b").distinct().select("sector", F.col("b").alias("c"), place.alias("i"))
+    drawn = relabel(real.select(F.col("sector").alias("a"), "b", "sector").distinct(), pool)
     values = keyed.select(F.col("sector").alias("a"), F.col("b").alias("c"), "window", "ripple")
     means = drawn.join(values, ["a", "c"]).groupBy("perm", "window").agg(F.avg("ripple").alias("mean"))
     means = means.join(real.groupBy("window").agg(F.avg("ripple").alias("real_mean")), "window")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str | Callable[[], str]] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name; SQL that uses what is defined further down is given as a function."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f

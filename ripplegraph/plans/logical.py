@@ -38,17 +38,20 @@ VIEWS: dict[str, str] = {
         SELECT concat('com-', l_partkey), concat('sup-', l_suppkey), 'supplies', round(0.5 + 5 * l_discount, 4),
                cast(round(l_extendedprice * 100) AS bigint), concat('order ', l_orderkey, ' on ', cast(l_shipdate AS date))
         FROM {lineitem} WHERE l_quantity = 50 AND l_returnflag = 'A'""",
+    # A firm competes with the eight that follow it in size in its nation, so edges grow with the firms, not with their square.
+    "peers": """
+        SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS k FROM {supplier}""",
     "edges": """
         SELECT concat('supplies:', source, '>', target) AS id, source, target, 'supplies' AS type, confidence,
                cents / sum(cents) OVER (PARTITION BY source) AS weight, confidence < 0.75 AS audit, weighted % 3 = 0 AS inferred
         FROM (SELECT source, target, max(confidence) AS confidence, sum(cents) AS cents, count(*) AS weighted FROM {candidates} GROUP BY source, target) t
         UNION ALL
         SELECT concat('supplies:cus-', c_custkey, '>reg-', c_nationkey), concat('cus-', c_custkey), concat('reg-', c_nationkey), 'supplies', 0.9, NULL, false, false
-        FROM {customer} WHERE c_custkey % 5 = 0
+        FROM {customer}
         UNION ALL
-        SELECT concat('competes_with:sup-', a.s_suppkey, '>sup-', b.s_suppkey), concat('sup-', a.s_suppkey), concat('sup-', b.s_suppkey), 'competes_with',
-               0.7 + (a.s_suppkey + b.s_suppkey) % 4 * 0.1, NULL, (a.s_suppkey + b.s_suppkey) % 4 = 0, (a.s_suppkey + b.s_suppkey) % 3 = 0
-        FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND b.s_suppkey - a.s_suppkey <= 200
+        SELECT concat('competes_with:sup-', x, '>sup-', y), concat('sup-', x), concat('sup-', y), 'competes_with', 0.7 + (x + y) % 4 * 0.1, NULL, (x + y) % 4 = 0, (x + y) % 3 = 0
+        FROM (SELECT least(a.s_suppkey, b.s_suppkey) AS x, greatest(a.s_suppkey, b.s_suppkey) AS y
+              FROM {peers} a CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS v(d) JOIN {peers} b ON a.s_nationkey = b.s_nationkey AND b.k = a.k + v.d) t
         UNION ALL
         SELECT concat('regulated_by:sup-', s_suppkey, '>rgl-', n_regionkey), concat('sup-', s_suppkey), concat('rgl-', n_regionkey), 'regulated_by', 1.0, NULL, false, false
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
@@ -75,10 +78,12 @@ VIEWS: dict[str, str] = {
                     WHEN 7 THEN concat('How to invest in customer ', user_id) WHEN 8 THEN NULL
                     ELSE concat('Customer ', user_id, ' opens for the season in town ', event_id % 3) END AS headline
         FROM {events}""",
+    # The mean price of a brand's lines of a day, in standard errors and cubed: returns with heavy tails at every size of the tables.
     "daily": """
-        SELECT ticker, day, 0.02 * (price / 100.0 - 53000) / 30000 AS r
-        FROM (SELECT p_type AS ticker, cast(l_shipdate AS date) AS day, sum(cast(round(l_extendedprice * 100) AS bigint)) / count(*) AS price
-              FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type, cast(l_shipdate AS date)) t
+        SELECT ticker, day, 0.004 * x * x * x AS r
+        FROM (SELECT p_brand AS ticker, cast(l_shipdate AS date) AS day,
+                     (sum(cast(round(l_extendedprice * 100) AS bigint)) / count(*) / 100.0 - 53000) / 30000 * sqrt(count(*)) AS x
+              FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, cast(l_shipdate AS date)) t
         WHERE {weekday} < 5""",
     "prices": """
         SELECT ticker, day, t_idx, r, 100 * exp(total) AS close, 100 * exp(total - r) * (1 + r / 2) AS open
@@ -90,7 +95,7 @@ VIEWS: dict[str, str] = {
         SELECT o_orderkey AS event_id, ticker, cast(o_orderdate AS date) AS pub, cast(o_orderkey % 3 AS int) AS hop,
                CASE o_orderstatus WHEN 'F' THEN 'negative' ELSE 'positive' END AS direction, round(least(1.0, o_totalprice / 400000), 4) AS magnitude
         FROM {orders} JOIN (SELECT l_orderkey, min(l_partkey) AS part FROM {lineitem} GROUP BY l_orderkey) f ON o_orderkey = l_orderkey
-        JOIN (SELECT p_partkey, p_type AS ticker FROM {part}) p ON part = p_partkey WHERE o_orderstatus <> 'P'""",
+        JOIN (SELECT p_partkey, p_brand AS ticker FROM {part}) p ON part = p_partkey WHERE o_orderstatus <> 'P'""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 

@@ -51,7 +51,8 @@ def test_facade(spark):
     assert nodes.where("center").count() == 1
     ids = {r.id for r in nodes.collect()}
     assert all(e.source in ids and e.target in ids and "sup-1" in (e.source, e.target) for e in edges.collect())
-    found, inner = g.subgraph(["sup-1"], hops=9, provisional=True, inferred=True)
+    found, inner, truncated = g.subgraph(["sup-1"], hops=9, provisional=True, inferred=True)
+    assert not truncated and g.subgraph(["sup-1"], hops=2, node_cap=2)[2]
     assert found.agg(F.max("depth")).first()[0] <= 3 and ids <= {r.id for r in found.collect()}
     assert g.search("supplier", 3).count() == 3
     assert {r.hop for r in g.reliability(hop=1).collect()} == {1}
