@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
-from ripplegraph.session import materialize
+from ripplegraph.session import join_counted, materialize
 
 TYPES = ["supplies", "competes_with", "regulated_by", "customer_of"]
 
@@ -98,15 +98,19 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """id, root (the least id of its component), isolated nodes included; labels jump along the root's root each round."""
+    """id, root (the least id of its component), isolated nodes included; labels jump along the root's root each round.
+
+    The root of a large component, and a node with many neighbours, meet their rows by broadcast (join_counted).
+    """
     links = materialize(both_ways(edges).where("u <> v").distinct())
+    count = materialize(links.groupBy("v").agg(F.count("*").alias("n")))
     label = materialize(nodes.select("id", F.col("id").alias("root")))
     for _ in range(most_rounds):
-        near = links.join(label, links.v == label.id).groupBy("u").agg(F.min("root").alias("m"))
-        low = label.join(near, label.id == near.u, "left").select("id", "root", F.least("root", "m").alias("low"))
+        near = join_counted(links, label.join(count, label.id == count.v).select("v", "root", "n"), ["v"], "n").groupBy("u").agg(F.min("root").alias("m"))
+        low = materialize(label.join(near, label.id == near.u, "left").select("id", "root", F.least("root", "m").alias("low")))
         # A root takes the least label that any of its members has found; members follow.
-        best = low.groupBy("root").agg(F.min("low").alias("b")).select(F.col("root").alias("r"), "b")
-        fresh = materialize(low.join(best, F.col("root") == F.col("r")).select("id", F.col("root").alias("old"), F.least("low", "b").alias("root")))
+        best = materialize(low.groupBy("root").agg(F.min("low").alias("b"), F.count("*").alias("n")))
+        fresh = materialize(join_counted(low, best, ["root"], "n").select("id", F.col("root").alias("old"), F.least("low", "b").alias("root")))
         if fresh.where("old <> root").isEmpty():
             return fresh.select("id", "root")
         label = fresh.select("id", "root")
@@ -215,8 +219,10 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, degree, degree / max(degree) OVER () AS centrality FROM d ORDER BY degree DESC, id LIMIT 60""")
 def hubs_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = degrees(layer(view(spark, sf_dir, "edges"))).select("id", "degree")
-    most = d.agg(F.max("degree").alias("most"))
-    return d.join(F.broadcast(most)).select("id", "degree", (F.col("degree") / F.col("most")).alias("centrality")).orderBy(F.desc("degree"), "id").limit(60)
+    # The first of the order has the largest degree, so the degrees are counted once.
+    top = materialize(d.orderBy(F.desc("degree"), "id").limit(60))
+    most = top.agg(F.max("degree")).first()[0]
+    return top.select("id", "degree", (F.col("degree") / F.lit(most)).alias("centrality"))
 
 
 @query(with_views("nodes", "edges", recursive=True) + """, w AS (SELECT source u, target v FROM edges UNION SELECT target, source FROM edges),

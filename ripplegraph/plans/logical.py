@@ -6,10 +6,11 @@ Each projection is SQL that Spark and DuckDB both read; {name} stands for a tabl
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.session import table
+from ripplegraph.session import checkpoint_dir, table
 
 #: Confidence from which an edge is core; the others are the audit layer.
 CUTOFF = 0.75
@@ -104,11 +105,43 @@ def _fill(text: str, engine: str) -> str:
     return text.replace("{weekday}", {"spark": "weekday(day)", "duckdb": "(isodow(day) - 1)"}[engine])
 
 
+#: Projections that many operators read over and over; they are written once for a session, folder and state of its tables.
+STORED = ("nodes", "edges")
+_stored: dict[tuple, str] = {}
+
+
+def _parts(name: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", VIEWS[name])) - {"weekday"})
+
+
+def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """The times of change of the tables that a projection reads, so that a changed folder isn't served from an old copy."""
+    found: set[str] = set()
+    todo = [name]
+    while todo:
+        for part in _parts(todo.pop()):
+            (todo.append if part in VIEWS else found.add)(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    at = [path(f"{sf_dir}/{t}.parquet") for t in sorted(found)]
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in at)
+
+
+def _project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    parts = {p: view(spark, sf_dir, p) if p in VIEWS else table(spark, sf_dir, p) for p in _parts(name)}
+    return spark.sql(_fill(VIEWS[name], "spark"), **parts)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A projection over the tables of a folder; only the columns a query uses are read."""
-    text = _fill(VIEWS[name], "spark")
-    parts = {p: view(spark, sf_dir, p) if p in VIEWS else table(spark, sf_dir, p) for p in sorted(set(re.findall(r"\{(\w+)\}", text)))}
-    return spark.sql(text, **parts)
+    if name not in STORED:
+        return _project(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir, name))
+    if key not in _stored:
+        path = f"{checkpoint_dir(spark)}/views-{uuid.uuid4().hex}/{name}"
+        _project(spark, sf_dir, name).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 def with_views(*names: str, recursive: bool = False) -> str:
@@ -116,7 +149,7 @@ def with_views(*names: str, recursive: bool = False) -> str:
     order: list[str] = []
 
     def add(name: str) -> None:
-        for part in re.findall(r"\{(\w+)\}", VIEWS[name]):
+        for part in _parts(name):
             if part in VIEWS:
                 add(part)
         if name not in order:
