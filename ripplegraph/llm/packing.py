@@ -23,11 +23,12 @@ BUDGET = 16_384
 EXACT = 1 << 15
 
 
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """(bound, documents, words) by rising bound. At most EXACT + 1024 per doubling rows, whatever the corpus."""
+def histogram(lengths: DataFrame, exact: int | None = None) -> list[tuple[int, int, int]]:
+    """(bound, documents, words) by rising bound. At most `exact` (EXACT) + 1024 per doubling rows, whatever the corpus; 0 gives every length its own bin."""
+    exact = EXACT if exact is None else exact
     step = F.greatest(F.shiftright(F.lit(1).cast("long") * F.pow(F.lit(2), F.floor(F.log2(F.col("length")))).cast("long"), 10), F.lit(1))
     coarse = F.ceil(F.col("length") / step) * step
-    bins = lengths.withColumn("__bin", F.when(F.col("length") <= EXACT, F.col("length")).otherwise(coarse))
+    bins = lengths.withColumn("__bin", F.col("length") if exact == 0 else F.when(F.col("length") <= exact, F.col("length")).otherwise(coarse))
     rows = bins.groupBy("__bin").agg(F.max("length").alias("bound"), F.count("*").alias("n"), F.sum("length").alias("words"))
     return sorted((r.bound, r.n, r.words) for r in rows.select("bound", "n", "words").collect())
 
@@ -81,16 +82,17 @@ def optimal_bounds(hist: list[tuple[int, int, int]], buckets: int = BUCKETS) ->
     return sorted(bounds), cost[m] - total[m]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, exact: int | None = None) -> DataFrame:
     """doc_id, n_words, bucket_bound, padding, batch (in its bucket, from 0) and slot (in its batch) of every row.
 
     Null, empty or wordless text packs as length 1 (n_words 0). A document longer than the budget is a
     batch of its own. Repeated rows are packed each. An empty table gives an empty result; extra
-    columns are not read.
+    columns are not read. Bounds are optimal over the histogram's bins: for all lengths with `exact` = 0, whose histogram then has a row
+    for each length that occurs.
     """
     n = word_count()
     rows = materialize(docs.select("doc_id", n.alias("n_words"), F.greatest(n, F.lit(1)).alias("length"), F.xxhash64("doc_id", "text").alias("__h")))
-    bounds, _ = optimal_bounds(histogram(rows), buckets)
+    bounds, _ = optimal_bounds(histogram(rows, exact), buckets)
     if not bounds:
         bounds = [1]
     bound = F.array_min(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col("length")))
