@@ -33,11 +33,18 @@ def to_slug(name: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " ", "-")
 
 
-@query("""SELECT c_custkey, regexp_replace(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-', 'g') AS slug,
- trim(regexp_replace(trim(regexp_replace(lower(c_name || ' & Co Ltd'), '[^a-z0-9_]+', ' ', 'g')), '(\\s+(inc|corp|co|ltd))+$', '')) AS plain FROM customer""".replace("\\\\", "\\"))
+def name_key(name: Column) -> Column:
+    """What names are compared by: folded to ASCII, then normalised."""
+    return normalize_name(fold(name))
+
+
+@query(rf"""WITH n AS (SELECT c_custkey, c_name, CASE c_custkey % 3 WHEN 0 THEN c_name || ' Société & Söhne Holdings Ltd.' WHEN 1 THEN c_name || ', INC' ELSE 'Groß-' || c_name END AS long FROM customer),
+w AS (SELECT c_custkey, c_name, trim(regexp_replace(replace(replace(lower(strip_accents(long)), 'ß', ''), '&', ' and '), '[^a-z0-9_]+', ' ', 'g')) AS k FROM n)
+SELECT c_custkey, regexp_replace(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-', 'g') AS slug, trim(regexp_replace(k, '(\s+({'|'.join(SUFFIXES)}))+$', '')) AS plain FROM w""")
 def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.concat("c_name", F.lit(" & Co Ltd"))), "[^a-z0-9_]+", " ")), r"(\s+(inc|corp|co|ltd))+$", ""))
-    return table(spark, sf_dir, "customer").select("c_custkey", to_slug(F.col("c_name")).alias("slug"), plain.alias("plain"))
+    k, name = F.col("c_custkey") % 3, F.col("c_name")
+    long = F.when(k == 0, F.concat(name, F.lit(" Société & Söhne Holdings Ltd."))).when(k == 1, F.concat(name, F.lit(", INC"))).otherwise(F.concat(F.lit("Groß-"), name))
+    return table(spark, sf_dir, "customer").select("c_custkey", to_slug(name).alias("slug"), name_key(long).alias("plain"))
 
 
 @query("""SELECT page_id, len(html) - len(regexp_replace(html, '<[^>]*>', '', 'g')) AS n_markup, len(regexp_extract_all(html, '(?i)<p[ >]')) AS n_paragraphs, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""")

@@ -13,22 +13,30 @@ from ripplegraph.plans.catalog import query
 from ripplegraph.session import checkpoint_dir
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files; event time as TIMESTAMP, which watermarks need."""
+def event_stream(spark: SparkSession, sf_dir: str, most_files: int | None = None) -> DataFrame:
+    """The events table as a stream of files; event time as TIMESTAMP, which watermarks need.
+
+    With `most_files` a batch takes so many new files; the others wait in the source for the next one.
+    """
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A file source reads a folder: the parent one, with a filter on the name, or the table's own folder.
     probe = spark.read.parquet(path).inputFiles()
     single = probe and probe[0].rstrip("/").endswith("/events.parquet")
     reader = spark.readStream.schema(schema)
+    if most_files is not None:
+        reader = reader.option("maxFilesPerTrigger", most_files)
     stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else reader.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_once(stream: DataFrame, mode: str, schema_of: DataFrame | None = None) -> DataFrame:
-    """Run a streaming query over what is there (available now) into a Parquet table, and read that."""
+def run_once(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Run a streaming query over what is there (available now) into a Parquet table, and read that.
+
+    Given the folder of an earlier run, it goes on where that one stopped: only what is new is read.
+    """
     spark = stream.sparkSession
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     query_ = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query_.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -38,9 +46,9 @@ def dedup_stream(events: DataFrame, key: list[str], delay: str = "7 days") -> Da
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
 
 
-def for_each_batch(stream: DataFrame, stage: Callable[[DataFrame, int], None]) -> None:
-    """The micro-batch cycle: each batch goes through `stage`, whose writes must be idempotent per batch number."""
-    folder = f"{checkpoint_dir(stream.sparkSession)}/cycle-{uuid.uuid4().hex}"
+def for_each_batch(stream: DataFrame, stage: Callable[[DataFrame, int], None], folder: str | None = None) -> None:
+    """The micro-batch cycle: each batch goes through `stage`, whose writes must be idempotent per batch number. A folder given again resumes."""
+    folder = folder or f"{checkpoint_dir(stream.sparkSession)}/cycle-{uuid.uuid4().hex}"
     stream.writeStream.foreachBatch(stage).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
 
 

@@ -24,6 +24,15 @@ def test_status_machine_over_two_batches(spark, tmp_path):
     assert latest == {1: (2, "traced"), 2: (1, "traced"), 3: (3, "failed")}
 
 
+def test_a_run_resumes_in_its_folder(spark, tmp_path):
+    source = tmp_path / "events.parquet"
+    rows = spark.read.parquet(f"{SF}/events.parquet").limit(20).cache()
+    for part in (0, 1):
+        rows.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(str(source))
+        out = streams.run_once(streams.event_stream(spark, str(tmp_path), most_files=1).select("event_id"), "append", str(tmp_path / "run"))
+        assert sorted(r.event_id for r in out.collect()) == sorted(r.event_id for r in rows.where(F.col("event_id") % 2 <= part).collect())
+
+
 def test_cycle_runs_every_stage_then_fails(spark):
     ran = []
 
