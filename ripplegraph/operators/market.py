@@ -165,10 +165,10 @@ def _t_window(a: int, b: int):
 
 
 @query(with_views("prices") + """
-SELECT ticker, day, round(close / lag(close) OVER (PARTITION BY ticker ORDER BY t_idx) - 1, 6) AS ret FROM prices""")
+SELECT ticker, day, round(close / lag(close) OVER (PARTITION BY ticker ORDER BY t_idx) - 1, 6) + 0.0 AS ret FROM prices""")
 def simple_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("t_idx")
-    return view(spark, sf_dir, "prices").select("ticker", "day", F.round(F.col("close") / F.lag("close").over(w) - 1, 6).alias("ret"))
+    return view(spark, sf_dir, "prices").select("ticker", "day", (F.round(F.col("close") / F.lag("close").over(w) - 1, 6) + 0.0).alias("ret"))
 
 
 def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
-from ripplegraph.session import materialize
+from ripplegraph.session import materialize, table
 
 HOPS, RING_CAP, STRANDED_CAP = 3, 36, 8
 FRONTIER, NO_EFFECT = 0.15, 0.05
@@ -98,7 +98,8 @@ def apply_refinement(rows: DataFrame) -> DataFrame:
     none, same = F.col("direction") == "no_effect", F.col("direction") == F.col("new_direction")
     moved = F.col("new_direction") != "no_effect"
     take = moved & F.when(none, F.col("new_magnitude") >= 0.20).when(same, F.round(F.col("new_magnitude") - F.col("magnitude"), 6) >= 0.15).otherwise(F.col("new_magnitude") >= 0.30)
-    return rows.withColumn("applied", take).withColumn("direction", F.when(take, F.col("new_direction")).otherwise(F.col("direction"))).withColumn("magnitude", F.when(take, F.col("new_magnitude")).otherwise(F.col("magnitude")))
+    # The decision is taken once, before the columns that it looks at change.
+    return rows.withColumn("applied", take).withColumn("direction", F.when(F.col("applied"), F.col("new_direction")).otherwise(F.col("direction"))).withColumn("magnitude", F.when(F.col("applied"), F.col("new_magnitude")).otherwise(F.col("magnitude")))
 
 
 def apply_verification(rows: DataFrame) -> DataFrame:
@@ -146,17 +147,32 @@ def run_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trace(spark, sf_dir)
 
 
-@query(_TRACE + _NEAR + " SELECT event_id, id, n FROM e")
+#: News about several firms of a nation at once: every other one by its key, so that those between have strong neighbours.
+_SECTOR_NEWS = _TRACE.replace(
+    "FROM impacts JOIN nodes ON id = node_id WHERE hop = 0 AND direction <> 'no_effect')",
+    "FROM (SELECT s_nationkey::BIGINT AS event_id, 'sup-' || s_suppkey AS id, CASE WHEN s_nationkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS direction, 0.9::DOUBLE AS magnitude FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) % 2 = 1))",
+)
+
+
+def _sector_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    firms = table(spark, sf_dir, "supplier").withColumn("k", k).where("k % 2 = 1")
+    way = F.when(F.col("s_nationkey") % 2 == 0, "positive").otherwise("negative")
+    seeds = firms.select(F.col("s_nationkey").cast("long").alias("event_id"), F.concat(F.lit("sup-"), "s_suppkey").alias("id"), way.alias("direction"), F.lit(0.9).alias("magnitude"))
+    return propagate(seeds, view(spark, sf_dir, "nodes"), view(spark, sf_dir, "edges"))
+
+
+@query(_SECTOR_NEWS + _NEAR + " SELECT event_id, id, n FROM e")
 def refine_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refine_rows(_trace(spark, sf_dir), view(spark, sf_dir, "edges")).select("event_id", "id", "n")
+    return refine_rows(_sector_trace(spark, sf_dir), view(spark, sf_dir, "edges")).select("event_id", "id", "n")
 
 
-@query(_TRACE + _NEAR + """, p AS (SELECT *, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'no_effect' END AS nd, round(least(1.0, abs(pos - neg) / 1000000.0) * 0.5, 6) AS nm FROM e),
+@query(_SECTOR_NEWS + _NEAR + """, p AS (SELECT *, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'no_effect' END AS nd, round(least(1.0, abs(pos - neg) / 1000000.0) * 0.5, 6) AS nm FROM e),
 q AS (SELECT *, nd <> 'no_effect' AND CASE WHEN direction = 'no_effect' THEN nm >= 0.2 WHEN direction = nd THEN round(nm - magnitude, 6) >= 0.15 ELSE nm >= 0.3 END AS applied FROM p)
 SELECT event_id, id, applied, CASE WHEN applied THEN nd ELSE direction END AS direction, CASE WHEN applied THEN nm ELSE magnitude END AS magnitude FROM q""")
 def refine_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in scorer: half the net mass of the neighbours."""
-    rows = refine_rows(_trace(spark, sf_dir), view(spark, sf_dir, "edges"))
+    rows = refine_rows(_sector_trace(spark, sf_dir), view(spark, sf_dir, "edges"))
     way = F.when(F.col("pos") > F.col("neg"), "positive").when(F.col("neg") > F.col("pos"), "negative").otherwise("no_effect")
     size = F.round(F.least(F.lit(1.0), F.abs(F.col("pos") - F.col("neg")) / 1000000.0) * 0.5, 6)
     return apply_refinement(rows.withColumn("new_direction", way).withColumn("new_magnitude", size)).select("event_id", "id", "applied", "direction", "magnitude")
