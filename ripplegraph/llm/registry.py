@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplegraph.llm import chat, fingerprints, hard_negatives, licenses, line_dedup, manifest, mixing, ngram_join, packing, quality, sharding, toxicity
+from ripplegraph.llm import chat, fingerprints, hard_negatives, licenses, line_dedup, manifest, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         line_dedup.op8_levelled_line_runs,
         licenses.op9_rare_token_licenses,
         chat.op10_hmm_transcripts,
+        secrets.op11_zstd_novelty_secrets,
         manifest.op12_merkle_recursive_climb,
         hard_negatives.op13_str_rtree_negatives,
     )
