@@ -1,8 +1,8 @@
 """Operator 12: a Merkle manifest of a dataset, whose proofs are climbed by recursive queries.
 
 Leaves are numbered by source and id, each level of the tree is stored as rows that know their parent and the digests of the other
-nodes of their run, and WITH RECURSIVE walks every leaf upwards, one stored row a step: it appends the siblings and folds the
-(perhaps tampered) hash.
+nodes of their run, and WITH RECURSIVE walks upwards from every leaf, one stored row a step: it appends the siblings and folds the
+(perhaps tampered) hash. The last levels, where all leaves have the same way, are walked once a node.
 """
 
 from __future__ import annotations
@@ -117,36 +117,47 @@ def unlimited_recursion(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: From every leaf upwards through the light nodes: a row a step, with the siblings met in it and the hash folded so far.
 _CLIMB = """
 WITH RECURSIVE climb(leaf, node, folded, siblings, step) AS (
-  SELECT leaf, node, folded, siblings, step FROM {start}
+  SELECT leaf, node, folded, CAST(NULL AS BINARY), 0 FROM {start}
   UNION ALL
   SELECT c.leaf, n.parent, unhex(sha2(cast(concat(lower(hex(n.left)), lower(hex(c.folded)), lower(hex(n.right))) AS binary), 256)), concat(n.left, n.right), c.step + 1
   FROM climb c JOIN {nodes} n ON c.node = n.id)
 SELECT leaf, node, folded, siblings, step FROM climb"""
+#: From every heavy node to the root: the siblings of each run on the way, appended.
+_PATHS = """
+WITH RECURSIVE paths(start, node, path, step) AS (
+  SELECT id, id, CAST(array() AS array<struct<left: binary, right: binary>>), 0 FROM {nodes}
+  UNION ALL
+  SELECT p.start, n.parent, concat(p.path, array(named_struct('left', n.left, 'right', n.right))), p.step + 1
+  FROM paths p JOIN {nodes} n ON p.node = n.id)
+SELECT start, max_by(path, step) AS path FROM paths GROUP BY start"""
 
 
 def climb(store: Store, start: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
-    """leaf, folded (the hash at the root), proof (siblings from below, left to right, as hex text), for start: leaf, node, folded.
+    """leaf, folded (the hash at the root), proof (sha256 of the siblings from below, left to right, as hex text), for start: leaf, node, folded.
 
-    A recursive query ascends from every leaf through the light nodes, whose keys hold at most a HEAVY-th part of the leaves each;
-    a second one goes on from there through the heavy nodes, which are few and broadcast, as all leaves meet in them.
+    A recursive query ascends from every leaf through the light nodes, each of which stands above a HEAVY-th part of the leaves at
+    most, so no key of its joins is hot. All leaves meet in the heavy nodes, where their ways are the same: another one ascends once
+    from each heavy node, and a leaf folds its hash through the way of the node it arrives at, which is broadcast.
     """
     spark = start.sparkSession
     heavy = F.col("span") * HEAVY > F.lit(total)
     links = nodes.select("id", "parent", "left", "right", "span")
-    start = start.select("leaf", "node", "folded", F.lit(None).cast("binary").alias("siblings"), F.lit(0).alias("step"))
     with unlimited_recursion(spark):
-        low = spark.sql(_CLIMB, start=start, nodes=links.where(~heavy))
-        low = store.put(low, "low") if total > HEAVY else start
-        few = F.broadcast(links.where(heavy).select(F.col("id").alias("node")))
-        arrived = low.join(few, "node", "left_semi").select(*start.columns)  # these rows begin the second climb, which returns them too
-        high = spark.sql(_CLIMB, start=arrived, nodes=F.broadcast(links.where(heavy)))
-        steps = low.join(few, "node", "left_anti").unionByName(high)
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "siblings"))), lambda s: F.coalesce(hex_text(s["siblings"]), F.lit(""))), "")
-        found = store.put(steps.groupBy("leaf").agg(F.max_by("folded", "step").alias("folded"), joined.alias("proof")), "climbed")
-    store.drop("low")
-    return found
+        paths = store.put(spark.sql(_PATHS, nodes=links.where(heavy)), "paths")
+        if total > HEAVY:
+            steps = F.sort_array(F.collect_list(F.struct("step", "siblings")))
+            here = F.array_join(F.transform(steps, lambda s: F.coalesce(hex_text(s["siblings"]), F.lit(""))), "")
+            met = spark.sql(_CLIMB, start=start, nodes=links.where(~heavy)).groupBy("leaf").agg(F.max_by(F.struct("node", "folded"), "step").alias("last"), here.alias("proof"))
+            met = met.select("leaf", "last.node", "last.folded", "proof")
+        else:
+            met = start.withColumn("proof", F.lit(""))
+        met = met.join(F.broadcast(paths), F.col("node") == F.col("start"), "left")  # the root has no way to go
+        root = F.aggregate(F.coalesce("path", F.array().cast(paths.schema["path"].dataType)), F.col("folded"), lambda h, s: digest(hex_text(s["left"]), hex_text(h), hex_text(s["right"])))
+        rest = F.coalesce(F.array_join(F.transform("path", lambda s: F.concat(hex_text(s["left"]), hex_text(s["right"]))), ""), F.lit(""))
+        return store.put(met.select("leaf", root.alias("folded"), digest(F.concat("proof", rest)).alias("proof")), "climbed")
 
 
 def manifest(rows: DataFrame) -> tuple[DataFrame, str | None]:
@@ -177,7 +188,7 @@ def manifest(rows: DataFrame) -> tuple[DataFrame, str | None]:
     root = root.select(hex_text(F.col("hash"))).first()[0]
     nodes = [n.select("id", "parent", "span", "left", "right") for n in (*levels, *tops)]
     start = placed.select(F.col("id").alias("leaf"), F.col("id").alias("node"), F.col("tampered").alias("folded"))
-    found = start.select("leaf", "folded", F.lit("").alias("proof"))
+    found = start.select("leaf", "folded", digest(F.lit("")).alias("proof"))
     if nodes:
         every = nodes[0]
         for n in nodes[1:]:
@@ -185,7 +196,7 @@ def manifest(rows: DataFrame) -> tuple[DataFrame, str | None]:
         found = climb(store, start, every, total)
     found = found.select(F.col("leaf").alias("id"), "folded", "proof")
     whole = join_counted(placed, under.select("source_key", F.col("hash").alias("subroot"), "m"), ["source_key"], "m").join(found, "id")
-    return whole.select("doc_id", hex_text(F.col("leaf")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"), hex_text(F.col("folded")).alias("folded_root"), F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256")), root
+    return whole.select("doc_id", hex_text(F.col("leaf")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"), hex_text(F.col("folded")).alias("folded_root"), hex_text(F.col("proof")).alias("proof_sha256")), root
 
 
 def document_leaves(docs: DataFrame) -> DataFrame:
