@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.market import SHOCK, _FRAME, _MODEL, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean, market_model, shocks
+from ripplegraph.operators.market import SHOCK, _FRAME, _MODEL, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean, market_model, moments, shocks
 from ripplegraph.operators.study import controls
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
@@ -37,9 +37,8 @@ def bad_print_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("prices") + _FRAME + """, e AS (SELECT ticker, day, t_idx, stddev_samp(y - x) OVER w AS s, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY ticker ORDER BY t_idx ROWS BETWEEN 270 PRECEDING AND 21 PRECEDING))
 SELECT ticker, day, round(s, 8) AS sigma, n FROM e WHERE t_idx >= 270 AND n >= 200""")
 def rolling_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _at().rowsBetween(-270, -21)
-    rows = _frame(spark, sf_dir).select("ticker", "day", "t_idx", F.stddev_samp(F.col("y") - F.col("x")).over(w).alias("s"), F.count("*").over(w).alias("n"))
-    return rows.where("t_idx >= 270 and n >= 200").select("ticker", "day", F.round("s", 8).alias("sigma"), "n")
+    rows = moments(_frame(spark, sf_dir).withColumn("e", F.col("y") - F.col("x")), "e", [], -270, -21).where("n >= 200")
+    return rows.select("ticker", "day", F.round(F.sqrt(F.greatest("s_e_e", F.lit(0.0)) / (F.col("n") - 1)), 8).alias("sigma"), "n")
 
 
 def frozen_path(model: DataFrame, frame: DataFrame, events: DataFrame, low: int = -5, high: int = 60) -> DataFrame:

@@ -131,17 +131,16 @@ def reliability_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("hop", "direction", "horizon", "n", F.round(F.when(sure, raw).otherwise(1.0), 5).alias("multiplier"))
 
 
-def news_free(rows: DataFrame, news: DataFrame) -> DataFrame:
+def news_free(rows: DataFrame, news: DataFrame, calendar: DataFrame) -> DataFrame:
     """rows (ticker, hop, pub, exit_day) with clean: has the ticker no direct news from its announcement to its exit?
 
-    Both days count; a direct signal (hop 0) is news itself, so for it the announcing day doesn't. Days of news up to each date are counted
-    once, so the interval is a difference of two counts and no range join is made.
+    Both days count; a direct signal (hop 0) is news itself, so for it the announcing day doesn't. `calendar` (ticker, d) holds every pub and exit_day
+    that may be asked for: days of news up to each of them are counted once, so the interval is a difference of two counts and no range join is made.
     """
-    days = news.select("ticker", F.col("pub").alias("d")).distinct().withColumn("k", F.lit(1))
-    asked = rows.select("ticker", F.explode(F.array("pub", "exit_day")).alias("d")).distinct().withColumn("k", F.lit(0))
-    w = Window.partitionBy("ticker").orderBy("d")  # range frame: all rows up to the date
-    upto = days.unionByName(asked).withColumn("c", F.sum("k").over(w)).withColumn("own", F.max("k").over(Window.partitionBy("ticker", "d")))
-    upto = upto.where("k = 0").select("ticker", "d", "c", "own")
+    days = news.select("ticker", F.col("pub").alias("d"), F.lit(1).alias("k"))
+    upto = calendar.select("ticker", "d", F.lit(0).alias("k")).unionByName(days).groupBy("ticker", "d").agg(F.max("k").alias("own"))
+    w = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = upto.withColumn("c", F.sum("own").over(w)).select("ticker", "d", "c", "own")
     met = rows.join(upto.toDF("ticker", "pub", "c0", "own0"), ["ticker", "pub"]).join(upto.toDF("ticker", "exit_day", "c1", "own1"), ["ticker", "exit_day"])
     before = F.when(F.col("hop") == 0, F.col("c0")).otherwise(F.col("c0") - F.col("own0"))
     return met.withColumn("clean", F.col("c1") == before).drop("c0", "c1", "own0", "own1")
@@ -157,11 +156,9 @@ def clean_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return news_free(_outcomes(spark, sf_dir), view(spark, sf_dir, "signals").where("hop = 0"))
-
-
-def _t_window(a: int, b: int):
-    return Window.partitionBy("ticker").orderBy("t_idx").rowsBetween(a, b)
+    signals = view(spark, sf_dir, "signals")
+    calendar = view(spark, sf_dir, "prices").select("ticker", F.col("day").alias("d")).unionByName(signals.select("ticker", F.col("pub").alias("d")))
+    return news_free(_outcomes(spark, sf_dir), signals.where("hop = 0"), calendar)
 
 
 @query(with_views("prices") + """
@@ -184,12 +181,55 @@ _MODEL = _FRAME + f""", c AS (SELECT *, count(*) {_EST} AS n, regr_slope(y, x) {
 z AS (SELECT ticker, day, t_idx, n, beta, alpha, sqrt(greatest(syy - beta * sxy, 0) / (n - 2)) AS sigma, y - alpha - beta * x AS ar FROM c WHERE t_idx >= 270 AND n >= 200)"""
 
 
-def market_model(frame: DataFrame) -> DataFrame:
+def window_sums(frame: DataFrame, terms: dict[str, Column], low: int, high: int) -> DataFrame:
+    """frame with `sums`, a struct of each term's sum over the rows from `low` to `high` of its ticker (relative, both counted), for the rows that have them all.
+
+    Rows are cut into blocks as long as the window, so a window is the end of one block and the beginning of the next: two
+    running sums, looked up. A row costs the same whatever the length, and as no sum goes over more than a block, nothing cancels. Null terms count as 0.
+    """
+    size = high - low + 1
+    by = Window.partitionBy("ticker").orderBy("__block", "__row")
+    cell = Window.partitionBy("ticker", "__block")
+    running = cell.orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = frame.withColumn("__row", F.row_number().over(Window.partitionBy("ticker").orderBy("t_idx")) - 1).withColumn("__block", F.expr(f"__row div {size}"))
+    rows = rows.select("*", *[F.coalesce(t, F.lit(0.0)).alias(f"__{c}") for c, t in terms.items()])
+    upto = {c: F.sum(f"__{c}").over(running) for c in terms}
+    rows = rows.select("*", F.struct(*[u.alias(c) for c, u in upto.items()]).alias("__upto"), F.struct(*[(F.sum(f"__{c}").over(cell) - u + F.col(f"__{c}")).alias(c) for c, u in upto.items()]).alias("__from"))
+    rows = rows.withColumn("__last", F.lag("__upto", -high).over(by)).withColumn("__first", F.lag("__from", -low).over(by))
+    # A window that begins with a block ends with it.
+    one = (F.col("__row") + low) % size == 0
+    sums = F.struct(*[(F.when(one, 0.0).otherwise(F.col("__first")[c]) + F.col("__last")[c]).alias(c) for c in terms])
+    return rows.withColumn("sums", sums).where((F.col("__row") >= -low) & F.col("__last").isNotNull()).drop("__row", "__block", "__upto", "__from", "__last", "__first", *[f"__{c}" for c in terms])
+
+
+def moments(frame: DataFrame, y: str, factors: list[str], low: int, high: int) -> DataFrame:
+    """frame with n, the window's means m_<column> and its sums of products s_<a>_<b> about them, of the rows with y and all factors.
+
+    Values are taken about their ticker's mean first, so that no small spread is lost beside a large mean.
+    """
+    names = [y, *factors]
+    whole = F.col(y).isNotNull()
+    for f in factors:
+        whole = whole & F.col(f).isNotNull()
+    ticker = Window.partitionBy("ticker")
+    rows = frame.select("*", whole.alias("__whole"), *[F.avg(c).over(ticker).alias(f"c_{c}") for c in names])
+    d = {c: F.when(F.col("__whole"), F.col(c) - F.col(f"c_{c}")) for c in names}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = window_sums(rows, {"n": F.col("__whole").cast("double")} | {c: d[c] for c in names} | {f"{a}_{b}": d[a] * d[b] for a, b in pairs}, low, high)
+    s = lambda c: F.col("sums")[c]
+    out = sums.withColumn("n", s("n").cast("long"))
+    out = out.select("*", *[(F.col(f"c_{c}") + s(c) / F.col("n")).alias(f"m_{c}") for c in names], *[(s(f"{a}_{b}") - s(a) * s(b) / F.col("n")).alias(f"s_{a}_{b}") for a, b in pairs],
+                     *[s(f"{c}_{c}").alias(f"q_{c}") for c in names])
+    return out.drop("sums", "__whole", *[f"c_{c}" for c in names])
+
+
+def market_model(frame: DataFrame, low: int = -270, high: int = -21, least: int = 200) -> DataFrame:
     """Rolling market model frozen at each row: beta, alpha and the residuals' sigma over rows [-270, -21], at least 200 of them, and the row's abnormal return."""
-    w = _t_window(-270, -21)
-    m = frame.select("*", F.count("y").over(w).alias("n"), F.regr_slope("y", "x").over(w).alias("beta"), F.regr_intercept("y", "x").over(w).alias("alpha"), F.regr_syy("y", "x").over(w).alias("syy"), F.regr_sxy("y", "x").over(w).alias("sxy"))
-    m = m.withColumn("sigma", F.sqrt(F.greatest(F.col("syy") - F.col("beta") * F.col("sxy"), F.lit(0.0)) / (F.col("n") - 2))).drop("syy", "sxy")
-    return m.where("t_idx >= 270 and n >= 200").withColumn("ar", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
+    m = moments(frame, "y", ["x"], low, high).where(F.col("n") >= least)
+    flat = F.col("s_x_x") <= 1e-12 * F.col("q_x")  # the market didn't move: no slope
+    m = m.withColumn("beta", F.when(~flat, F.col("s_y_x") / F.col("s_x_x"))).withColumn("alpha", F.col("m_y") - F.col("beta") * F.col("m_x"))
+    m = m.withColumn("sigma", F.sqrt(F.greatest(F.col("s_y_y") - F.col("beta") * F.col("s_y_x"), F.lit(0.0)) / (F.col("n") - 2)))
+    return m.select(*frame.columns, "n", "beta", "alpha", "sigma").withColumn("ar", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
 
 
 @query(with_views("prices") + _MODEL + " SELECT ticker, day, n, round(beta, 4) + 0.0 AS beta, round(alpha, 6) + 0.0 AS alpha, round(ar, 6) + 0.0 AS ar FROM z")
@@ -218,19 +258,22 @@ def shock_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
  count(*) OVER (PARTITION BY ticker ORDER BY t_idx ROWS BETWEEN 80 PRECEDING AND 21 PRECEDING) AS n FROM f)
 SELECT ticker, day, round(m, 7) AS mean_abs, n FROM w WHERE t_idx >= 80 AND n >= 20""")
 def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _t_window(-80, -21)
-    rows = _frame(spark, sf_dir).select("ticker", "day", "t_idx", F.avg(F.abs("y")).over(w).alias("m"), F.count("*").over(w).alias("n"))
-    return rows.where("t_idx >= 80 and n >= 20").select("ticker", "day", F.round("m", 7).alias("mean_abs"), "n")
+    rows = window_sums(_frame(spark, sf_dir), {"total": F.abs("y"), "n": F.col("y").isNotNull().cast("double")}, -80, -21)
+    n = F.col("sums.n").cast("long")
+    return rows.where(n >= 20).select("ticker", "day", F.round(F.col("sums.total") / n, 7).alias("mean_abs"), n.alias("n"))
 
 
 @query(with_views("prices") + _MODEL + """, v(w, lo, hi) AS (VALUES ('w5', 1, 5), ('w20', 1, 20), ('w60', 1, 60)), k AS (SELECT z.ticker, z.day, w, sum(f.y - alpha - beta * f.x) AS car, count(*) AS c, min(hi) AS hi FROM z CROSS JOIN v JOIN f ON f.ticker = z.ticker AND f.t_idx BETWEEN z.t_idx + lo AND z.t_idx + hi GROUP BY z.ticker, z.day, w)
 SELECT ticker, day, w AS "window", round(car, 5) + 0.0 AS car FROM k WHERE c = hi""")
 def car_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative abnormal returns after each row by that row's own coefficients: sums of y and x over the next rows, whose window is one pass."""
+    """Cumulative abnormal returns after each row by that row's own coefficients: sums of y and x over the next rows."""
     frame = _frame(spark, sf_dir)
-    ahead = lambda n: _t_window(1, n)
     spans = {"w5": 5, "w20": 20, "w60": 60}
-    sums = frame.select("ticker", "t_idx", *[F.struct(F.sum("y").over(ahead(n)).alias("y"), F.sum("x").over(ahead(n)).alias("x"), F.count("y").over(ahead(n)).alias("n")).alias(w) for w, n in spans.items()])
+    by = Window.partitionBy("ticker").orderBy("t_idx")
+    running = frame.select("ticker", "t_idx", *[F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(f"up_{c}") for c in ("y", "x")])
+    # What is ahead is the running sum there less that here.
+    ahead = lambda c, n: (F.lead(f"up_{c}", n).over(by) - F.col(f"up_{c}")).alias(c)
+    sums = running.select("ticker", "t_idx", *[F.struct(ahead("y", n), ahead("x", n), F.lead(F.lit(n), n).over(by).alias("n")).alias(w) for w, n in spans.items()])
     m = market_model(frame).select("ticker", "day", "t_idx", "alpha", "beta").join(sums, ["ticker", "t_idx"])
     cars = F.array(*[F.struct(F.lit(w).alias("window"), F.when(F.col(w)["n"] == n, F.col(w)["y"] - n * F.col("alpha") - F.col("beta") * F.col(w)["x"]).alias("car")) for w, n in spans.items()])
     return m.select("ticker", "day", F.inline(cars)).where("car is not null").withColumn("car", F.round("car", 5) + 0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ripplegraph.operators.cohorts import _EVENTS, PERMS, relabel, ripples
-from ripplegraph.operators.market import _FRAME, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean
+from ripplegraph.operators.market import _FRAME, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean, moments
 from ripplegraph.operators.study import REPS, bootstrap_means, period
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
@@ -32,18 +32,14 @@ def _solve(cov: pd.Series, with_y: pd.Series) -> pd.Series:
 def factor_model(frame: DataFrame, factors: list[str], low: int = -270, high: int = -21, least: int = 200) -> DataFrame:
     """Rolling regression of y on several factors, frozen at each row: n, slopes (in the factors' order), alpha, sigma, ar.
 
-    Moments are window aggregates; only the small solve leaves the JVM, in Arrow batches. A row with a null
+    Moments are running sums; only the small solve leaves the JVM, in Arrow batches. A row with a null
     in y or a factor counts for nothing; fewer than `least` rows give no row.
     """
-    w = Window.partitionBy("ticker").orderBy("t_idx").rowsBetween(low, high)
-    whole = F.col("y").isNotNull()
-    for f in factors:
-        whole = whole & F.col(f).isNotNull()
-    used = {c: F.when(whole, F.col(c)) for c in ["y", *factors]}
-    cov = F.array(*[F.covar_samp(used[a], used[b]).over(w) for a in factors for b in factors])
-    m = frame.select("*", F.count(used["y"]).over(w).alias("n"), cov.alias("__c"), F.array(*[F.covar_samp(used["y"], used[a]).over(w) for a in factors]).alias("__y"),
-                     F.var_samp(used["y"]).over(w).alias("__v"), F.avg(used["y"]).over(w).alias("__my"), F.array(*[F.avg(used[a]).over(w) for a in factors]).alias("__m"))
-    m = m.where((F.col("t_idx") >= -low) & (F.col("n") >= least)).withColumn("slopes", _solve("__c", "__y"))
+    m = moments(frame, "y", factors, low, high).where(F.col("n") >= least)
+    about = lambda a, b: F.col(f"s_{a}_{b}" if a == "y" or factors.index(a) <= factors.index(b) else f"s_{b}_{a}") / (F.col("n") - 1)
+    m = m.select(*frame.columns, "n", F.array(*[about(a, b) for a in factors for b in factors]).alias("__c"), F.array(*[about("y", a) for a in factors]).alias("__y"),
+                 (F.col("s_y_y") / (F.col("n") - 1)).alias("__v"), F.col("m_y").alias("__my"), F.array(*[F.col(f"m_{a}") for a in factors]).alias("__m"))
+    m = m.withColumn("slopes", _solve("__c", "__y"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     left = F.greatest(F.col("__v") - dot("slopes", "__y"), F.lit(0.0))
     m = m.withColumn("alpha", F.col("__my") - dot("slopes", "__m")).withColumn("sigma", F.sqrt(left * (F.col("n") - 1) / (F.col("n") - 1 - len(factors))))

@@ -5,9 +5,11 @@ Each projection is SQL that Spark and DuckDB both read; {name} stands for a tabl
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplegraph.session import checkpoint_dir, table
@@ -105,26 +107,61 @@ def _fill(text: str, engine: str) -> str:
     return text.replace("{weekday}", {"spark": "weekday(day)", "duckdb": "(isodow(day) - 1)"}[engine])
 
 
-#: Projections that many operators read over and over; they are written once for a session, folder and state of its tables.
-STORED = ("nodes", "edges")
-_stored: dict[tuple, str] = {}
+#: Projections that many operators read over and over. Each is written once for a session, folder and content of its tables.
+STORED = ("nodes", "edges", "daily", "prices", "benchmark", "signals")
+#: Copies kept of a projection whose tables change: the newest, and the one before it, which a query under way may still read.
+KEPT = 2
+_stored: dict[tuple[str, str, str], list[tuple[tuple, str]]] = {}
 
 
 def _parts(name: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", VIEWS[name])) - {"weekday"})
 
 
-def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    """The times of change of the tables that a projection reads, so that a changed folder isn't served from an old copy."""
+def _tables(name: str) -> list[str]:
+    """The tables that a projection reads, through other projections too."""
     found: set[str] = set()
     todo = [name]
     while todo:
         for part in _parts(todo.pop()):
             (todo.append if part in VIEWS else found.add)(part)
+    return sorted(found)
+
+
+def content_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Name, length and time of change of every file under the paths, so that a file rewritten inside a folder is noticed. Stores without times of folders do."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
-    at = [path(f"{sf_dir}/{t}.parquet") for t in sorted(found)]
-    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in at)
+    out = []
+    for at in map(path, paths):
+        files = at.getFileSystem(conf).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def clear_stored(keep: int = 0) -> None:
+    """Remove the stored copies but the newest `keep` of each; also called when Python ends."""
+    from pyspark import SparkContext
+
+    jvm = SparkContext._jvm
+    for key, versions in _stored.items():
+        for _, path in versions[: len(versions) - keep]:
+            if jvm is not None:
+                at = jvm.org.apache.hadoop.fs.Path(path).getParent()
+                active = SparkContext._active_spark_context
+                conf = active._jsc.hadoopConfiguration() if active is not None and active._jsc is not None else jvm.org.apache.hadoop.conf.Configuration()
+                at.getFileSystem(conf).delete(at, True)
+        _stored[key] = versions[len(versions) - keep :] if keep else []
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    try:
+        clear_stored()
+    except (Py4JError, OSError):  # the JVM has gone; its folder is left
+        pass
 
 
 def _project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,12 +173,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A projection over the tables of a folder; only the columns a query uses are read."""
     if name not in STORED:
         return _project(spark, sf_dir, name)
-    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir, name))
-    if key not in _stored:
+    state = content_state(spark, [f"{sf_dir}/{t}.parquet" for t in _tables(name)])
+    versions = _stored.setdefault((spark.sparkContext.applicationId, sf_dir, name), [])
+    if not versions or versions[-1][0] != state:
         path = f"{checkpoint_dir(spark)}/views-{uuid.uuid4().hex}/{name}"
         _project(spark, sf_dir, name).write.parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        versions.append((state, path))
+        clear_stored(KEPT)
+    return spark.read.parquet(versions[-1][1])
 
 
 def with_views(*names: str, recursive: bool = False) -> str:

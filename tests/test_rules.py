@@ -134,7 +134,7 @@ def test_clean_windows(spark):
     news = spark.createDataFrame([("x", d(5)), ("x", d(9))], "ticker string, pub date")
     rows = [(1, 0, 5, 8, True), (2, 1, 5, 8, False), (3, 1, 6, 8, True), (4, 1, 6, 9, False), (5, 0, 9, 9, True), (6, 0, 4, 5, False)]
     df = spark.createDataFrame([(k, "x", h, d(a), d(b)) for k, h, a, b, _ in rows], "k int, ticker string, hop int, pub date, exit_day date")
-    assert {r.k: r.clean for r in market.news_free(df, news).collect()} == {r[0]: r[4] for r in rows}
+    assert {r.k: r.clean for r in market.news_free(df, news, df.selectExpr("ticker", "explode(array(pub, exit_day)) AS d")).collect()} == {r[0]: r[4] for r in rows}
 
 
 def test_votes_are_scaled_by_class(spark):
