@@ -303,7 +303,7 @@ def holm(rows: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     return rows.withColumn("passed", passed).withColumn("rejected", F.min("passed").over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("passed")
 
 
-@query()
+@query(lambda: _holm_sql())
 def holm_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests of the mean abnormal return by horizon and direction, clustered by day: t, its two-sided p by Student's t, and Holm's verdict."""
     cells = clustered_mean(_outcomes(spark, sf_dir), "abn_ret", "pub", "horizon", "direction")
@@ -311,6 +311,15 @@ def holm_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holm(rows.withColumn("p", t_p("t", "df")), "p").select("test", F.round("t", 4).alias("t"), "df", F.round("p", 6).alias("p"), "rejected")
 
 
+def _holm_sql() -> str:
+    from ripplegraph.operators.verdicts import t_p_sql
+
+    return with_views(*_OUT) + _OUTCOMES + f""", g AS (SELECT horizon, direction, pub, sum(abn_ret) AS s, count(*) AS m FROM o GROUP BY ALL), c AS (SELECT horizon, direction, sum(s) / sum(m) AS mean, sum(m) AS n, count(*) AS k FROM g GROUP BY ALL),
+x AS (SELECT 'h' || horizon || '-' || direction AS test, c.k - 1 AS df, mean / (sqrt(c.k / (c.k - 1) * sum(pow(s - m * mean, 2))) / n) AS t FROM g JOIN c USING (horizon, direction) WHERE c.k >= 2 GROUP BY horizon, direction, mean, n, c.k),
+p AS (SELECT *, {t_p_sql("t", "df")} AS p FROM x), r AS (SELECT *, row_number() OVER (ORDER BY p, test) AS i, count(*) OVER () AS n FROM p)
+SELECT test, round(t, 4) AS t, df, round(p, 6) AS p, bool_and(p <= 0.05 / (n - i + 1)) OVER (ORDER BY i) AS rejected FROM r"""
+
+
 @query(with_views(*_OUT) + _OUTCOMES + """, t AS (SELECT event_id, year(pub) AS y, horizon, rank() OVER (PARTITION BY horizon, year(pub) ORDER BY magnitude) + (count(*) OVER (PARTITION BY horizon, year(pub), magnitude) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY horizon, year(pub)) AS n FROM o)
 SELECT event_id, horizon, y, ceil(3 * (k / n))::INT AS tercile FROM t""")
 def terciles(spark: SparkSession, sf_dir: str) -> DataFrame:

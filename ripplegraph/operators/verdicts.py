@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ripplegraph.operators.cohorts import _EVENTS, PERMS, relabel, ripples
-from ripplegraph.operators.market import _FRAME, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean, moments
+from ripplegraph.operators.cohorts import _EVENTS, PERMS, _study, build_events_rows, relabel, ripples
+from ripplegraph.operators.market import _FRAME, _OUT, _OUTCOMES, _frame, _outcomes, clustered_mean, holm, moments, t_p
 from ripplegraph.operators.study import REPS, bootstrap_means, period
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
 from ripplegraph.session import materialize
 
-#: Least t of a claim, one-sided normal bound of a holdout, least effect that matters.
-T_CLAIM, T_HOLDOUT, LEAST_EFFECT = 3.0, 1.6449, 0.0005
+#: Least t of a claim, and the least effect in the holdout that matters: 50 basis points.
+T_CLAIM, LEAST_EFFECT = 3.0, 0.005
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -110,31 +112,165 @@ def power_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return power_curve(bootstrap_means(sums), cell["mean"], cell["se"])
 
 
-_VERDICT = _OUTCOMES + """, x AS (SELECT direction AS role, horizon, pub, CASE WHEN pub < DATE '1999-01-01' THEN 'exploration' WHEN pub >= DATE '2000-01-01' THEN 'holdout' END AS period, abn_ret FROM o),
-g AS (SELECT role, horizon, period, pub, sum(abn_ret) AS s, count(*) AS m FROM x WHERE period IS NOT NULL GROUP BY ALL), t AS (SELECT role, horizon, period, sum(s) / sum(m) AS mean, sum(m) AS n, count(*) AS g FROM g GROUP BY ALL),
-c AS (SELECT role, horizon, period, t.mean, sqrt(t.g / (t.g - 1) * sum(pow(s - m * t.mean, 2))) / t.n AS se FROM g JOIN t USING (role, horizon, period) GROUP BY role, horizon, period, t.mean, t.n, t.g HAVING t.g >= 2),
-j AS (SELECT role, horizon, max(mean) FILTER (period = 'exploration') AS m1, max(se) FILTER (period = 'exploration') AS s1, max(mean) FILTER (period = 'holdout') AS m2, max(se) FILTER (period = 'holdout') AS s2 FROM c GROUP BY ALL),
-v AS (SELECT role, bool_or(horizon = 1 AND m1 > 0 AND m1 / s1 > 3.0) AS h1, bool_or(horizon > 1 AND sign(m1) * m2 / s2 > 1.6449 AND abs(m2) >= 0.0005) AS slow,
- coalesce(bool_and(3.0 * s2 > 0.0005) FILTER (horizon > 1 AND s2 IS NOT NULL), true) AS underpowered, coalesce(bool_or(horizon > 1 AND (m1 IS NULL OR m2 IS NULL)), true) AS unevaluable FROM j GROUP BY role)"""
-_ORDER = "CASE WHEN slow THEN 'slow_ripple' WHEN (underpowered OR unevaluable) AND h1 THEN 'same_day_slow_inconclusive' WHEN underpowered THEN 'inconclusive_underpowered' WHEN unevaluable THEN 'inconclusive_unevaluable' WHEN h1 THEN 'same_day_only' ELSE 'no_ripple' END"
+#: Roles of a linked brand beside the shocked one, and the windows whose effect would be a slow one; their cells are one family of tests.
+ROLES, SLOW = ("larger", "smaller", "equal"), ("w5", "w20", "w60")
+#: Controls of an event, share of the family's error, one-sided level of the holdout, and the effect that a role must be able to show in SLOW[1].
+K, FAMILY_ALPHA, HOLDOUT_ALPHA, MDE_LIMIT = 5, 0.05, 0.05, 0.015
+#: Standard errors above the bar at which a test finds an effect four times in five.
+POWER_Z = 0.8416
+#: A placebo counts if so many of its permutations have a value, and if its median number of events is this share of the real one.
+LEAST_FINITE, LEAST_COVERAGE = 0.9, 0.5
 
 
-@query(with_views(*_OUT) + _VERDICT + f" SELECT role, coalesce(h1, false) AS h1, coalesce(slow, false) AS slow, underpowered, unevaluable, {_ORDER} AS verdict FROM v")
-def study_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict for each role from its cells in both periods; a cell's smallest detectable effect is T_CLAIM standard errors."""
-    rows = _outcomes(spark, sf_dir).select(F.col("direction").alias("role"), "horizon", "pub", period(F.col("pub")).alias("period"), "abn_ret").where("period is not null")
-    cells = clustered_mean(rows, "abn_ret", "pub", "role", "horizon", "period")
+def role(size_a: Column, size_b: Column) -> Column:
+    return F.when(size_b > size_a, "larger").when(size_b < size_a, "smaller").otherwise("equal")
+
+
+def study_cells(events: DataFrame) -> DataFrame:
+    """role, window, period, n, df, mean, se, t, p (two-sided) of events (role, window, day, ripple), clustered by the ISO week; cells of one week have none."""
+    rows = events.withColumn("period", period(F.col("day"))).where("period is not null")
+    rows = rows.withColumn("week", F.concat_ws("-", F.expr("extract(yearofweek from day)"), F.weekofyear("day")))
+    cells = clustered_mean(rows, "ripple", "week", "role", "window", "period").where("se > 0")
+    cells = cells.select("role", "window", "period", "n", (F.col("n_clusters") - 1).alias("df"), "mean", "se", (F.col("mean") / F.col("se")).alias("t"))
+    return cells.withColumn("p", t_p("t", "df"))
+
+
+def placebo_gates(means: DataFrame, real: DataFrame, perms: int = PERMS) -> DataFrame:
+    """role, window, real_mean, p05, p95, evaluable, reason of permutations (perm, role, window, mean, covered) and the real (role, window, real_mean, real_count).
+
+    Not evaluable with under LEAST_FINITE of the permutations, or where the median number of events they cover (none in those without a value) is under LEAST_COVERAGE of the real.
+    """
+    at = lambda q: F.percentile("mean", F.lit(q))
+    whole = means.groupBy("role", "window").agg(F.count("mean").alias("n_finite"), at(0.05).alias("p05"), at(0.95).alias("p95"), F.collect_list("covered").alias("covered"))  # `perms` numbers
+    # The permutations without a row cover nothing; they stand first in the order.
+    order = F.sort_array("covered")
+    place = lambda i: F.when(F.lit(i) - (perms - F.size("covered")) < 0, 0).otherwise(F.get(order, (F.lit(i) - (perms - F.size("covered"))).cast("int")))
+    median = (place((perms - 1) // 2) + place(perms // 2)) / 2
+    j = real.join(whole, ["role", "window"], "left").withColumn("n_finite", F.coalesce("n_finite", F.lit(0))).withColumn("median_covered", F.coalesce(median, F.lit(0.0)))
+    few, thin = F.col("n_finite") < math.ceil(LEAST_FINITE * perms), F.col("median_covered") < LEAST_COVERAGE * F.col("real_count")
+    reason = F.when(few, "few permutations have a value").when(thin, "permutations cover few events").otherwise("")
+    return j.select("role", "window", "real_mean", "p05", "p95", (~(few | thin)).alias("evaluable"), reason.alias("reason"))
+
+
+def decide(cells: DataFrame, gates: DataFrame) -> DataFrame:
+    """A row for each role and slow window: what the exploration claims, and what of it the holdout, the floor and the placebo leave.
+
+    A claim is |t| above T_CLAIM that Holm's procedure rejects within the family of all roles and slow windows (cells without a t count in it). It passes if the
+    holdout's one-sided p in the claim's direction is under HOLDOUT_ALPHA, its mean in that direction is LEAST_EFFECT or more, and the real mean beats the placebo's 95 %.
+    h1: the same-day claim of the role, in both periods; mde: what the role can show in SLOW[1] in the exploration.
+    """
+    spark = cells.sparkSession
     of = lambda c, p: F.max(F.when(F.col("period") == p, F.col(c)))
-    j = cells.groupBy("role", "horizon").agg(of("mean", "exploration").alias("m1"), of("se", "exploration").alias("s1"), of("mean", "holdout").alias("m2"), of("se", "holdout").alias("s2"))
-    later = F.col("horizon") > 1
-    h1 = (F.col("horizon") == 1) & (F.col("m1") > 0) & (F.col("m1") / F.col("s1") > T_CLAIM)
-    slow = later & (F.signum("m1") * F.col("m2") / F.col("s2") > T_HOLDOUT) & (F.abs("m2") >= LEAST_EFFECT)
-    weak = F.when(later & F.col("s2").isNotNull(), T_CLAIM * F.col("s2") > LEAST_EFFECT)
-    gone = later & (F.col("m1").isNull() | F.col("m2").isNull())
-    v = j.groupBy("role").agg(F.coalesce(F.bool_or(h1), F.lit(False)).alias("h1"), F.coalesce(F.bool_or(slow), F.lit(False)).alias("slow"), F.coalesce(F.bool_and(weak), F.lit(True)).alias("underpowered"), F.coalesce(F.bool_or(gone), F.lit(True)).alias("unevaluable"))
+    wide = cells.groupBy("role", "window").agg(*[of(c, p).alias(f"{c}_{p[0]}") for p in ("exploration", "holdout") for c in ("mean", "se", "t", "p")])
+    grid = spark.createDataFrame([(r, w) for r in ROLES for w in ("d0", *SLOW)], "role string, window string").join(F.broadcast(wide), ["role", "window"], "left")
+    slow = holm(grid.where("window <> 'd0'").withColumn("test", F.concat_ws("|", "role", "window")), "p_e", FAMILY_ALPHA)
+    way = F.signum("mean_e")
+    against = lambda t, p: F.when(t > 0, p / 2).otherwise(1 - p / 2)  # noqa: E731  one-sided, towards positive t
+    slow = slow.withColumn("claim", F.coalesce(F.col("rejected") & (F.abs("t_e") > T_CLAIM), F.lit(False))).withColumn("direction", F.coalesce(way, F.lit(0.0)).cast("int"))
+    slow = slow.withColumn("p_one", against(way * F.col("t_h"), F.col("p_h"))).withColumn("toward", way * F.col("mean_h"))
+    slow = slow.join(F.broadcast(gates), ["role", "window"], "left")
+    beats = F.col("evaluable") & F.when(way > 0, F.col("real_mean") > F.col("p95")).otherwise(-F.col("real_mean") > -F.col("p05"))
+    slow = slow.withColumn("replicates", F.coalesce(F.col("p_one") < HOLDOUT_ALPHA, F.lit(False))).withColumn("floor_ok", F.coalesce(F.col("toward") >= LEAST_EFFECT, F.lit(False)))
+    slow = slow.withColumn("beats_placebo", F.coalesce(beats, F.lit(False))).withColumn("pass", F.col("claim") & F.col("replicates") & F.col("floor_ok") & F.col("beats_placebo"))
+    gone = F.col("claim") & ~F.col("pass") & (F.col("p_one").isNull() | ~F.coalesce("evaluable", F.lit(False)))
+    slow = slow.withColumn("unevaluable", gone).withColumn("reason", F.when(~F.col("claim"), "no claim").when(F.col("pass"), "").when(F.col("p_one").isNull(), "no holdout cell").when(~F.coalesce("evaluable", F.lit(False)), F.coalesce("reason", F.lit("no placebo")))
+                    .when(~F.col("replicates"), "not replicated").when(~F.col("floor_ok"), "below the floor").otherwise("not above the placebo"))
+    same_day = grid.where("window = 'd0'").select("role", F.coalesce((F.col("t_e") > T_CLAIM) & (F.col("mean_h") > 0) & (against(F.col("t_h"), F.col("p_h")) < HOLDOUT_ALPHA), F.lit(False)).alias("h1"))
+    able = grid.where(F.col("window") == SLOW[1]).select("role", ((T_CLAIM + POWER_Z) * F.col("se_e")).alias("mde"))
+    return slow.join(F.broadcast(same_day), "role").join(F.broadcast(able), "role").select(
+        "role", "window", "direction", "claim", "replicates", "floor_ok", "beats_placebo", "pass", "unevaluable", "reason", "h1", "mde", "t_e", "p_e", "p_one", "toward")
+
+
+def role_verdicts(decisions: DataFrame) -> DataFrame:
+    """role, slow, underpowered, unevaluable, h1, verdict; a role whose effect in SLOW[1] can't be measured, or not below MDE_LIMIT, is underpowered."""
+    v = decisions.groupBy("role").agg(F.bool_or("pass").alias("slow"), F.coalesce(F.max("mde") > MDE_LIMIT, F.lit(True)).alias("underpowered"), F.bool_or("unevaluable").alias("unevaluable"), F.bool_or("h1").alias("h1"))
     return v.withColumn("verdict", F.expr(_ORDER))
 
 
+def study_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events with K controls: a, e_idx, day, b, window, ripple, role; placebo means by permutation in the holdout; the real means there)."""
+    study = _study(spark, sf_dir)
+    sizes = study[3].select("id", "size")
+    roled = lambda rows: rows.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").withColumn("role", role(F.col("size_a"), F.col("size_b"))).drop("size_a", "size_b")
+    events = roled(build_events_rows(spark, sf_dir, study).where(F.col("k") == K))
+    every, links = ripples(spark, sf_dir)
+    keyed = materialize(every.where((period(F.col("day")) == "holdout") & F.col("window").isin(*SLOW)).withColumn("event", F.concat_ws(":", "a", "e_idx")))
+    real = roled(keyed.join(links, ["a", "b"]))
+    place = (F.row_number().over(Window.partitionBy("event").orderBy("b")) - 1).cast("long")  # the tickers of a day
+    pool = keyed.select("event", "b").distinct().select(F.col("event").alias("sector"), F.col("b").alias("c"), place.alias("i"))
+    drawn = relabel(real.select(F.col("event").alias("a"), "b", F.col("event").alias("sector")).distinct(), pool)
+    values = keyed.select(F.col("event").alias("a"), F.col("b").alias("c"), "window", "ripple")
+    drawn = drawn.join(real.select(F.col("event").alias("a"), "b", "role", "window"), ["a", "b"]).join(values, ["a", "c", "window"])
+    means = drawn.groupBy("perm", "role", "window").agg(F.avg("ripple").alias("mean"), F.count("*").alias("covered"))
+    return events, means, real.groupBy("role", "window").agg(F.avg("ripple").alias("real_mean"), F.count("*").alias("real_count"))
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """SQL for the two-sided p-value of Student's t with whole degrees of freedom: the finite series in the angle atan(|t| / sqrt(df))."""
+    a, c = f"atan(abs({t}) / sqrt({df}))", f"sqrt({df} / ({df} + {t} * {t}))"
+    even = f"sin({a}) * list_sum(list_transform(range({df} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow({c}, 2 * k)))"
+    odd = f"2 / pi() * ({a} + CASE WHEN {df} < 2 THEN 0 ELSE sin({a}) * {c} * list_sum(list_transform(range(({df} - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow({c}, 2 * k))) END)"
+    return f"greatest(0, 1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+_PERIOD = "CASE WHEN day < DATE '1999-01-01' THEN 'exploration' WHEN day >= DATE '2000-01-01' THEN 'holdout' END"
+_ROLE = "CASE WHEN lb.size > la.size THEN 'larger' WHEN lb.size < la.size THEN 'smaller' ELSE 'equal' END"
+_DECIDE = _EVENTS + f""", er AS (SELECT ev.*, {_ROLE} AS role, {_PERIOD} AS period FROM ev JOIN ld la ON la.t = a JOIN ld lb ON lb.t = b WHERE k = {K}),
+wk AS (SELECT role, w, period, strftime(day, '%G-%V') AS week, sum(ripple) AS s, count(*) AS m FROM er WHERE period IS NOT NULL GROUP BY ALL), tt AS (SELECT role, w, period, sum(s) / sum(m) AS mean, sum(m) AS n, count(*) AS g FROM wk GROUP BY ALL),
+ce AS (SELECT role, w, period, mean, n, tt.g - 1 AS df, sqrt(tt.g / (tt.g - 1) * sum(pow(s - m * mean, 2))) / n AS se FROM wk JOIN tt USING (role, w, period) WHERE tt.g >= 2 GROUP BY role, w, period, mean, n, tt.g),
+cp AS (SELECT *, mean / se AS t, {t_p_sql("(mean / se)", "df")} AS p FROM ce WHERE se > 0),
+rp AS (SELECT a || ':' || e_idx AS e, a, b, w, day, s * (car - (sum(car) OVER g - car) / (count(*) OVER g - 1)) AS ripple FROM cr WINDOW g AS (PARTITION BY a, e_idx, w) QUALIFY count(*) OVER g >= 3),
+kv AS (SELECT * FROM rp WHERE {_PERIOD} = 'holdout' AND w IN ('w5', 'w20', 'w60')), real AS (SELECT kv.*, {_ROLE} AS role FROM kv JOIN lk USING (a, b) JOIN ld la ON la.t = a JOIN ld lb ON lb.t = b),
+pool AS (SELECT e, b AS c, row_number() OVER (PARTITION BY e ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY e) AS n FROM (SELECT DISTINCT e, b FROM kv)),
+dr AS (SELECT perm, r.e, r.b, c FROM (SELECT DISTINCT e, b FROM real) r CROSS JOIN range({PERMS}) q(perm) JOIN pool p ON p.e = r.e AND p.i = ('0x' || substr(md5(perm || '-' || r.e || '-' || r.b), 1, 8))::BIGINT % p.n WHERE c <> r.b AND c <> r.e),
+pb AS (SELECT perm, role, real.w, avg(kv.ripple) AS mean, count(*) AS covered FROM dr JOIN real USING (e, b) JOIN kv ON kv.e = dr.e AND kv.b = dr.c AND kv.w = real.w GROUP BY ALL),
+rm AS (SELECT role, w, avg(ripple) AS real_mean, count(*) AS real_count FROM real GROUP BY ALL),
+pq AS (SELECT rm.role, rm.w, any_value(real_mean) AS real_mean, any_value(real_count) AS real_count, count(mean) AS finite, quantile_cont(mean, 0.05) AS p05, quantile_cont(mean, 0.95) AS p95, median(coalesce(covered, 0)) AS cover FROM rm CROSS JOIN range({PERMS}) q(perm) LEFT JOIN pb ON pb.perm = q.perm AND pb.role = rm.role AND pb.w = rm.w GROUP BY rm.role, rm.w),
+ga AS (SELECT *, finite >= {LEAST_FINITE} * {PERMS} AND cover >= {LEAST_COVERAGE} * real_count AS evaluable FROM pq),
+gr AS (SELECT role, w FROM (VALUES ('larger'), ('smaller'), ('equal')) x(role) CROSS JOIN (VALUES ('d0'), ('w5'), ('w20'), ('w60')) y(w)),
+wd AS (SELECT gr.role, gr.w, x.mean AS me, x.se AS se, x.t AS te, x.p AS pe, h.mean AS mh, h.t AS th, h.p AS ph FROM gr LEFT JOIN cp x ON x.role = gr.role AND x.w = gr.w AND x.period = 'exploration' LEFT JOIN cp h ON h.role = gr.role AND h.w = gr.w AND h.period = 'holdout'),
+hm AS (SELECT *, bool_and(coalesce(pe <= {FAMILY_ALPHA} / (9 - k + 1), false)) OVER (ORDER BY k) AS rejected FROM (SELECT *, row_number() OVER (ORDER BY pe NULLS LAST, role || '|' || w) AS k FROM wd WHERE w <> 'd0')),
+sl AS (SELECT hm.*, coalesce(rejected AND abs(te) > {T_CLAIM}, false) AS claim, CASE WHEN sign(me) * th > 0 THEN ph / 2 ELSE 1 - ph / 2 END AS p_one, sign(me) * mh AS toward, real_mean, p05, p95, coalesce(evaluable, false) AS evaluable FROM hm LEFT JOIN ga USING (role, w)),
+de AS (SELECT role, w, coalesce(sign(me), 0)::INT AS direction, claim, coalesce(p_one < {HOLDOUT_ALPHA}, false) AS replicates, coalesce(toward >= {LEAST_EFFECT}, false) AS floor_ok, coalesce(evaluable AND CASE WHEN sign(me) > 0 THEN real_mean > p95 ELSE real_mean < p05 END, false) AS beats_placebo, evaluable, p_one, te, pe FROM sl),
+dp AS (SELECT *, claim AND replicates AND floor_ok AND beats_placebo AS pass FROM de), du AS (SELECT *, claim AND NOT pass AND (p_one IS NULL OR NOT evaluable) AS unevaluable FROM dp),
+dh AS (SELECT role, coalesce(te > {T_CLAIM} AND mh > 0 AND CASE WHEN th > 0 THEN ph / 2 ELSE 1 - ph / 2 END < {HOLDOUT_ALPHA}, false) AS h1 FROM wd WHERE w = 'd0'), dm AS (SELECT role, ({T_CLAIM} + {POWER_Z}) * se AS mde FROM wd WHERE w = 'w20'),
+v AS (SELECT role, bool_or(pass) AS slow, coalesce(max(mde) > {MDE_LIMIT}, true) AS underpowered, bool_or(unevaluable) AS unevaluable, bool_or(h1) AS h1 FROM du JOIN dh USING (role) JOIN dm USING (role) GROUP BY role)"""
+_ORDER = "CASE WHEN slow THEN 'slow_ripple' WHEN (underpowered OR unevaluable) AND h1 THEN 'same_day_slow_inconclusive' WHEN underpowered THEN 'inconclusive_underpowered' WHEN unevaluable THEN 'inconclusive_unevaluable' WHEN h1 THEN 'same_day_only' ELSE 'no_ripple' END"
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, means, real = study_events(spark, sf_dir)
+    return decide(materialize(study_cells(events)), placebo_gates(means, real))
+
+
+@query(with_views("prices") + _DECIDE + """ SELECT role, w AS "window", direction, claim, replicates, floor_ok, beats_placebo, pass, unevaluable, round(te, 4) AS t, round(pe, 6) + 0.0 AS p, round(p_one, 6) + 0.0 AS p_one FROM du""")
+def study_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slow cell of the event study: the exploration's claim under Holm, and the gates it meets in the holdout."""
+    d = _decisions(spark, sf_dir)
+    flags = ["role", "window", "direction", "claim", "replicates", "floor_ok", "beats_placebo", "pass", "unevaluable"]
+    return d.select(*flags, F.round("t_e", 4).alias("t"), (F.round("p_e", 6) + 0.0).alias("p"), (F.round("p_one", 6) + 0.0).alias("p_one"))
+
+
+@query(with_views("prices") + _DECIDE + f" SELECT role, h1, slow, underpowered, unevaluable, {_ORDER} AS verdict FROM v")
+def study_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each role of the event study from its cells in both periods."""
+    return role_verdicts(_decisions(spark, sf_dir)).select("role", "h1", "slow", "underpowered", "unevaluable", "verdict")
+
+
+@query(with_views("prices") + _EVENTS + f""", er AS (SELECT ev.*, {_ROLE} AS role, {_PERIOD} AS period FROM ev JOIN ld la ON la.t = a JOIN ld lb ON lb.t = b WHERE k = {K}),
+wk AS (SELECT role, w, period, strftime(day, '%G-%V') AS week, sum(ripple) AS s, count(*) AS m FROM er WHERE period IS NOT NULL GROUP BY ALL), tt AS (SELECT role, w, period, sum(s) / sum(m) AS mean, sum(m)::BIGINT AS n, count(*) AS g FROM wk GROUP BY ALL),
+ce AS (SELECT role, w, period, mean, n, tt.g - 1 AS df, sqrt(tt.g / (tt.g - 1) * sum(pow(s - m * mean, 2))) / n AS se FROM wk JOIN tt USING (role, w, period) WHERE tt.g >= 2 GROUP BY role, w, period, mean, n, tt.g)
+SELECT role, w AS "window", period, n, df, round(mean, 5) + 0.0 AS mean, round(mean / se, 4) + 0.0 AS t, round({t_p_sql("(mean / se)", "df")}, 6) + 0.0 AS p, round(mean - 1.96 * se, 5) + 0.0 AS ci_low, round(mean + 1.96 * se, 5) + 0.0 AS ci_high FROM ce WHERE se > 0""")
+def role_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event study's cells by role, window and period: mean, t, its p by Student's t, and the interval of 1.96 standard errors."""
+    study = _study(spark, sf_dir)
+    sizes = study[3].select("id", "size")
+    rows = build_events_rows(spark, sf_dir, study).where(F.col("k") == K).join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+    c = study_cells(rows.withColumn("role", role(F.col("size_a"), F.col("size_b"))))
+    end = lambda z: F.round(F.col("mean") + z * F.col("se"), 5) + 0.0
+    return c.select("role", "window", "period", "n", "df", (F.round("mean", 5) + 0.0).alias("mean"), (F.round("t", 4) + 0.0).alias("t"), (F.round("p", 6) + 0.0).alias("p"), end(-1.96).alias("ci_low"), end(1.96).alias("ci_high"))
+
+
 @query(with_views(*_OUT, "prices") + _OUTCOMES + """, el AS (SELECT ticker, year(day) AS y, count(*) AS sessions FROM prices WHERE t_idx >= 270 GROUP BY ALL), sg AS (SELECT ticker, year(pub) AS y, count(DISTINCT pub) AS days FROM o WHERE horizon = 1 GROUP BY ALL)
 SELECT ticker, y, sessions, coalesce(days, 0) AS days, round(coalesce(days, 0) / sessions, 6) AS share FROM el LEFT JOIN sg USING (ticker, y)""")
 def power_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
