@@ -353,19 +353,6 @@ def ring_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring(view(spark, sf_dir, "edges"), parents, parents, nodes)
 
 
-@query(with_views("nodes") + """, rules AS (
- SELECT id AS source, 'default' AS rule, 'reg-core' AS regulator FROM nodes WHERE type = 'Company'
- UNION ALL SELECT id, 'sector', 'reg-' || lower(sector) FROM nodes WHERE type = 'Company' AND sector IN ('ASIA', 'EUROPE')
- UNION ALL SELECT id, 'industry', 'reg-core' FROM nodes WHERE type = 'Company' AND industry = 'ind-3'
- UNION ALL SELECT id, 'supranational', 'reg-union' FROM nodes WHERE type = 'Company' AND sector = 'EUROPE')
-SELECT source, regulator, min(rule) AS rule FROM rules GROUP BY source, regulator""")
-def regulator_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firms = view(spark, sf_dir, "nodes").where("type = 'Company'")
-    rules = [("default", F.lit(True), F.lit("reg-core")), ("sector", F.col("sector").isin("ASIA", "EUROPE"), F.concat(F.lit("reg-"), F.lower("sector"))), ("industry", F.col("industry") == "ind-3", F.lit("reg-core")), ("supranational", F.col("sector") == "EUROPE", F.lit("reg-union"))]
-    fired = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(r.alias("regulator"), F.lit(n).alias("rule"))) for n, c, r in rules]), lambda x: x.isNotNull())
-    return firms.select(F.col("id").alias("source"), F.inline(fired)).groupBy("source", "regulator").agg(F.min("rule").alias("rule"))
-
-
 @query(with_views("nodes", "edges") + """, p AS (SELECT least(source, target) AS x_id, greatest(source, target) AS y_id FROM edges)
 SELECT DISTINCT x_id, y_id FROM p WHERE x_id IN (SELECT id FROM nodes WHERE type = 'Company') AND y_id IN (SELECT id FROM nodes WHERE type = 'Company')""")
 def any_edge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
