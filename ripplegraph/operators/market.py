@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
+from ripplegraph.session import materialize, shuffle_partitions
 
 HORIZONS = (1, 5, 20, 60)
 COST = 0.001
@@ -30,41 +31,54 @@ def next_session(signals: DataFrame, prices: DataFrame) -> DataFrame:
     return signals.join(found.where("kind = 0").select("ticker", "pub", "ann_idx", "ann_day"), ["ticker", "pub"])
 
 
-def outcomes(signals: DataFrame, prices: DataFrame, benchmark: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """One row per signal and horizon that has an exit: stock, benchmark and abnormal return, hit and net of costs.
+def outcomes(signals: DataFrame, prices: DataFrame, benchmarks: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """One row per signal and horizon that has an exit: stock, benchmark and abnormal return, hit and net of costs, and the move that was missed.
 
-    Entry is the open of the announcing session, or of the next one if news came on a session day; exit the close
-    `horizon` sessions after entry.
+    Entry is the open of the announcing session, or of the next one if news came on a session day; exit the close `horizon` sessions after entry. Returns are abnormal against
+    the ticker's own benchmark (bench), on days that both have. ann_abn is the announcing session's move and gap_abn the night's after it; where news came on a day without a
+    session, all that was missed is one gap from the last close, and there is no ann_abn.
     """
     at = next_session(signals, prices).where("ann_idx is not null")
     at = at.withColumn("entry_idx", F.col("ann_idx") + (F.col("ann_day") == F.col("pub")).cast("int"))
-    p = prices.join(benchmark.select("day", F.col("open").alias("b_open"), F.col("close").alias("b_close")), "day")
-    entry = p.select("ticker", F.col("t_idx").alias("entry_idx"), F.col("day").alias("entry_day"), F.col("open").alias("p0"), F.col("b_open").alias("b0"))
+    p = prices.join(benchmarks.select("bench", "day", F.col("open").alias("b_open"), F.col("close").alias("b_close")), ["bench", "day"], "left")
+    session = Window.partitionBy("ticker").orderBy("t_idx")
+    near = lambda f, c, out: f(c).over(session).alias(out)
+    told = p.select("ticker", "bench", F.col("t_idx").alias("ann_idx"), F.col("open").alias("o0"), F.col("b_open").alias("bo0"), F.col("close").alias("pa"), F.col("b_close").alias("ba"), near(F.lag, "close", "c_prev"), near(F.lag, "b_close", "b_prev"),
+                    near(F.lead, "day", "day1"), near(F.lead, "open", "o1"), near(F.lead, "b_open", "bo1"))
     leave = p.select("ticker", F.col("t_idx").alias("exit_idx"), F.col("day").alias("exit_day"), F.col("close").alias("p1"), F.col("b_close").alias("b1"))
-    rows = at.join(entry, ["ticker", "entry_idx"]).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    rows = rows.withColumn("exit_idx", F.col("entry_idx") + F.col("horizon")).join(leave, ["ticker", "exit_idx"])
-    abn = (F.col("p1") / F.col("p0") - 1) - (F.col("b1") / F.col("b0") - 1)
+    later = F.col("entry_idx") > F.col("ann_idx")
+    enter = lambda out, after, same: F.when(later, F.col(after)).otherwise(F.col(same)).alias(out)
+    rows = at.join(told, ["ticker", "ann_idx"]).select("*", enter("entry_day", "day1", "ann_day"), enter("p0", "o1", "o0"), enter("b0", "bo1", "bo0")).where("p0 is not null and b0 is not null")
+    move = lambda a, b, c, d: (F.col(a) / F.col(b) - 1) - (F.col(c) / F.col(d) - 1)
+    rows = rows.withColumn("ann_abn", F.when(later, move("pa", "c_prev", "ba", "b_prev"))).withColumn("gap_abn", F.when(later, move("p0", "pa", "b0", "ba")).otherwise(move("p0", "c_prev", "b0", "b_prev")))
+    rows = rows.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("exit_idx", F.col("entry_idx") + F.col("horizon"))
+    rows = rows.join(leave, ["ticker", "exit_idx"]).where("p1 is not null and b1 is not null")
     sign = F.when(F.col("direction") == "positive", 1).otherwise(-1)
-    rows = rows.withColumn("abn_ret", abn).withColumn("signed", sign * F.col("abn_ret"))
-    return rows.select("event_id", "ticker", "hop", "direction", "magnitude", "pub", "entry_day", "exit_day", "horizon", "abn_ret", (F.col("signed") > 1e-9).cast("int").alias("hit"), (F.col("signed") - COST).alias("net"))
+    rows = rows.withColumn("abn_ret", move("p1", "p0", "b1", "b0")).withColumn("signed", sign * F.col("abn_ret"))
+    return rows.select("event_id", "ticker", "bench", "hop", "direction", "magnitude", "pub", "entry_day", "exit_day", "horizon", "abn_ret", "ann_abn", "gap_abn", (F.col("signed") > 1e-9).cast("int").alias("hit"), (F.col("signed") - COST).alias("net"))
 
 
-_OUT = ("prices", "benchmark", "signals")
+_OUT = ("prices", "benchmarks", "signals")
 _OUTCOMES = """, a AS (SELECT s.*, p.t_idx AS ann_idx, p.day AS ann_day FROM signals s ASOF JOIN prices p ON s.ticker = p.ticker AND s.pub <= p.day),
 e AS (SELECT *, ann_idx + CASE WHEN ann_day = pub THEN 1 ELSE 0 END AS entry_idx FROM a),
-q AS (SELECT p.*, b.open AS b_open, b.close AS b_close FROM prices p JOIN benchmark b USING (day)),
-outcomes AS (SELECT event_id, e.ticker, hop, direction, magnitude, pub, n.day AS entry_day, x.day AS exit_day, h AS horizon, (x.close / n.open - 1) - (x.b_close / n.b_open - 1) AS abn_ret
- FROM e JOIN q n ON n.ticker = e.ticker AND n.t_idx = entry_idx CROSS JOIN (VALUES (1), (5), (20), (60)) v(h) JOIN q x ON x.ticker = e.ticker AND x.t_idx = entry_idx + h),
+q0 AS (SELECT p.*, b.open AS b_open, b.close AS b_close FROM prices p LEFT JOIN benchmarks b ON b.bench = p.bench AND b.day = p.day),
+q AS (SELECT *, lag(close) OVER g AS c_prev, lag(b_close) OVER g AS b_prev FROM q0 WINDOW g AS (PARTITION BY ticker ORDER BY t_idx)),
+outcomes AS (SELECT event_id, e.ticker, n.bench, hop, direction, magnitude, pub, n.day AS entry_day, x.day AS exit_day, h AS horizon, (x.close / n.open - 1) - (x.b_close / n.b_open - 1) AS abn_ret,
+ CASE WHEN entry_idx > ann_idx THEN (t.close / t.c_prev - 1) - (t.b_close / t.b_prev - 1) END AS ann_abn,
+ CASE WHEN entry_idx > ann_idx THEN (n.open / t.close - 1) - (n.b_open / t.b_close - 1) ELSE (n.open / t.c_prev - 1) - (n.b_open / t.b_prev - 1) END AS gap_abn
+ FROM e JOIN q n ON n.ticker = e.ticker AND n.t_idx = entry_idx JOIN q t ON t.ticker = e.ticker AND t.t_idx = ann_idx CROSS JOIN (VALUES (1), (5), (20), (60)) v(h) JOIN q x ON x.ticker = e.ticker AND x.t_idx = entry_idx + h
+ WHERE n.b_open IS NOT NULL AND x.b_close IS NOT NULL),
 o AS (SELECT *, (CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END > 1e-9)::INT AS hit, CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END - 0.001 AS net FROM outcomes)"""
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes(view(spark, sf_dir, "signals"), view(spark, sf_dir, "prices"), view(spark, sf_dir, "benchmark"))
+    return outcomes(view(spark, sf_dir, "signals"), view(spark, sf_dir, "prices"), view(spark, sf_dir, "benchmarks"))
 
 
-@query(with_views(*_OUT) + _OUTCOMES + " SELECT event_id, ticker, entry_day, exit_day, horizon, round(abn_ret, 5) + 0.0 AS abn_ret FROM o")
+@query(with_views(*_OUT) + _OUTCOMES + " SELECT event_id, ticker, bench, entry_day, exit_day, horizon, round(abn_ret, 5) + 0.0 AS abn_ret, round(ann_abn, 5) + 0.0 AS ann_abn, round(gap_abn, 5) + 0.0 AS gap_abn FROM o")
 def signal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _outcomes(spark, sf_dir).select("event_id", "ticker", "entry_day", "exit_day", "horizon", (F.round("abn_ret", 5) + 0.0).alias("abn_ret"))
+    moves = [(F.round(c, 5) + 0.0).alias(c) for c in ("abn_ret", "ann_abn", "gap_abn")]
+    return _outcomes(spark, sf_dir).select("event_id", "ticker", "bench", "entry_day", "exit_day", "horizon", *moves)
 
 
 @query(with_views("prices", "signals") + """
@@ -79,47 +93,107 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return (mid - half) / (1 + z2 / n), (mid + half) / (1 + z2 / n)
 
 
-def stat_block(rows: DataFrame, *by: str) -> DataFrame:
-    """n, hits, hit rate with its Wilson interval, mean and median abnormal return, net hit rate, by the columns given."""
+def mid_ranks(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """rows with the rank of value in its group (ties share their mean), in `out`; rows without a value have none.
+
+    Distinct values are counted and range-partitioned, so no task holds a group: a value's rank is the rows of earlier ranges of its group, those before it in
+    its own, and half its ties. Null groups are groups. rows is read twice.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__m"))
+    ranged = materialize(counts.repartitionByRange(shuffle_partitions(rows.sparkSession), *by, value).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = ranged.groupBy(*by, "__part").agg(F.sum("__m").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("__in", F.coalesce(F.sum("__m").over(inside), F.lit(0)))
+    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
+    placed = ranged.join(parts, same(ranged, parts, [*by, "__part"])).select(*[ranged[c] for c in (*by, value)], (F.col("__before") + F.col("__in") + (F.col("__m") + 1) / 2).alias(out))
+    return rows.join(placed, same(rows, placed, [*by, value]), "left").select(*[rows[c] for c in rows.columns], out)
+
+
+def rank_correlation(rows: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> DataFrame:
+    """by, ic: Spearman's correlation of x and y, null with fewer than `least` rows or where one of them is constant."""
+    rows = materialize(rows.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")))
+    ranked = mid_ranks(mid_ranks(rows, by, "__x", "rx"), by, "__y", "ry")
+    return ranked.groupBy(*by).agg(F.when(F.count("*") >= least, F.nanvl(F.corr("rx", "ry"), F.lit(None).cast("double"))).alias("ic"))
+
+
+def stat_block(rows: DataFrame, *by: str, ic: bool = False) -> DataFrame:
+    """n, hits, hit rate with its Wilson interval, mean and median abnormal return; the same net of costs; dir_acc, the share of announcing sessions that went the predicted way; the mean gap missed; by the columns given.
+
+    With ic also Spearman's correlation of magnitude and the return in the predicted direction.
+    """
+    net_hit = (F.col("net") > 0).cast("int")
     low, high = wilson(F.sum("hit"), F.count("*"))
-    return rows.groupBy(*by).agg(
+    net_low, net_high = wilson(F.sum(net_hit), F.count("*"))
+    right = F.when(F.col("ann_abn").isNotNull(), ((F.col("direction") == "positive") == (F.col("ann_abn") > 1e-9)).cast("int"))
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(low, 6).alias("ci_low"), F.round(high, 6).alias("ci_high"),
-        (F.round(F.avg("abn_ret"), 5) + 0.0).alias("mean_abn"), (F.round(F.median("abn_ret"), 5) + 0.0).alias("median_abn"), F.round(F.avg((F.col("net") > 0).cast("int")), 6).alias("net_hit_rate"),
+        (F.round(F.avg("abn_ret"), 5) + 0.0).alias("mean_abn"), (F.round(F.median("abn_ret"), 5) + 0.0).alias("median_abn"), F.round(F.avg(net_hit), 6).alias("net_hit_rate"),
+        F.round(net_low, 6).alias("net_ci_low"), F.round(net_high, 6).alias("net_ci_high"), (F.round(F.avg("net"), 5) + 0.0).alias("mean_net"), F.round(F.avg(right), 6).alias("dir_acc"), (F.round(F.avg("gap_abn"), 5) + 0.0).alias("mean_gap"),
     )
+    if not ic:
+        return out
+    toward = F.when(F.col("direction") == "positive", F.col("abn_ret")).otherwise(-F.col("abn_ret"))
+    found = rank_correlation(rows.withColumn("toward", F.round(toward, 9)), "magnitude", "toward", list(by))
+    return out.join(found, [out[c].eqNullSafe(found[c]) for c in by]).select(*[out[c] for c in out.columns], (F.round("ic", 4) + 0.0).alias("ic"))
+
+
+def _wilson_sql(p: str) -> str:
+    half = f"1.96 * sqrt({p} * (1 - {p}) / count(*) + 3.8416 / (4.0 * count(*) * count(*)))"
+    return ", ".join(f"round(({p} + 3.8416 / (2 * count(*)) {sign} {half}) / (1 + 3.8416 / count(*)), 6) AS {{}}ci_{end}" for sign, end in (("-", "low"), ("+", "high")))
+
+
+_BLOCK = f"""count(*) AS n, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS hit_rate, {_wilson_sql("avg(hit)").replace("{}", "")},
+ round(avg(abn_ret), 5) + 0.0 AS mean_abn, round(median(abn_ret), 5) + 0.0 AS median_abn, round(avg((net > 0)::INT), 6) AS net_hit_rate, {_wilson_sql("avg((net > 0)::INT)").replace("{}", "net_")},
+ round(avg(net), 5) + 0.0 AS mean_net, round(avg(((direction = 'positive') = (ann_abn > 1e-9))::INT), 6) AS dir_acc, round(avg(gap_abn), 5) + 0.0 AS mean_gap"""
+_IC = "CASE WHEN count(*) >= 5 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN round(corr(rx, ry), 4) + 0.0 END AS ic"
+
+
+def _ranked_sql(rows: str, by: str) -> str:
+    """CTE rk: the rows with the ranks of magnitude and of the return in the predicted direction within the groups."""
+    rank = lambda v, r: f"rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0 AS {r}"
+    return f", tw AS (SELECT *, round(CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END, 9) AS toward FROM {rows}), rk AS (SELECT *, {rank('magnitude', 'rx')}, {rank('toward', 'ry')} FROM tw)"
 
 
-_BLOCK = """count(*) AS n, sum(hit)::BIGINT AS hits, round(avg(hit), 6) AS hit_rate,
- round((avg(hit) + 3.8416 / (2 * count(*)) - 1.96 * sqrt(avg(hit) * (1 - avg(hit)) / count(*) + 3.8416 / (4.0 * count(*) * count(*)))) / (1 + 3.8416 / count(*)), 6) AS ci_low,
- round((avg(hit) + 3.8416 / (2 * count(*)) + 1.96 * sqrt(avg(hit) * (1 - avg(hit)) / count(*) + 3.8416 / (4.0 * count(*) * count(*)))) / (1 + 3.8416 / count(*)), 6) AS ci_high,
- round(avg(abn_ret), 5) + 0.0 AS mean_abn, round(median(abn_ret), 5) + 0.0 AS median_abn, round(avg((net > 0)::INT), 6) AS net_hit_rate"""
 _BAND = "CASE WHEN magnitude < 0.15 THEN 'low' WHEN magnitude < 0.35 THEN 'mid' WHEN magnitude < 0.6 THEN 'high' ELSE 'extreme' END"
 
 
-@query(lambda: with_views(*_OUT) + _OUTCOMES + _CLEAN + f" SELECT hop, direction, {_BAND} AS band, horizon, clean, {_BLOCK} FROM oc GROUP BY ALL")
+@query(lambda: with_views(*_OUT) + _OUTCOMES + _CLEAN + f", bd AS (SELECT *, {_BAND} AS band FROM oc)" + _ranked_sql("bd", "hop, direction, band, horizon, clean") + f" SELECT hop, direction, band, horizon, clean, {_BLOCK}, {_IC} FROM rk GROUP BY ALL")
 def reliability_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stat_block(_clean(spark, sf_dir).withColumn("band", F.expr(_BAND)), "hop", "direction", "band", "horizon", "clean")
+    rows = materialize(_clean(spark, sf_dir).withColumn("band", F.expr(_BAND)))
+    return stat_block(rows, "hop", "direction", "band", "horizon", "clean", ic=True)
+
+
+#: The rollups, by the columns that tell their cells apart.
+ROLLUPS = (("hop", "horizon"), ("hop", "horizon", "clean"), ("band", "horizon"), ("direction", "horizon"), ("horizon",), ())
+_ROLLED = {"hop": "INT", "direction": "VARCHAR", "band": "VARCHAR", "clean": "BOOLEAN", "horizon": "INT"}
+
+
+def _rollup_sql() -> str:
+    keep = lambda s: ", ".join(c if c in s else f"NULL::{t}" for c, t in _ROLLED.items())
+    sets = " UNION ALL ".join(f"SELECT '{'-'.join(s) or 'all'}', {keep(s)}, direction, magnitude, hit, abn_ret, net, ann_abn, gap_abn FROM bd" for s in ROLLUPS)
+    columns = ", ".join(f"g_{c}" for c in _ROLLED)
+    return (with_views(*_OUT) + _OUTCOMES + _CLEAN + f", bd AS (SELECT *, {_BAND} AS band FROM oc), ex(rollup, {columns}, direction, magnitude, hit, abn_ret, net, ann_abn, gap_abn) AS ({sets})" + _ranked_sql("ex", f"rollup, {columns}")
+            + f" SELECT rollup, g_hop AS hop, g_direction AS direction, g_band AS band, g_clean AS clean, g_horizon AS horizon, {_BLOCK}, {_IC} FROM rk GROUP BY rollup, {columns}")
 
 
-@query(with_views(*_OUT) + _OUTCOMES + f" SELECT hop, direction, horizon, {_BLOCK} FROM o GROUP BY GROUPING SETS ((hop, horizon), (direction, horizon), (horizon), ())")
+@query(_rollup_sql)
 def reliability_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _outcomes(spark, sf_dir)
-    sets = F.array(F.struct(F.col("hop").alias("g_hop"), F.lit(None).cast("string").alias("g_direction"), F.col("horizon").alias("g_horizon")), *[F.struct(F.lit(None).cast("int").alias("g_hop"), d.alias("g_direction"), h.alias("g_horizon")) for d, h in ((F.col("direction"), F.col("horizon")), (F.lit(None).cast("string"), F.col("horizon")), (F.lit(None).cast("string"), F.lit(None).cast("int")))])
-    expanded = rows.select("hit", "abn_ret", "net", F.inline(sets))
-    return stat_block(expanded, "g_hop", "g_direction", "g_horizon").withColumnsRenamed({"g_hop": "hop", "g_direction": "direction", "g_horizon": "horizon"})
+    """Cells by hop (all and clean), by band, by direction, by horizon and altogether: rows are expanded into the cells they belong to."""
+    rows = _clean(spark, sf_dir).withColumn("band", F.expr(_BAND))
+    types = {c: rows.schema[c].dataType for c in _ROLLED}
+    cell = lambda s: F.struct(F.lit("-".join(s) or "all").alias("rollup"), *[(F.col(c) if c in s else F.lit(None).cast(t)).alias(f"g_{c}") for c, t in types.items()])
+    expanded = materialize(rows.select("direction", "magnitude", "hit", "abn_ret", "net", "ann_abn", "gap_abn", F.inline(F.array(*[cell(s) for s in ROLLUPS]))))
+    return stat_block(expanded, "rollup", *[f"g_{c}" for c in _ROLLED], ic=True).withColumnsRenamed({f"g_{c}": c for c in _ROLLED})
 
 
 @query(with_views(*_OUT) + _OUTCOMES + """, x AS (SELECT horizon, magnitude, CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END AS y FROM o),
 k AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY magnitude) + (count(*) OVER (PARTITION BY horizon, magnitude) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY horizon ORDER BY y) + (count(*) OVER (PARTITION BY horizon, y) - 1) / 2.0 AS ry FROM x)
 SELECT horizon, count(*) AS n, round(corr(rx, ry), 4) AS ic FROM k GROUP BY horizon HAVING count(*) >= 5""")
 def spearman_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _outcomes(spark, sf_dir).select("horizon", "magnitude", F.when(F.col("direction") == "positive", F.col("abn_ret")).otherwise(-F.col("abn_ret")).alias("y"))
-    # Ranks from counts of distinct values: the sort holds a row for each value, not for each outcome.
-    for c, r in (("magnitude", "rx"), ("y", "ry")):
-        counts = rows.groupBy("horizon", c).agg(F.count("*").alias("m"))
-        w = Window.partitionBy("horizon").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select("horizon", c, (F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2).alias(r))
-        rows = rows.join(ranks, ["horizon", c])
-    return rows.groupBy("horizon").agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 4).alias("ic")).where("n >= 5")
+    rows = materialize(_outcomes(spark, sf_dir).select("horizon", "magnitude", F.when(F.col("direction") == "positive", F.col("abn_ret")).otherwise(-F.col("abn_ret")).alias("y")))
+    sizes = rows.groupBy("horizon").agg(F.count("*").alias("n"))
+    return sizes.join(rank_correlation(rows, "magnitude", "y", ["horizon"]), "horizon").where("n >= 5").select("horizon", "n", F.round("ic", 4).alias("ic"))
 
 
 @query(with_views(*_OUT) + _OUTCOMES + f""", b AS (SELECT hop, direction, horizon, {_BLOCK} FROM o GROUP BY hop, direction, horizon)

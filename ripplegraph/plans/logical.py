@@ -89,11 +89,19 @@ VIEWS: dict[str, str] = {
               FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, cast(l_shipdate AS date)) t
         WHERE {weekday} < 5""",
     "prices": """
-        SELECT ticker, day, t_idx, r, 100 * exp(total) AS close, 100 * exp(total - r) * (1 + r / 2) AS open
+        SELECT ticker, day, t_idx, r, 100 * exp(total) AS close, 100 * exp(total - r) * (1 + r / 2) AS open,
+               CASE WHEN right(ticker, 1) IN ('1', '2', '3', '4') THEN concat('sector-', right(ticker, 1)) ELSE 'market' END AS bench
         FROM (SELECT ticker, day, r, sum(r) OVER (PARTITION BY ticker ORDER BY day) AS total, row_number() OVER (PARTITION BY ticker ORDER BY day) - 1 AS t_idx FROM {daily}) t""",
     "benchmark": """
         SELECT day, 100 * exp(total) AS close, 100 * exp(total - r) * (1 + r / 2) AS open
         FROM (SELECT day, r, sum(r) OVER (ORDER BY day) AS total FROM (SELECT day, avg(r) AS r FROM {daily} GROUP BY day) m) t""",
+    # A sector's index (brands by the last figure of their number), and the market's for sectors without one of their own.
+    "benchmarks": """
+        SELECT 'market' AS bench, day, close, open FROM {benchmark}
+        UNION ALL
+        SELECT bench, day, 100 * exp(total), 100 * exp(total - r) * (1 + r / 2)
+        FROM (SELECT bench, day, r, sum(r) OVER (PARTITION BY bench ORDER BY day) AS total
+              FROM (SELECT concat('sector-', right(ticker, 1)) AS bench, day, avg(r) AS r FROM {daily} WHERE right(ticker, 1) IN ('1', '2', '3', '4') GROUP BY right(ticker, 1), day) m) t""",
     "signals": """
         SELECT o_orderkey AS event_id, ticker, cast(o_orderdate AS date) AS pub, cast(o_orderkey % 3 AS int) AS hop,
                CASE o_orderstatus WHEN 'F' THEN 'negative' ELSE 'positive' END AS direction, round(least(1.0, o_totalprice / 400000), 4) AS magnitude
@@ -108,7 +116,7 @@ def _fill(text: str, engine: str) -> str:
 
 
 #: Projections that many operators read over and over. Each is written once for a session, folder and content of its tables.
-STORED = ("nodes", "edges", "daily", "prices", "benchmark", "signals")
+STORED = ("nodes", "edges", "daily", "prices", "benchmark", "benchmarks", "signals")
 #: Copies kept of a projection whose tables change: the newest, and the one before it, which a query under way may still read.
 KEPT = 2
 _stored: dict[tuple[str, str, str], list[tuple[tuple, str]]] = {}
