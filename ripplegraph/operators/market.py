@@ -114,7 +114,8 @@ def rank_correlation(rows: DataFrame, x: str, y: str, by: list[str], least: int
     """by, ic: Spearman's correlation of x and y, null with fewer than `least` rows or where one of them is constant."""
     rows = materialize(rows.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y")))
     ranked = mid_ranks(mid_ranks(rows, by, "__x", "rx"), by, "__y", "ry")
-    return ranked.groupBy(*by).agg(F.when(F.count("*") >= least, F.nanvl(F.corr("rx", "ry"), F.lit(None).cast("double"))).alias("ic"))
+    corr = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
+    return ranked.groupBy(*by).agg(F.when(F.count("*") >= least, corr).alias("ic"))
 
 
 def stat_block(rows: DataFrame, *by: str, ic: bool = False) -> DataFrame:
