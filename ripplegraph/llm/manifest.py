@@ -33,6 +33,10 @@ class Store:
         df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def all(self, names: list[str], schema: str) -> DataFrame:
+        """Several tables as one scan."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{name}" for name in names])
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove_folder(self.spark, f"{self.folder}/{name}")
@@ -75,17 +79,19 @@ def node_id(tree: Column, pos: Column, level: int, top: bool) -> Column:
     return -1 - at if top else at
 
 
-def build(store: Store, leaves: DataFrame, most: int, top: bool = False) -> tuple[list[DataFrame], DataFrame]:
-    """The levels of a forest as stored node rows, and its roots (tree, id, hash, span).
+_NODES = "tree bigint, n bigint, pos bigint, id bigint, parent bigint, span bigint, left binary, right binary, up binary, up_span bigint"
+
+
+def build(store: Store, leaves: DataFrame, most: int, top: bool = False) -> tuple[list[str], DataFrame]:
+    """The names of a forest's levels, stored as node rows, and its roots (tree, id, hash, span).
 
     leaves: tree, pos (from 0 in its tree), n (leaves of the tree), id, hash, span (rows of the dataset below it); `most` is the
     largest n. A node row is id, parent, span, the digests of its run before and after it (left, right), and its parent's digest and span
     (up, up_span), from which the next level is read. A run has FAN rows at most and a level a third of the rows of the one below.
     """
-    level, rows = leaves, []
-    roots = leaves.where("n = 1").select("tree", "id", "hash", "span")
+    level, names = leaves, []
     while most > 1:
-        k, most = len(rows) + 1, -(-most // FAN)
+        k, most = len(names) + 1, -(-most // FAN)
         run = level.where("n > 1").groupBy("tree", F.expr(f"pos div {FAN}").alias("run"), "n")
         kids = run.agg(F.sort_array(F.collect_list(F.struct("pos", "id", "hash", "span"))).alias("kids"))
         texts = F.array_join(F.transform("kids", lambda c: hex_text(c["hash"])), "")
@@ -96,11 +102,14 @@ def build(store: Store, leaves: DataFrame, most: int, top: bool = False) -> tupl
         left, right = F.slice("texts", F.lit(1), F.col("i")), F.slice("texts", F.col("i") + 2, F.lit(FAN))
         nodes = nodes.select("tree", "n", F.col("kid.pos").alias("pos"), F.col("kid.id").alias("id"), "parent", F.col("kid.span").alias("span"),
                              F.unhex(F.array_join(left, "")).alias("left"), F.unhex(F.array_join(right, "")).alias("right"), "up", "up_span")
-        nodes = store.put(nodes, f"{'top' if top else 'level'}-{k}")
-        rows.append(nodes)
+        names.append(f"{'top' if top else 'level'}-{k}")
+        nodes = store.put(nodes, names[-1])
         level = nodes.where(f"pos % {FAN} = 0").select("tree", F.expr(f"pos div {FAN}").alias("pos"), F.ceil(F.col("n") / FAN).alias("n"), F.col("parent").alias("id"), F.col("up").alias("hash"), F.col("up_span").alias("span"))
-        roots = roots.unionByName(level.where("n = 1").select("tree", "id", "hash", "span"))
-    return rows, store.put(roots, "top" if top else "roots")
+    roots = leaves.where("n = 1").select("tree", "id", "hash", "span")
+    if names:
+        last = store.all(names, _NODES).where(f"pos = 0 AND n <= {FAN}")
+        roots = roots.unionByName(last.select("tree", F.col("parent").alias("id"), F.col("up").alias("hash"), F.col("up_span").alias("span")))
+    return names, store.put(roots, "top" if top else "roots")
 
 
 @contextmanager
@@ -145,8 +154,9 @@ def climb(store: Store, start: DataFrame, nodes: DataFrame, total: int) -> DataF
     spark = start.sparkSession
     heavy = F.col("span") * HEAVY > F.lit(total)
     links = nodes.select("id", "parent", "left", "right", "span")
+    high = store.put(links.where(heavy).repartition(1), "heavy")  # a few thousand rows
     with unlimited_recursion(spark):
-        paths = store.put(spark.sql(_PATHS, nodes=links.where(heavy)), "paths")
+        paths = store.put(spark.sql(_PATHS, nodes=high), "paths")
         if total > HEAVY:
             steps = F.sort_array(F.collect_list(F.struct("step", "siblings")))
             here = F.array_join(F.transform(steps, lambda s: F.coalesce(hex_text(s["siblings"]), F.lit(""))), "")
@@ -186,14 +196,10 @@ def manifest(rows: DataFrame) -> tuple[DataFrame, str | None]:
     under = store.put(under, "subroots")
     tops, root = build(store, under.drop("source_key", "m"), count, top=True)
     root = root.select(hex_text(F.col("hash"))).first()[0]
-    nodes = [n.select("id", "parent", "span", "left", "right") for n in (*levels, *tops)]
     start = placed.select(F.col("id").alias("leaf"), F.col("id").alias("node"), F.col("tampered").alias("folded"))
     found = start.select("leaf", "folded", digest(F.lit("")).alias("proof"))
-    if nodes:
-        every = nodes[0]
-        for n in nodes[1:]:
-            every = every.unionByName(n)
-        found = climb(store, start, every, total)
+    if levels or tops:
+        found = climb(store, start, store.all([*levels, *tops], _NODES), total)
     found = found.select(F.col("leaf").alias("id"), "folded", "proof")
     whole = join_counted(placed, under.select("source_key", F.col("hash").alias("subroot"), "m"), ["source_key"], "m").join(found, "id")
     return whole.select("doc_id", hex_text(F.col("leaf")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"), hex_text(F.col("folded")).alias("folded_root"), hex_text(F.col("proof")).alias("proof_sha256")), root
