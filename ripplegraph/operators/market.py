@@ -188,11 +188,13 @@ def reliability_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stat_block(expanded, "rollup", *[f"g_{c}" for c in _ROLLED], ic=True).withColumnsRenamed({f"g_{c}": c for c in _ROLLED})
 
 
-@query(with_views(*_OUT) + _OUTCOMES + """, x AS (SELECT horizon, magnitude, CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END AS y FROM o),
+@query(with_views(*_OUT) + _OUTCOMES + """, x AS (SELECT horizon, magnitude, round(CASE WHEN direction = 'positive' THEN abn_ret ELSE -abn_ret END, 9) AS y FROM o),
 k AS (SELECT horizon, rank() OVER (PARTITION BY horizon ORDER BY magnitude) + (count(*) OVER (PARTITION BY horizon, magnitude) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY horizon ORDER BY y) + (count(*) OVER (PARTITION BY horizon, y) - 1) / 2.0 AS ry FROM x)
 SELECT horizon, count(*) AS n, round(corr(rx, ry), 4) AS ic FROM k GROUP BY horizon HAVING count(*) >= 5""")
 def spearman_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(_outcomes(spark, sf_dir).select("horizon", "magnitude", F.when(F.col("direction") == "positive", F.col("abn_ret")).otherwise(-F.col("abn_ret")).alias("y")))
+    """Returns are ranked to nine digits: a ticker that is its sector's only one has returns of nought and noise."""
+    toward = F.when(F.col("direction") == "positive", F.col("abn_ret")).otherwise(-F.col("abn_ret"))
+    rows = materialize(_outcomes(spark, sf_dir).select("horizon", "magnitude", F.round(toward, 9).alias("y")))
     sizes = rows.groupBy("horizon").agg(F.count("*").alias("n"))
     return sizes.join(rank_correlation(rows, "magnitude", "y", ["horizon"]), "horizon").where("n >= 5").select("horizon", "n", F.round("ic", 4).alias("ic"))
 
