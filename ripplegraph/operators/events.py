@@ -12,6 +12,19 @@ from ripplegraph.session import join_dimension, table
 TODAY = "2024-01-30"
 WINDOW, HALF_LIFE, HOP_WEIGHT, TOP = 7, 3.0, 0.5, 5
 MIXED, FLOOR, LEAST = 0.6, 0.15, 0.05
+ANSWER = ["node_id", "direction", "magnitude", "mixed_signals", "event_count", "driver_count", "direct_count", "top_events"]
+
+
+def verdicts(nodes: DataFrame) -> DataFrame:
+    """Direction, magnitude and mixed from the masses pos and neg of a node, for those that a vote moved."""
+    nodes = nodes.withColumn("signed", F.tanh(F.col("pos") - F.col("neg")))
+    low, high = F.least("pos", "neg"), F.greatest("pos", "neg")
+    nodes = nodes.withColumn("mixed", (low > 0) & (F.abs("signed") > 0) & (low >= MIXED * high))
+    damped = F.when(F.col("mixed"), F.abs("signed") * (1 - low / high)).otherwise(F.abs("signed"))
+    nodes = nodes.withColumn("mag", damped).withColumn("mag", F.when(F.col("mixed") & (F.col("mag") > 0) & (F.col("mag") < FLOOR), FLOOR).otherwise(F.col("mag")))
+    nodes = nodes.where((F.col("driver_count") > 0) & (F.col("mixed") | (F.col("mag") > LEAST)))
+    direction = F.when(F.col("signed") > 0, "positive").when(F.col("signed") < 0, "negative").otherwise("no_effect")
+    return nodes.withColumn("direction", direction).withColumn("magnitude", F.round("mag", 3)).withColumn("mixed_signals", F.col("mixed").cast("int"))
 
 
 def aggregate(impacts: DataFrame, today: str = TODAY, window: int = WINDOW, multiplier: DataFrame | None = None) -> DataFrame:
@@ -44,14 +57,7 @@ def aggregate(impacts: DataFrame, today: str = TODAY, window: int = WINDOW, mult
         mass(1).alias("pos"), mass(-1).alias("neg"), F.sum("n").alias("event_count"), F.count_if(moved).alias("driver_count"),
         F.count_if(moved & (F.col("best.hop") == 0)).alias("direct_count"), top.alias("top"),
     )
-    nodes = nodes.withColumn("signed", F.tanh(F.col("pos") - F.col("neg")))
-    low, high = F.least("pos", "neg"), F.greatest("pos", "neg")
-    nodes = nodes.withColumn("mixed", (low > 0) & (F.abs("signed") > 0) & (low >= MIXED * high))
-    damped = F.when(F.col("mixed"), F.abs("signed") * (1 - low / high)).otherwise(F.abs("signed"))
-    nodes = nodes.withColumn("mag", damped).withColumn("mag", F.when(F.col("mixed") & (F.col("mag") > 0) & (F.col("mag") < FLOOR), FLOOR).otherwise(F.col("mag")))
-    nodes = nodes.where((F.col("driver_count") > 0) & (F.col("mixed") | (F.col("mag") > LEAST)))
-    direction = F.when(F.col("signed") > 0, "positive").when(F.col("signed") < 0, "negative").otherwise("no_effect")
-    return nodes.select("node_id", direction.alias("direction"), F.round("mag", 3).alias("magnitude"), F.col("mixed").cast("int").alias("mixed_signals"), "event_count", "driver_count", "direct_count", F.array_join(F.transform("top", lambda x: x["e"].cast("string")), ",").alias("top_events"))
+    return verdicts(nodes).withColumn("top_events", F.array_join(F.transform("top", lambda x: x["e"].cast("string")), ",")).select(*ANSWER)
 
 
 @query(with_views("impacts") + """, r AS (SELECT *, CAST(ts AS DATE) AS day, date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') AS age,

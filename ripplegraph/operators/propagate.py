@@ -20,6 +20,7 @@ WEAK, NEAR, REFINE_CAP = 0.35, 0.20, 60
 VERIFY, VERIFY_CAP = 0.45, 24
 
 Scorer = Callable[[DataFrame], DataFrame]
+TRACED = ["event_id", "id", "hop", "parent", "direction", "magnitude", "kind"]
 
 
 def rule_scorer(ring: DataFrame) -> DataFrame:
@@ -39,6 +40,38 @@ def _tier(kind: Column, type_: Column) -> Column:
     return F.when((kind == "Company") & (type_ == "supplies"), 0).when((kind == "Company") & (type_ == "competes_with"), 1).when(kind.isin("Commodity", "Region"), 2).otherwise(3)
 
 
+def ways_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Both ways of every edge that doesn't end in a regulator: parent, child, type, weight, audit, kind (of the child), tier."""
+    kinds = nodes.select(F.col("id").alias("child"), F.col("type").alias("kind"))
+    cols = ["type", "weight", "audit"]
+    ways = edges.select(F.col("source").alias("parent"), F.col("target").alias("child"), *cols).unionByName(edges.select(F.col("target").alias("parent"), F.col("source").alias("child"), *cols))
+    return ways.join(kinds.where("kind <> 'Regulator'"), "child").withColumn("tier", _tier(F.col("kind"), F.col("type")))
+
+
+def start_of(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The seeds that are nodes, as the rows of hop 0."""
+    start = seeds.join(nodes.select("id", F.col("type").alias("kind")), "id")
+    return start.withColumn("hop", F.lit(0)).withColumn("parent", F.lit(None).cast("string")).select(*TRACED)
+
+
+def next_ring(frontier: DataFrame, seen: DataFrame, ways: DataFrame, hop: int, scorer: Scorer = rule_scorer) -> DataFrame:
+    """The scored rows of one hop, from the rows of the hop before and all rows so far."""
+    alive = frontier.where((F.col("direction") != "no_effect") & (F.col("magnitude") >= FRONTIER) & (F.col("kind") != "Region"))
+    alive = alive.select("event_id", F.col("id").alias("parent"), F.col("direction").alias("parent_direction"), F.col("magnitude").alias("parent_magnitude"))
+    near = alive.join(ways, "parent").join(seen.select("event_id", F.col("id").alias("child")), ["event_id", "child"], "left_anti")
+    has_core = F.max(~F.col("audit")).over(Window.partitionBy("event_id", "parent"))
+    near = near.withColumn("has_core", has_core).where("not audit or not has_core")
+    heavy = Window.partitionBy("event_id", "audit").orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), "child", "parent", "type")
+    near = near.withColumn("k", F.row_number().over(heavy)).where(~F.col("audit") | (F.col("k") <= STRANDED_CAP))
+    first = F.struct("parent", "tier", -F.coalesce("weight", F.lit(-1.0)), "type")
+    row = F.struct("parent", "parent_direction", "parent_magnitude", "type", "weight", "kind", "tier")
+    ring = near.groupBy("event_id", "child").agg(F.min_by(row, first).alias("r")).select("event_id", "child", "r.*")
+    turn = F.row_number().over(Window.partitionBy("event_id", "parent").orderBy("tier", F.md5("child")))
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("turn", "parent"))
+    ring = ring.withColumn("turn", turn).withColumn("place", place).where(F.col("place") <= RING_CAP)
+    return scorer(ring).select("event_id", F.col("child").alias("id"), F.lit(hop).alias("hop"), "parent", "direction", "magnitude", "kind")
+
+
 def propagate(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = HOPS, scorer: Scorer = rule_scorer) -> DataFrame:
     """event_id, id, hop, parent, direction, magnitude of every node that a trace reaches.
 
@@ -47,29 +80,11 @@ def propagate(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int =
     most RING_CAP children a hop, taken from its parents in turn. A ring's directional children of magnitude
     FRONTIER or more, regions excepted, are the next frontier.
     """
-    kinds = nodes.select(F.col("id").alias("child"), F.col("type").alias("kind"))
-    cols = ["type", "weight", "audit"]
-    ways = edges.select(F.col("source").alias("parent"), F.col("target").alias("child"), *cols).unionByName(edges.select(F.col("target").alias("parent"), F.col("source").alias("child"), *cols))
-    ways = materialize(ways.join(kinds.where("kind <> 'Regulator'"), "child").withColumn("tier", _tier(F.col("kind"), F.col("type"))))
-    out = ["event_id", "id", "hop", "parent", "direction", "magnitude", "kind"]
-    start = seeds.join(kinds.withColumnRenamed("child", "id"), "id")
-    seen = materialize(start.withColumn("hop", F.lit(0)).withColumn("parent", F.lit(None).cast("string")).select(*out))
+    ways = materialize(ways_of(nodes, edges))
+    seen = materialize(start_of(seeds, nodes))
     frontier = seen
     for hop in range(1, hops + 1):
-        alive = frontier.where((F.col("direction") != "no_effect") & (F.col("magnitude") >= FRONTIER) & (F.col("kind") != "Region"))
-        alive = alive.select("event_id", F.col("id").alias("parent"), F.col("direction").alias("parent_direction"), F.col("magnitude").alias("parent_magnitude"))
-        near = alive.join(ways, "parent").join(seen.select("event_id", F.col("id").alias("child")), ["event_id", "child"], "left_anti")
-        has_core = F.max(~F.col("audit")).over(Window.partitionBy("event_id", "parent"))
-        near = near.withColumn("has_core", has_core).where("not audit or not has_core")
-        heavy = Window.partitionBy("event_id", "audit").orderBy(F.desc(F.coalesce("weight", F.lit(0.0))), "child", "parent", "type")
-        near = near.withColumn("k", F.row_number().over(heavy)).where(~F.col("audit") | (F.col("k") <= STRANDED_CAP))
-        first = F.struct("parent", "tier", -F.coalesce("weight", F.lit(-1.0)), "type")
-        row = F.struct("parent", "parent_direction", "parent_magnitude", "type", "weight", "kind", "tier")
-        ring = near.groupBy("event_id", "child").agg(F.min_by(row, first).alias("r")).select("event_id", "child", "r.*")
-        turn = F.row_number().over(Window.partitionBy("event_id", "parent").orderBy("tier", F.md5("child")))
-        place = F.row_number().over(Window.partitionBy("event_id").orderBy("turn", "parent"))
-        ring = ring.withColumn("turn", turn).withColumn("place", place).where(F.col("place") <= RING_CAP)
-        frontier = materialize(scorer(ring).select("event_id", F.col("child").alias("id"), F.lit(hop).alias("hop"), "parent", "direction", "magnitude", "kind"))
+        frontier = materialize(next_ring(frontier, seen, ways, hop, scorer))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -154,12 +169,15 @@ _SECTOR_NEWS = _TRACE.replace(
 )
 
 
-def _sector_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sector_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
     firms = table(spark, sf_dir, "supplier").withColumn("k", k).where("k % 2 = 1")
     way = F.when(F.col("s_nationkey") % 2 == 0, "positive").otherwise("negative")
-    seeds = firms.select(F.col("s_nationkey").cast("long").alias("event_id"), F.concat(F.lit("sup-"), "s_suppkey").alias("id"), way.alias("direction"), F.lit(0.9).alias("magnitude"))
-    return propagate(seeds, view(spark, sf_dir, "nodes"), view(spark, sf_dir, "edges"))
+    return firms.select(F.col("s_nationkey").cast("long").alias("event_id"), F.concat(F.lit("sup-"), "s_suppkey").alias("id"), way.alias("direction"), F.lit(0.9).alias("magnitude"))
+
+
+def _sector_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propagate(sector_seeds(spark, sf_dir), view(spark, sf_dir, "nodes"), view(spark, sf_dir, "edges"))
 
 
 @query(_SECTOR_NEWS + _NEAR + " SELECT event_id, id, n FROM e")
@@ -167,34 +185,50 @@ def refine_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine_rows(_sector_trace(spark, sf_dir), view(spark, sf_dir, "edges")).select("event_id", "id", "n")
 
 
-@query(_SECTOR_NEWS + _NEAR + """, p AS (SELECT *, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'no_effect' END AS nd, round(least(1.0, abs(pos - neg) / 1000000.0) * 0.5, 6) AS nm FROM e),
-q AS (SELECT *, nd <> 'no_effect' AND CASE WHEN direction = 'no_effect' THEN nm >= 0.2 WHEN direction = nd THEN round(nm - magnitude, 6) >= 0.15 ELSE nm >= 0.3 END AS applied FROM p)
-SELECT event_id, id, applied, CASE WHEN applied THEN nd ELSE direction END AS direction, CASE WHEN applied THEN nm ELSE magnitude END AS magnitude FROM q""")
-def refine_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in scorer: half the net mass of the neighbours."""
-    rows = refine_rows(_sector_trace(spark, sf_dir), view(spark, sf_dir, "edges"))
+_REFINED = """, p AS (SELECT *, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'no_effect' END AS nd, round(least(1.0, abs(pos - neg) / 1000000.0) * 0.5, 6) AS nm FROM e),
+q AS (SELECT *, nd <> 'no_effect' AND CASE WHEN direction = 'no_effect' THEN nm >= 0.2 WHEN direction = nd THEN round(nm - magnitude, 6) >= 0.15 ELSE nm >= 0.3 END AS applied FROM p),
+refined AS MATERIALIZED (SELECT event_id, id, applied, CASE WHEN applied THEN nd ELSE direction END AS direction, CASE WHEN applied THEN nm ELSE magnitude END AS magnitude FROM q)"""
+
+
+def refine(trace: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows looked at again, with `applied`; the stand-in scorer gives half the net mass of the neighbours."""
+    rows = refine_rows(trace, edges)
     way = F.when(F.col("pos") > F.col("neg"), "positive").when(F.col("neg") > F.col("pos"), "negative").otherwise("no_effect")
     size = F.round(F.least(F.lit(1.0), F.abs(F.col("pos") - F.col("neg")) / 1000000.0) * 0.5, 6)
-    return apply_refinement(rows.withColumn("new_direction", way).withColumn("new_magnitude", size)).select("event_id", "id", "applied", "direction", "magnitude")
+    return apply_refinement(rows.withColumn("new_direction", way).withColumn("new_magnitude", size))
+
+
+@query(_SECTOR_NEWS + _NEAR + _REFINED + " SELECT * FROM refined")
+def refine_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in scorer: half the net mass of the neighbours."""
+    return refine(_sector_trace(spark, sf_dir), view(spark, sf_dir, "edges")).select("event_id", "id", "applied", "direction", "magnitude")
 
 
 _VERDICT = "CASE WHEN {high} < 0.7 THEN 'refuted' WHEN {high} < 0.85 THEN 'weakened' ELSE 'confirmed' END"
+_VERIFIED = """, c AS (SELECT least(source, target) AS x, greatest(source, target) AS y, max(confidence) AS high FROM edges GROUP BY ALL),
+k AS (SELECT t.*, coalesce(high, 1.0) AS high FROM {trace} t LEFT JOIN c ON x = least(id, parent) AND y = greatest(id, parent) WHERE direction <> 'no_effect' AND magnitude >= 0.45
+ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY magnitude DESC, id) <= 24), w AS (SELECT *, """ + _VERDICT.format(high="high") + """ AS verdict FROM k),
+verified AS MATERIALIZED (SELECT event_id, id, verdict, CASE WHEN verdict = 'refuted' THEN 'no_effect' ELSE direction END AS direction, round(magnitude * CASE verdict WHEN 'refuted' THEN 0.0 WHEN 'weakened' THEN 0.5 ELSE 1.0 END, 6) AS magnitude FROM w)"""
 
 
-@query(_TRACE + """, c AS (SELECT least(source, target) AS x, greatest(source, target) AS y, max(confidence) AS high FROM edges GROUP BY ALL),
-k AS (SELECT t.*, coalesce(high, 1.0) AS high FROM trace t LEFT JOIN c ON x = least(id, parent) AND y = greatest(id, parent) WHERE direction <> 'no_effect' AND magnitude >= 0.45
- QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY magnitude DESC, id) <= 24), w AS (SELECT *, """ + _VERDICT.format(high="high") + """ AS verdict FROM k)
-SELECT event_id, id, verdict, CASE WHEN verdict = 'refuted' THEN 'no_effect' ELSE direction END AS direction, round(magnitude * CASE verdict WHEN 'refuted' THEN 0.0 WHEN 'weakened' THEN 0.5 ELSE 1.0 END, 6) AS magnitude FROM w""")
-def verify_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The VERIFY_CAP strongest directional rows of an event; the stand-in judge goes by the confidence of the edge to the parent."""
-    t = _trace(spark, sf_dir).where((F.col("direction") != "no_effect") & (F.col("magnitude") >= VERIFY))
+#: The checks of traces, refinement and verification, for other modules.
+SECTOR_SQL, VERIFIED_SQL = _SECTOR_NEWS + _NEAR + _REFINED, _VERIFIED
+
+
+def verify(trace: DataFrame, edges: DataFrame) -> DataFrame:
+    """The VERIFY_CAP strongest directional rows of an event, with `verdict`; the stand-in judge goes by the confidence of the edge to the parent."""
+    t = trace.where((F.col("direction") != "no_effect") & (F.col("magnitude") >= VERIFY))
     w = Window.partitionBy("event_id").orderBy(F.desc("magnitude"), "id")
     t = t.withColumn("k", F.row_number().over(w)).where(F.col("k") <= VERIFY_CAP)
-    c = view(spark, sf_dir, "edges").groupBy(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).agg(F.max("confidence").alias("high"))
+    c = edges.groupBy(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y")).agg(F.max("confidence").alias("high"))
     # A seed has no parent; least() would skip the null.
     ends = F.col("parent").isNotNull() & (F.col("x") == F.least("id", "parent")) & (F.col("y") == F.greatest("id", "parent"))
-    t = t.join(c, ends, "left").withColumn("verdict", F.expr(_VERDICT.format(high="coalesce(high, 1.0)")))
-    return apply_verification(t).select("event_id", "id", "verdict", "direction", "magnitude")
+    return apply_verification(t.join(c, ends, "left").withColumn("verdict", F.expr(_VERDICT.format(high="coalesce(high, 1.0)"))))
+
+
+@query(_TRACE + _VERIFIED.format(trace="trace") + " SELECT * FROM verified")
+def verify_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify(_trace(spark, sf_dir), view(spark, sf_dir, "edges")).select("event_id", "id", "verdict", "direction", "magnitude")
 
 
 @query(_TRACE + """, g AS (SELECT event_id, count(*) AS n_scored, count(*) FILTER (direction <> 'no_effect') AS n_directional, count(*) FILTER (hop >= 1 AND direction <> 'no_effect') AS n_moved, max(hop)::INT AS hops FROM trace GROUP BY event_id)
