@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplegraph.functions import markup, text  # noqa: F401  each module registers its queries
+from ripplegraph.functions import markup, pages, text  # noqa: F401  each module registers its queries
 from ripplegraph.operators import audits, cohorts, events, exits, graph, headlines, housekeeping, hubs, knowledge, market, news, propagate, regulators, resolve, study, upkeep, verdicts  # noqa: F401
 from ripplegraph.plans.catalog import ORACLE_SQL, QUERIES
 from ripplegraph.streaming import backlog, live, progress  # noqa: F401
