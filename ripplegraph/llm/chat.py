@@ -219,7 +219,7 @@ def parse(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     # Dealt by number of blocks, not by bytes: a block costs the same whatever the bytes of its symbols.
     tasks = shuffle_partitions(lines.sparkSession)
-    mats = materialize(seen.mapInPandas(matrices, "conv string, i long, m array<double>, alone int"))
+    mats = materialize(seen.repartition(tasks, "conv", "block").mapInPandas(matrices, "conv string, i long, m array<double>, alone int"))
     # Most conversations are one block, which ends in its own best state; only the others are chained.
     lasts = materialize(mats.groupBy("conv").agg(F.max("i").alias("last")))
     mats = mats.join(lasts, "conv")
