@@ -30,6 +30,8 @@ WIDTH, THRESHOLD = 5, 0.8
 RECALL, MOST_HASHES = 0.9995, 128
 #: Most texts of a block, and shingles that it holds at about; a task compares two. Each text of a group of m meets about m / BLOCK blocks.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Edges or nodes, of about 100 bytes each, that a task of the components reads.
+ROWS_IN_TASK = 100_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -82,30 +84,39 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.md5("text").alias("md5"), "text").mapInArrow(run, "doc_id long, node string, bands array<long>")
 
 
+def _gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A materialised table of at most `rows` rows in as many parts as it needs: one for each core, or each ROWS_IN_TASK rows if those are more."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_IN_TASK)))
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds: int = 40) -> DataFrame:
     """node, root (its component's least node) for every node of the edges: alternating large and small stars (Kiveris and others, 2014).
 
     Each round is two aggregations, whose minima combine before the shuffle, and two joins, in which the centre of a large star
-    meets its rows by broadcast (join_counted), so none brings them together. Rounds grow as the logarithm of the components.
+    meets its rows by broadcast (join_counted), so none brings them together. Rounds grow as the logarithm of the components; they
+    end as soon as every component is a star. The driver keeps a record of each task, so tables are read in no more parts than their rows need.
     """
     spark = edges.sparkSession
     edges = materialize(edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct())
-    state = None
     for _ in range(most_rounds):
+        # Of each node: its least neighbour, and how many are larger and how many smaller than it.
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        larger = F.col("v") > F.col("u")
+        nodes = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(larger).alias("n"), F.count_if(~larger).alias("below")))
+        # In a star the centre has no smaller node beside it and every other node has the centre alone.
+        open_nodes, n_edges = nodes.agg(F.count_if((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("n") > 0))), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not open_nodes:
+            return nodes.select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
+        # No table of the round has more rows than the edges, but for the nodes.
+        nodes, edges = _gathered(nodes, 2 * n_edges), _gathered(edges, n_edges)
         # Large star: every larger neighbour of u is tied to the least of u and its neighbours.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
-        large = join_counted(both.where("v > u"), materialize(least), ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = nodes.where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours are tied to the least of them.
-        large = materialize(large)
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        large = _gathered(materialize(large), n_edges)
+        least = _gathered(materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))), n_edges)
         small = join_counted(large, least, ["u"], "n").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        state = now
+        edges = _gathered(materialize(small), n_edges)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds on {spark.sparkContext.appName}")
 
 

@@ -151,6 +151,40 @@ def test_components_of_long_chains(spark):
     assert {got[f"{i:03}"] for i in range(31)} == {"000"} and {got[f"{i:03}"] for i in range(31, 61)} == {"031"} and got["b"] == "a"
 
 
+def test_components_run_few_tasks_on_few_edges(spark):
+    rng, tracker = random.Random(3), spark.sparkContext.statusTracker()
+    edges = [(f"{rng.randrange(400):03}", f"{rng.randrange(400):03}") for _ in range(300)]
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    stars = [(f"{i:03}", f"{i % 4:03}") for i in range(4, 400)]
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    kept = {k: spark.conf.get(k) for k in names}
+    ran = []
+    try:
+        for k, v in zip(names, ("60", "false")):
+            spark.conf.set(k, v)
+        for i, (rows, want) in enumerate(((edges, {x: find(x) for x in parent}), (stars, {f"{i:03}": f"{i % 4:03}" for i in range(400)}))):
+            spark.sparkContext.setJobGroup(f"components {i}", "")
+            got = [(r.node, r.root) for r in ngram_join.components(spark.createDataFrame(rows, "a string, b string")).collect()]
+            assert len(got) == len(want) and dict(got) == want
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"components {i}")]
+            ran.append(sum(s.numTasks for j in jobs for x in j.stageIds if (s := tracker.getStageInfo(x)) and s.numCompletedTasks))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Stars are seen as such in a single aggregation, and a round has no more than seven shuffles of 60 parts.
+    assert 0 < ran[1] < 6 * 60 and 0 < ran[0] < 7 * 60 * 6, ran
+
+
 def test_join_stage_keeps_one_of_each_class(spark, odd_docs, odd_rows, no_docs):
     kept = ngram_join.ngram_join_stage(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns
