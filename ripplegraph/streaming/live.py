@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.events import ANSWER, HALF_LIFE, HOP_WEIGHT, TODAY, TOP, WINDOW, verdicts
+from ripplegraph.operators.events import ANSWER, HALF_LIFE, HOP_WEIGHT, TODAY, TOP, WINDOW, in_ten_thousandths, verdicts
 from ripplegraph.plans.catalog import ORACLE_SQL, query
 from ripplegraph.plans.logical import view
 from ripplegraph.session import checkpoint_dir
@@ -89,7 +89,7 @@ class LiveImpacts:
         sums = masses.groupBy("node_id").agg(F.sum(decay * F.col("pos")).alias("pos"), F.sum(decay * F.col("neg")).alias("neg"), total("event_count"), total("driver_count"), total("direct_count"))
         nodes = verdicts(sums)
         moved = self._read("votes", VOTE, days).where("sign <> 0 and best.weight > 0").withColumn("now", decay * F.col("best.weight"))
-        order = Window.partitionBy("node_id").orderBy(F.desc(F.round("now", 4)), "best.event_id")
+        order = Window.partitionBy("node_id").orderBy(F.desc(in_ten_thousandths(F.col("now"))), "best.event_id")
         first = moved.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TOP)
         top = first.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("place", F.col("best.event_id").alias("e")))).alias("top"))
         top = top.select(F.col("node_id").alias("__node"), F.array_join(F.transform("top", lambda x: x["e"].cast("string")), ",").alias("top_events"))

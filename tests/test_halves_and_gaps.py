@@ -35,3 +35,8 @@ def halves(spark, tmp_path_factory):
 def test_drivers_are_ranked_as_in_sql_where_weights_end_in_a_half(spark, halves):
     got, want = _against_sql(spark, halves, "aggregate_impacts")
     assert len(want) == 4300 and got == want
+
+
+def test_live_drivers_are_ranked_as_in_sql_where_weights_end_in_a_half(spark, halves):
+    got, want = _against_sql(spark, halves, "live_window")
+    assert len(want) == 4300 and got == want
