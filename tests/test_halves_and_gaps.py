@@ -40,3 +40,12 @@ def test_drivers_are_ranked_as_in_sql_where_weights_end_in_a_half(spark, halves)
 def test_live_drivers_are_ranked_as_in_sql_where_weights_end_in_a_half(spark, halves):
     got, want = _against_sql(spark, halves, "live_window")
     assert len(want) == 4300 and got == want
+
+
+def test_a_story_comes_again_when_its_gap_is_longer_by_less_than_a_second(spark, tmp_path):
+    first, week = dt.datetime(2024, 1, 1, 0, 0, 0, 100_000), dt.timedelta(days=7)
+    later = [week, week + dt.timedelta(microseconds=1), week + dt.timedelta(seconds=0.5), week - dt.timedelta(microseconds=1)]
+    rows = [(11 * i, first, i, "view", 1.0, "{}") for i in range(4)] + [(11 * (i + 4), first + gap, i, "view", 1.0, "{}") for i, gap in enumerate(later)]
+    spark.createDataFrame(rows, EVENT).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = _against_sql(spark, tmp_path, "stream_dedup")
+    assert [r[0] for r in got] == [0, 11, 22, 33, 55, 66] and got == want
