@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ripplegraph.operators.upkeep import merge_spans
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -49,3 +50,10 @@ def test_a_story_comes_again_when_its_gap_is_longer_by_less_than_a_second(spark,
     spark.createDataFrame(rows, EVENT).write.parquet(f"{tmp_path}/events.parquet")
     got, want = _against_sql(spark, tmp_path, "stream_dedup")
     assert [r[0] for r in got] == [0, 11, 22, 33, 55, 66] and got == want
+
+
+def test_spans_are_whole_where_offsets_are_tied(spark):
+    rows = [(1, 1863), (1, 1199), (1, 1863), (2, 0), (2, 900), (2, 900), (2, 900), (2, 1100)]
+    for given in (rows, rows[::-1]):
+        got = merge_spans(spark.createDataFrame(given, "id long, off long").coalesce(1), 150).collect()
+        assert sorted((r.id, r.start, r.stop, r.n) for r in got) == [(1, 1049, 1349, 1), (1, 1713, 2013, 2), (2, 0, 150, 1), (2, 750, 1250, 4)]
