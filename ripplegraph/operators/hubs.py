@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ripplegraph.operators.graph import degrees, layer
 from ripplegraph.plans.catalog import query
 from ripplegraph.plans.logical import view, with_views
-from ripplegraph.session import checkpoint_dir, remove_folder
+from ripplegraph.session import BROADCAST_ROWS, checkpoint_dir, remove_folder
 
 PIVOTS, MOST_DEPTH = 500, 64
 #: Pivots walked at once, and more where they cross fewer links than that together: what a walk keeps on disk is in proportion to the links, not to links times pivots.
@@ -57,25 +57,34 @@ def _numbered_graph(nodes: DataFrame, edges: DataFrame, at: str) -> tuple[DataFr
     return ids, links, leaves, _store(core, f"{at}/core")
 
 
+def _next_to(rows: DataFrame, count: int, links: DataFrame) -> DataFrame:
+    """Rows (u, ...) along the links of u. Whether rows are broadcast goes by their count: files of a few MB can hold millions of these rows."""
+    return rows.hint("broadcast" if count <= BROADCAST_ROWS else "merge").join(links, "u")
+
+
 def _walk(roots: DataFrame, links: DataFrame, at: str, most_depth: int) -> DataFrame:
     """id, delta: what the pivots of these roots (p, id, hung, own, below) add to each node. Rows are (p, node), a table for each level; leaves count where they hang."""
     levels = [_store(roots.select("p", "id", F.lit(1.0).alias("sigma"), "hung"), f"{at}/level-0")]
+    counts = [levels[0].count()]
     for depth in range(1, most_depth + 1):
-        reached = levels[-1].select("p", F.col("id").alias("u"), "sigma").join(links, "u").select("p", F.col("v").alias("id"), "sigma", "hung", F.lit(False).alias("met"))
+        reached = _next_to(levels[-1].select("p", F.col("id").alias("u"), "sigma"), counts[-1], links).select("p", F.col("v").alias("id"), "sigma", "hung", F.lit(False).alias("met"))
         # A node next to a level is in that level, the one before it or the next one, so two levels tell which nodes are new.
         for level in levels[-2:]:
             reached = reached.unionByName(level.withColumn("met", F.lit(True)))
         step = reached.groupBy("p", "id").agg(F.sum("sigma").alias("sigma"), F.max("hung").alias("hung"), F.max("met").alias("met"))
         level = _store(step.where(~F.col("met")).drop("met"), f"{at}/level-{depth}")
-        if level.isEmpty():
+        count = level.count()
+        if not count:
             break
         levels.append(level)
+        counts.append(count)
     else:
         raise RuntimeError("paths are longer than most_depth")
     deltas = [levels[-1].select("p", "id", "sigma", F.col("hung").cast("double").alias("delta"))]
     for depth in range(len(levels) - 2, -1, -1):
         # Each node hands 1 + delta to those it was reached from, in proportion to their paths; what reaches a node of another level is dropped.
-        share = deltas[-1].select("p", F.col("id").alias("u"), ((1 + F.col("delta")) / F.col("sigma")).alias("share")).join(links.select("u", "v"), "u")
+        share = deltas[-1].select("p", F.col("id").alias("u"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        share = _next_to(share, counts[depth + 1], links.select("u", "v"))
         both = share.select("p", F.col("v").alias("id"), "share").unionByName(levels[depth], allowMissingColumns=True)
         back = both.groupBy("p", "id").agg(F.max("sigma").alias("sigma"), F.max("hung").alias("hung"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("back")).where("sigma is not null")
         deltas.append(_store(back.select("p", "id", "sigma", (F.col("hung") + F.col("sigma") * F.col("back")).alias("delta")), f"{at}/delta-{depth}"))
