@@ -57,17 +57,19 @@ def _numbered_graph(nodes: DataFrame, edges: DataFrame, at: str) -> tuple[DataFr
     return ids, links, leaves, _store(core, f"{at}/core")
 
 
-def _next_to(rows: DataFrame, count: int, links: DataFrame) -> DataFrame:
-    """Rows (u, ...) along the links of u. Whether rows are broadcast goes by their count: files of a few MB can hold millions of these rows."""
+def _next_to(rows: DataFrame, count: int, links: DataFrame, n_links: int) -> DataFrame:
+    """Rows (u, ...) along the links of u. What is broadcast goes by counts: files of a few MB can hold millions of these rows."""
+    if count > BROADCAST_ROWS >= n_links:
+        return rows.join(F.broadcast(links), "u")
     return rows.hint("broadcast" if count <= BROADCAST_ROWS else "merge").join(links, "u")
 
 
-def _walk(roots: DataFrame, links: DataFrame, at: str, most_depth: int) -> DataFrame:
+def _walk(roots: DataFrame, links: DataFrame, n_links: int, at: str, most_depth: int) -> DataFrame:
     """id, delta: what the pivots of these roots (p, id, hung, own, below) add to each node. Rows are (p, node), a table for each level; leaves count where they hang."""
     levels = [_store(roots.select("p", "id", F.lit(1.0).alias("sigma"), "hung"), f"{at}/level-0")]
     counts = [levels[0].count()]
     for depth in range(1, most_depth + 1):
-        reached = _next_to(levels[-1].select("p", F.col("id").alias("u"), "sigma"), counts[-1], links).select("p", F.col("v").alias("id"), "sigma", "hung", F.lit(False).alias("met"))
+        reached = _next_to(levels[-1].select("p", F.col("id").alias("u"), "sigma"), counts[-1], links, n_links).select("p", F.col("v").alias("id"), "sigma", "hung", F.lit(False).alias("met"))
         # A node next to a level is in that level, the one before it or the next one, so two levels tell which nodes are new.
         for level in levels[-2:]:
             reached = reached.unionByName(level.withColumn("met", F.lit(True)))
@@ -84,7 +86,7 @@ def _walk(roots: DataFrame, links: DataFrame, at: str, most_depth: int) -> DataF
     for depth in range(len(levels) - 2, -1, -1):
         # Each node hands 1 + delta to those it was reached from, in proportion to their paths; what reaches a node of another level is dropped.
         share = deltas[-1].select("p", F.col("id").alias("u"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        share = _next_to(share, counts[depth + 1], links.select("u", "v"))
+        share = _next_to(share, counts[depth + 1], links.select("u", "v"), n_links)
         both = share.select("p", F.col("v").alias("id"), "share").unionByName(levels[depth], allowMissingColumns=True)
         back = both.groupBy("p", "id").agg(F.max("sigma").alias("sigma"), F.max("hung").alias("hung"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("back")).where("sigma is not null")
         deltas.append(_store(back.select("p", "id", "sigma", (F.col("hung") + F.col("sigma") * F.col("back")).alias("delta")), f"{at}/delta-{depth}"))
@@ -116,11 +118,12 @@ def path_scores(nodes: DataFrame, edges: DataFrame, count: int = PIVOTS, most_de
         # At most `count` rows.
         p = (F.row_number().over(Window.orderBy("id")) - 1).alias("p")
         roots = _store(roots.select(p, "id", "own", "below", F.coalesce("hung", F.lit(0)).alias("hung")), f"{at}/graph/roots")
-        at_once = at_once or max(PIVOTS_AT_ONCE, LINKS_AT_ONCE // max(core.count(), 1))
+        n_links = core.count()
+        at_once = at_once or max(PIVOTS_AT_ONCE, LINKS_AT_ONCE // max(n_links, 1))
         _store(ids.select(F.col("k").alias("id"), F.lit(0.0).alias("delta")), f"{at}/graph/totals/none")
         for number, first in enumerate(range(0, roots.count(), at_once)):
             some = roots.where(F.col("p").between(first, first + at_once - 1))
-            _store(_walk(some, core, f"{at}/walk-{number}", most_depth), f"{at}/graph/totals/{number}")
+            _store(_walk(some, core, n_links, f"{at}/walk-{number}", most_depth), f"{at}/graph/totals/{number}")
             remove_folder(spark, f"{at}/walk-{number}")
         # Each unordered pair is met from both its ends when all nodes are pivots; (n - 1)(n - 2) ordered pairs in all.
         scale = n / k / max((n - 1) * (n - 2), 1) if k else 0.0
